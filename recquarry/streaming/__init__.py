@@ -1,0 +1 @@
+"""No streaming operator exists: all inputs of this library are whole tables."""
