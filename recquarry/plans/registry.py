@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from recquarry.plans import cleaning
+from recquarry.plans import cleaning, sequencing, vectoring
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (cleaning,):
+for _module in (cleaning, sequencing, vectoring):
     for _name in _module.R.queries:
         if _name in QUERIES:
             raise ValueError(f"duplicate query {_name}")
