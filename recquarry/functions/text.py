@@ -108,8 +108,16 @@ def item_text(prompt: str, keys: list[str], known=None) -> Column:
 
 
 def words(text) -> Column:
-    """Whitespace tokens, each keeping the blanks before it, so joining restores the text."""
-    return F.regexp_extract_all(_c(text), F.lit(r"(\s*\S+)"), 1)
+    """Whitespace tokens."""
+    return F.filter(F.split(_c(text), r"\s+"), lambda w: w != "")
+
+
+def first_words(text, n: int) -> Column:
+    """The text up to the end of its n-th whitespace token, or the whole text."""
+    text = _c(text)
+    head = F.regexp_extract(text, rf"^(?:\s*\S+){{0,{n}}}", 0)
+    # nothing but blanks may follow for the text to count as uncut
+    return F.when(F.trim(F.regexp_replace(F.substr(text, F.length(head) + 1), r"\s", "")) == "", text).otherwise(head)
 
 
 def truncate_description(title, description, max_tokens: int = 64) -> Column:
@@ -119,14 +127,47 @@ def truncate_description(title, description, max_tokens: int = 64) -> Column:
     truncated text takes the place of the description.
     """
     title, description = _c(title), _c(description)
-    joined = F.concat(title, description)
-    kept = F.array_join(F.slice(words(joined), 1, max_tokens), "")
+    kept = first_words(F.concat(title, description), max_tokens)
     at = F.instr(kept, title)
-    # instr treats the empty title as found at 1, like a split on nothing would
     rest = F.when(at > 0, F.substr(kept, at + F.length(title))).otherwise(kept)
     return F.when(F.length(rest) != F.length(description), F.concat(rest, F.lit("..."))).otherwise(description)
 
 
+def pack_tokens(lists, max_len: int, emb_slots: int = 1) -> Column:
+    """Token lists of one batch end to end: struct(ids, lengths, positions).
+
+    Each list is cut to ``max_len`` and followed by ``emb_slots`` zero ids; positions are
+    right-aligned to ``max_len``.
+    """
+    cut = F.transform(_c(lists), lambda t: F.slice(t, 1, max_len))
+    zeros = F.array_repeat(F.lit(0).cast("long"), emb_slots)
+    return F.struct(
+        F.flatten(F.transform(cut, lambda t: F.concat(t, zeros))).alias("ids"),
+        F.transform(cut, lambda t: (F.size(t) + emb_slots).cast("long")).alias("lengths"),
+        F.flatten(
+            F.transform(
+                cut,
+                lambda t: F.transform(
+                    F.sequence(F.lit(1), F.size(t) + emb_slots), lambda i: (i - 1 + max_len - F.size(t)).cast("long")
+                ),
+            )
+        ).alias("positions"),
+    )
+
+
+def strip(text) -> Column:
+    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+
+
+def first_line(text) -> Column:
+    return F.get(F.split(strip(text), "\n"), F.lit(0))
+
+
+def hit_vector(results, target) -> Column:
+    """Whether each ranked text contains the target text."""
+    return F.transform(_c(results), lambda e: F.coalesce(F.contains(e, _c(target)), F.lit(False)))
+
+
 def format_floats(df: DataFrame, precision: int = 6) -> DataFrame:
     """Every float column as fixed-precision text; nulls stay null."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}

@@ -98,7 +98,7 @@ def user_sequences(
 
 
 def chunk_sequences(
-    df: DataFrame, max_item_list: int = 25, user: str = "user_id", order=("ts", "item_id"), limit=None
+    df: DataFrame, max_item_list: int = 25, user: str = "user_id", order=("ts", "item_id"), item="item_id", limit=None
 ) -> DataFrame:
     """Training sequences of ``max_item_list + 1`` items.
 
@@ -108,12 +108,12 @@ def chunk_sequences(
     b = number_rows(df, [user], order, limit)
     drop = F.when(F.col("_len") > size, F.col("_len") % F.lit(size)).otherwise(F.lit(0))
     chunk = F.floor((F.col("_pos") - 1 - drop) / F.lit(size)).cast("long")
-    rows = F.sort_array(F.collect_list(F.struct("_pos", "item_id", "ts")))
+    rows = F.sort_array(F.collect_list(F.struct("_pos", F.col(item).alias("item"), "ts")))
     return (
         b.where(F.col("_pos") > drop)
         .groupBy(user, chunk.alias("chunk"))
         .agg(rows.alias("r"))
-        .select(user, "chunk", F.col("r.item_id").alias("item_seq"), F.col("r.ts").alias("time_seq"))
+        .select(user, "chunk", F.col("r.item").alias("item_seq"), F.col("r.ts").alias("time_seq"))
     )
 
 

@@ -161,14 +161,14 @@ def all_pairs_score(spark, sf):
 def ranked_sql(score, way, k=10, extra="", where="NOT EXISTS (SELECT 1 FROM uitems u WHERE u.user_id = s.query_id AND u.item_id = s.item_id)"):
     return f"""s AS (SELECT query_id, item_id, round({score}, 9) AS score FROM uv, emb {extra}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {way}, item_id) AS rank FROM s WHERE {where})
-SELECT query_id, item_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= {k}"""
+SELECT query_id, item_id, rank, score FROM ranked WHERE rank <= {k}"""
 
 
 NORMS = "sqrt(list_dot_product(q, q)) + sqrt(list_dot_product(v, v)) - 2 * list_dot_product(q, v)"
 
 
 def ranked(df):
-    return df.select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return df.select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 @R.add("knn_l2", f"WITH {USERVEC}, {ranked_sql(NORMS, 'ASC')}")
@@ -203,7 +203,7 @@ uv AS (SELECT user_id AS query_id, v AS q FROM (
 WITH {BEAMS}, s AS (SELECT query_id, item_id, round(max(list_dot_product(q, v) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(v, v))), 9) AS score FROM uv, emb GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s
   WHERE NOT EXISTS (SELECT 1 FROM uitems u WHERE u.user_id = s.query_id AND u.item_id = s.item_id))
-SELECT query_id, item_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10""")
+SELECT query_id, item_id, rank, score FROM ranked WHERE rank <= 10""")
 def knn_cosine(spark, sf):
     past = clean.before(interactions(spark, sf), THRESHOLD)
     beams = layout.top_k(
