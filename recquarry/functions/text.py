@@ -168,14 +168,31 @@ def hit_vector(results, target) -> Column:
     return F.transform(_c(results), lambda e: F.coalesce(F.contains(e, _c(target)), F.lit(False)))
 
 
+def fixed_decimals(x, precision: int) -> Column:
+    """Text of a double with ``precision`` decimals, rounded from its exact binary value.
+
+    ``format_string`` rounds the shortest decimal form instead, which differs on values
+    such as 0.15 that lie just below a tie.
+    """
+    x = _c(x).cast("double")
+    mag = F.abs(x)
+    whole = F.floor(mag)
+    # the fraction in units of 2**-53, scaled; all integer arithmetic in decimals
+    scaled = ((mag - whole) * F.lit(float(2**53))).cast("decimal(16,0)") * F.lit(10**precision).cast("decimal(8,0)")
+    one = F.lit(2**53).cast("decimal(16,0)")
+    down = F.floor(scaled / one)
+    rest = scaled - down * one
+    half = F.lit(2**52).cast("decimal(16,0)")
+    up = (rest > half) | ((rest == half) & (down % 2 == 1))
+    frac = (down + F.when(up, 1).otherwise(0)).cast("long")
+    carry = frac >= 10**precision
+    whole = whole + F.when(carry, 1).otherwise(0)
+    digits = F.lpad(F.when(carry, F.lit(0)).otherwise(frac).cast("string"), precision, "0")
+    text = F.concat(F.when(x < 0, "-").otherwise(""), whole.cast("string"), F.lit("." if precision else ""), digits if precision else F.lit(""))
+    return F.when(mag < 1e15, text).when(x.isNotNull(), F.format_string(f"%.{precision}f", x))
+
+
 def format_floats(df: DataFrame, precision: int = 6) -> DataFrame:
     """Every float column as fixed-precision text; nulls stay null."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    return df.select(
-        *(
-            F.when(F.col(c).isNotNull(), F.format_string(f"%.{precision}f", F.col(c))).alias(c)
-            if c in floats
-            else F.col(c)
-            for c in df.columns
-        )
-    )
+    return df.select(*(fixed_decimals(c, precision).alias(c) if c in floats else F.col(c) for c in df.columns))

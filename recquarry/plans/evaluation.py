@@ -40,6 +40,11 @@ def rounded(df):
     return df.select(*(c for c in df.columns if c != "value"), F.round("value", 6).alias("value"))
 
 
+def overall(df):
+    """Metrics without a cut-off."""
+    return rounded(df).drop("k")
+
+
 def per_user_sql(metric, expr):
     rows = [
         f"SELECT '{metric}' AS metric, CAST({k} AS BIGINT) AS k, round(avg(x), 6) AS value FROM (SELECT user_id, {expr.format(k=k)} AS x FROM lists GROUP BY user_id)"
@@ -77,9 +82,9 @@ def collect_rank_inputs(spark, sf):
 @R.add("h_gauc", f"""
 WITH {SCORES}, p AS (SELECT a.user_id, count(*) AS pairs, sum(CASE WHEN a.score > b.score THEN 1.0::DOUBLE WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS won
   FROM scores a JOIN scores b ON a.user_id = b.user_id AND a.positive = 1 AND b.positive = 0 GROUP BY 1)
-SELECT 'gauc' AS metric, CAST(NULL AS BIGINT) AS k, round(sum(won / pairs * pos_len) / sum(pos_len), 6) AS value FROM p JOIN pl USING (user_id)""")
+SELECT 'gauc' AS metric, round(sum(won / pairs * pos_len) / sum(pos_len), 6) AS value FROM p JOIN pl USING (user_id)""")
 def h_gauc(spark, sf):
-    return rounded(mt.gauc(mt.collect_mean_ranks(scores(spark, sf))))
+    return overall(mt.gauc(mt.collect_mean_ranks(scores(spark, sf))))
 
 
 LABELLED = """lab AS (SELECT quality AS truth, ('0x' || substr(md5('v#' || labels.doc_id), 1, 8))::BIGINT % 100 / 100.0::DOUBLE AS score FROM labels JOIN documents ON labels.doc_id = documents.doc_id)"""
@@ -93,17 +98,17 @@ def labelled(spark, sf):
 @R.add("h_auc", f"""
 WITH {LABELLED}, g AS (SELECT score, count(*) FILTER (truth > 0) AS p, count(*) FILTER (truth <= 0) AS n FROM lab GROUP BY 1),
 c AS (SELECT *, sum(n) OVER (ORDER BY score) AS cum FROM g)
-SELECT 'auc' AS metric, CAST(NULL AS BIGINT) AS k, round(sum(p * (cum - n / 2.0::DOUBLE)) / (sum(p)::DOUBLE * sum(n)::DOUBLE), 6) AS value FROM c""")
+SELECT 'auc' AS metric, round(sum(p * (cum - n / 2.0::DOUBLE)) / (sum(p)::DOUBLE * sum(n)::DOUBLE), 6) AS value FROM c""")
 def h_auc(spark, sf):
-    return rounded(mt.auc(labelled(spark, sf)))
+    return overall(mt.auc(labelled(spark, sf)))
 
 
 def _error(metric):
-    return lambda spark, sf: rounded(mt.errors(labelled(spark, sf), [metric]))
+    return lambda spark, sf: overall(mt.errors(labelled(spark, sf), [metric]))
 
 
 def error_sql(metric, expr):
-    return f"WITH {LABELLED} SELECT '{metric}' AS metric, CAST(NULL AS BIGINT) AS k, round({expr}, 6) AS value FROM lab"
+    return f"WITH {LABELLED} SELECT '{metric}' AS metric, round({expr}, 6) AS value FROM lab"
 
 
 R.add("h_mae", error_sql("mae", "avg(abs(truth - score))"))(_error("mae"))
