@@ -172,7 +172,7 @@ def fixed_decimals(x, precision: int) -> Column:
     """Text of a double with ``precision`` decimals, rounded from its exact binary value.
 
     ``format_string`` rounds the shortest decimal form instead, which differs on values
-    such as 0.15 that lie just below a tie.
+    such as 0.15 that lie just below a tie; only values near a tie take the exact way.
     """
     x = _c(x).cast("double")
     mag = F.abs(x)
@@ -189,7 +189,9 @@ def fixed_decimals(x, precision: int) -> Column:
     whole = whole + F.when(carry, 1).otherwise(0)
     digits = F.lpad(F.when(carry, F.lit(0)).otherwise(frac).cast("string"), precision, "0")
     text = F.concat(F.when(x < 0, "-").otherwise(""), whole.cast("string"), F.lit("." if precision else ""), digits if precision else F.lit(""))
-    return F.when(mag < 1e15, text).when(x.isNotNull(), F.format_string(f"%.{precision}f", x))
+    shifted = mag * F.lit(float(10**precision))
+    near_tie = (F.abs(shifted - F.floor(shifted) - 0.5) < 1e-3) & (mag < 1e15)
+    return F.when(near_tie, text).when(x.isNotNull(), F.format_string(f"%.{precision}f", x))
 
 
 def format_floats(df: DataFrame, precision: int = 6) -> DataFrame:

@@ -111,16 +111,11 @@ def min_interactions(df: DataFrame, n: int = 5, min_date: str | None = None) ->
 
 
 def profile(df: DataFrame, stage: str) -> DataFrame:
-    """Number of rows, users and items; distinct keys are reduced map-side first."""
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    users = df.select("user_id").distinct().agg(F.count(F.lit(1)).alias("n"))
-    items = df.select("item_id").distinct().agg(F.count(F.lit(1)).alias("n"))
-    rows = (
-        n.select(F.lit("points").alias("metric"), "n")
-        .unionByName(users.select(F.lit("users").alias("metric"), "n"))
-        .unionByName(items.select(F.lit("items").alias("metric"), "n"))
+    """Number of rows, users and items from one scan; distinct keys are reduced map-side."""
+    one = df.agg(
+        F.count(F.lit(1)).alias("points"), F.count_distinct("user_id").alias("users"), F.count_distinct("item_id").alias("items")
     )
-    return rows.select(F.lit(stage).alias("stage"), "metric", F.col("n").cast("long").alias("n"))
+    return one.select(F.lit(stage).alias("stage"), F.expr("stack(3, 'points', points, 'users', users, 'items', items) as (metric, n)"))
 
 
 def phase_domain_summary(df: DataFrame, phases: Sequence[str], domain: str = "domain") -> DataFrame:
@@ -144,12 +139,10 @@ def decay_popularity(df: DataFrame, threshold: str, half_life: float = 90, gamma
 
 def dataset_stats(df: DataFrame) -> DataFrame:
     """User and item numbers include the padding entry, also inside the sparsity."""
-    n = df.agg(F.count(F.lit(1)).alias("inter_num"))
-    u = df.select("user_id").distinct().agg((F.count(F.lit(1)) + 1).alias("user_num"))
-    i = df.select("item_id").distinct().agg((F.count(F.lit(1)) + 1).alias("item_num"))
-    one = F.lit(1).alias("one")
-    wide = (
-        n.select(one, "inter_num").join(u.select(one, "user_num"), "one").join(i.select(one, "item_num"), "one")
+    wide = df.agg(
+        F.count(F.lit(1)).alias("inter_num"),
+        (F.count_distinct("user_id") + 1).alias("user_num"),
+        (F.count_distinct("item_id") + 1).alias("item_num"),
     )
     inter, users, its = (F.col(c).cast("double") for c in ("inter_num", "user_num", "item_num"))
     return wide.select(

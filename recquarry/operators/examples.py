@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recquarry.functions import text as tx
 from recquarry.operators import sequences as sq
-from recquarry.operators.clean import before
+from recquarry.operators.clean import before, phase_of
 
 
 def with_item_info(log: DataFrame, items: DataFrame) -> DataFrame:
@@ -55,14 +55,17 @@ def render(df: DataFrame, prompt: str = tx.PROMPT) -> DataFrame:
 
 
 def phase_targets(
-    histories: DataFrame, phase: str, start: str, end: str, min_len: int = 5, max_user_sample: int = 5, seed: str = "0",
-    user: str = "user_id",
+    histories: DataFrame, phases: Sequence, min_len: int = 5, max_user_sample: int = 5, seed: str = "0", user: str = "user_id"
 ) -> DataFrame:
-    """Targets of one phase; only the first phase limits targets per user."""
-    if phase == "test":
-        return sq.test_targets(histories, start, end)
-    chosen = sq.train_targets(histories, start, end, min_len)
-    return sq.cap_per_user(chosen, max_user_sample if phase == "pretrain" else None, seed, user)
+    """Targets of all phases, labelled; only the first phase limits targets per user."""
+    labelled = histories.withColumn("phase", phase_of("ts", phases))
+    train = (F.col("phase") != "test") & (F.col("pos") >= min_len)
+    test = (F.col("phase") == "test") & (F.col("pos") == F.col("len"))
+    chosen = labelled.where(train | test)
+    if "pretrain" not in [p[0] for p in phases]:
+        return chosen
+    capped = sq.cap_per_user(chosen.where(F.col("phase") == "pretrain"), max_user_sample, seed, user)
+    return chosen.where(F.col("phase") != "pretrain").unionByName(capped)
 
 
 def build_examples(
@@ -80,26 +83,19 @@ def build_examples(
     Histories come from one pass over the log and reach across phase borders; the variant
     to keep is drawn before any text is rendered.  Only test rows carry the history.
     """
-    horizon = phases[-1][2]
-    info = with_item_info(before(log, horizon), items)
+    info = with_item_info(before(log, phases[-1][2]), items)
     histories = sq.history_window(info, max_len, item="info")
-    parts = []
-    for phase, start, end in phases:
-        test = phase == "test"
-        rows = variants(phase_targets(histories, phase, start, end, min_len, max_user_sample, seed), index, test)
-        if not test and index == "sem_id":
-            stamp = F.unix_millis(F.col("ts").cast("timestamp"))
-            rows = sq.sample_variant(
-                rows.withColumn("_ms", stamp), ["user_id", "item_id", "_ms", "aux"], ["pos", "variant"], seed
-            )
-        ids = F.col("history.item_id")
-        parts.append(
-            render(rows).select(
-                F.lit(phase).alias("phase"), "user_id", "ts", "item_id", "messages",
-                (ids if test else F.lit(None).cast(items.select(F.array("item_id").alias("a")).schema["a"].dataType)).alias("history"),
-            )
-        )
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    targets = phase_targets(histories, phases, min_len, max_user_sample, seed)
+    is_test = F.col("phase") == "test"
+    if index == "sem_id":
+        train = variants(targets.where(~is_test), index, False).withColumn("_ms", F.unix_millis(F.col("ts").cast("timestamp")))
+        train = sq.sample_variant(train, ["user_id", "item_id", "_ms", "aux"], ["pos", "variant"], seed).drop("_ms")
+        rows = train.unionByName(variants(targets.where(is_test), index, True))
+    else:
+        rows = variants(targets, index, False)
+    return render(rows).select(
+        "phase", "user_id", "ts", "item_id", "messages", F.when(is_test, F.col("history.item_id")).alias("history")
+    )
 
 
 def item_dialogues(items: DataFrame, n: int = 5, seed: str = "0") -> DataFrame:

@@ -68,21 +68,33 @@ def sample_variant(df: DataFrame, keys: Sequence[str], tie: Sequence[str], seed:
     return top_k(df, keys, [draw_hex(seed, *keys, *tie), *tie], 1, "_r").drop("_r")
 
 
-def last_items(df: DataFrame, max_len: int, user: str = "user_id", order=("ts", "item_id"), limit=None) -> DataFrame:
-    """History and target of leave-last-out: the last row and the ``max_len`` before it."""
+def last_items(
+    df: DataFrame, max_len: int, user: str = "user_id", order=("ts", "item_id"), item: str = "item_id", limit=None
+) -> DataFrame:
+    """History and target of leave-last-out: the last row and the ``max_len`` before it.
+
+    Only those rows are collected, so this is much cheaper than histories for every row.
+    """
     b = number_rows(df, [user], order, limit).where(F.col("_pos") >= F.col("_len") - max_len)
-    rows = F.sort_array(F.collect_list(F.struct("_pos", "item_id", "ts")))
+    rows = F.sort_array(F.collect_list(F.struct("_pos", F.col(item).alias("item"), "ts")))
     g = b.groupBy(user).agg(rows.alias("r"), F.max("_len").alias("len"))
     n = F.size("r")
     return g.select(
         user,
-        F.slice("r.item_id", F.lit(1), n - 1).alias("history"),
+        F.slice("r.item", F.lit(1), n - 1).alias("history"),
         F.slice("r.ts", F.lit(1), n - 1).alias("history_ts"),
-        F.element_at("r.item_id", -1).alias("target"),
+        F.element_at("r.item", -1).alias("target"),
+        F.element_at("r.ts", -1).alias("ts"),
         "len",
     )
 
 
+def test_examples(df: DataFrame, start: str, end: str, max_len: int = 30, user: str = "user_id", item: str = "item_id", **kw) -> DataFrame:
+    """``last_items`` of the users whose last row falls into the window."""
+    last = last_items(df, max_len, user, item=item, **kw)
+    return last.where((F.col("ts") >= ntz(start)) & (F.col("ts") < ntz(end)))
+
+
 def user_sequences(
     df: DataFrame, page: int = 10_000, user: str = "user_id", order=("ts", "item_id"), limit=None
 ) -> DataFrame:
@@ -203,15 +215,19 @@ def negatives(n, item_num: int, reject, seed: str, *key) -> Column:
     pool = item_num - 1
     reject = F.col(reject) if isinstance(reject, str) else reject
 
-    def slot(j):
+    def draws(j):
         h = draw_hex(seed, *key, j)
-        tries = [F.conv(F.substring(h, 1 + 8 * t, 8), 16, 10).cast("long") % pool + 1 for t in range(4)]
+        return F.array(*(F.conv(F.substring(h, 1 + 8 * t, 8), 16, 10).cast("long") % pool + 1 for t in range(4)))
+
+    def pick(tries):
         if reject is None:
-            return tries[0]
-        walk = F.transform(F.sequence(F.lit(1), F.size(reject)), lambda t: (tries[0] - 1 + t) % pool + 1)
-        return F.get(F.filter(F.concat(F.array(*tries), walk), lambda x: ~F.array_contains(reject, x)), F.lit(0))
+            return F.get(tries, F.lit(0))
+        allowed = lambda x: ~F.array_contains(reject, x)
+        walk = F.transform(F.sequence(F.lit(1), F.size(reject)), lambda t: (F.get(tries, F.lit(0)) - 1 + t) % pool + 1)
+        # the walk is only built when all four draws were rejected
+        return F.coalesce(F.get(F.filter(tries, allowed), F.lit(0)), F.get(F.filter(walk, allowed), F.lit(0)))
 
-    slots = F.transform(F.sequence(F.lit(1), n), slot)
+    slots = F.transform(F.transform(F.sequence(F.lit(1), n), draws), pick)
     return F.when(n > 0, slots).otherwise(F.array().cast("array<bigint>"))
 
 

@@ -204,7 +204,7 @@ def title_outputs(spark, sf):
     titles = items(spark, sf).select("item_id", "title")
     log = clean.before(interactions(spark, sf), HORIZON).join(titles, "item_id")
     log = log.withColumn("info", F.struct("item_id", "title"))
-    t = sq.test_targets(sq.history_window(log, item="info"), *phase("test")).where("pos > 5")
+    t = sq.test_examples(log, *phase("test"), item="info").where("len > 5").withColumn("item_id", F.col("target.item_id"))
     # generators answer with more than a title; only the first line counts
     said = F.reverse(F.transform("history", lambda h: F.concat(F.lit(" "), h["title"], F.lit("\nDescription: generated"))))
     runs = F.array(
@@ -264,7 +264,7 @@ def code_outputs(spark, sf):
     known = vectors(spark, sf).select("item_id", F.lit(True).alias("has"))
     log = clean.before(interactions(spark, sf), HORIZON).join(known, "item_id", "left")
     log = log.withColumn("info", F.struct("item_id", F.coalesce("has", F.lit(False)).alias("has")))
-    t = sq.test_targets(sq.history_window(log, item="info"), *phase("test"))
+    t = sq.test_examples(log, *phase("test"), item="info").withColumn("item_id", F.col("target.item_id"))
     usable = F.filter("history", lambda h: h["has"])
     t = t.where(F.size(usable) > 0).select(
         "user_id", "item_id", F.col("history.item_id").alias("history"), F.element_at(usable, -1)["item_id"].alias("vec")

@@ -286,7 +286,7 @@ WITH {SEQ}, {ITEMS}, t AS (SELECT * FROM seq WHERE pos = len AND ts >= TIMESTAMP
 SELECT t.user_id, coalesce(string_agg(i.title || '/' || i.description, '|' ORDER BY s.pos), '') AS history
 FROM t LEFT JOIN seq s ON s.user_id = t.user_id AND s.pos BETWEEN t.pos - 30 AND t.pos - 1 LEFT JOIN items i ON i.item_id = s.item_id GROUP BY 1""")
 def history_lookup(spark, sf):
-    t = sq.test_targets(sq.history_window(clean.before(interactions(spark, sf), HORIZON)), *phase("test"))
+    t = sq.test_examples(clean.before(interactions(spark, sf), HORIZON), *phase("test"))
     h = sq.history_lookup(t, ["user_id"], items(spark, sf), ["title", "description"])
     text = F.transform("history_info", lambda i: F.concat(i["title"], F.lit("/"), i["description"]))
     return h.select("user_id", F.array_join(text, "|").alias("history"))
@@ -300,6 +300,6 @@ FROM t LEFT JOIN seq s ON s.user_id = t.user_id AND s.pos BETWEEN t.pos - 30 AND
 def history_index_map(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), "p_retailprice")
     index = layout.index_rows(p, ["p_retailprice", "item_id"], "item_idx")
-    t = sq.test_targets(sq.history_window(clean.before(interactions(spark, sf), HORIZON)), *phase("test"))
+    t = sq.test_examples(clean.before(interactions(spark, sf), HORIZON), *phase("test"))
     h = sq.history_lookup(t, ["user_id"], index, ["item_idx"])
     return h.select("user_id", joined(F.col("history_info.item_idx")).alias("history_idx"))
