@@ -177,14 +177,18 @@ def fixed_decimals(x, precision: int) -> Column:
     x = _c(x).cast("double")
     mag = F.abs(x)
     whole = F.floor(mag)
-    # the fraction in units of 2**-53, scaled; all integer arithmetic in decimals
-    scaled = ((mag - whole) * F.lit(float(2**53))).cast("decimal(16,0)") * F.lit(10**precision).cast("decimal(8,0)")
-    one = F.lit(2**53).cast("decimal(16,0)")
-    down = F.floor(scaled / one)
-    rest = scaled - down * one
-    half = F.lit(2**52).cast("decimal(16,0)")
-    up = (rest > half) | ((rest == half) & (down % 2 == 1))
-    frac = (down + F.when(up, 1).otherwise(0)).cast("long")
+    # the fraction in units of 2**-81, from three exact 27-bit pieces
+    unit, rest, exact = F.lit(float(2**27)), mag - whole, None
+    for _ in range(3):
+        piece = F.floor(rest * unit)
+        rest = rest * unit - piece
+        digits = piece.cast("decimal(9,0)")
+        exact = digits if exact is None else exact * F.lit(2**27).cast("decimal(9,0)") + digits
+    scaled = exact.cast("decimal(25,0)") * F.lit(10**precision).cast("decimal(8,0)")
+    one, half = (F.lit(str(2**e)).cast("decimal(25,0)") for e in (81, 80))
+    down, left = F.call_function("div", scaled, one), scaled % one
+    up = (left > half) | ((left == half) & (down % 2 == 1))
+    frac = down + F.when(up, 1).otherwise(0)
     carry = frac >= 10**precision
     whole = whole + F.when(carry, 1).otherwise(0)
     digits = F.lpad(F.when(carry, F.lit(0)).otherwise(frac).cast("string"), precision, "0")

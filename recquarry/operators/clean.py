@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recquarry.operators.layout import broadcast_if_small
 
 # Half-open phase windows.
 PHASE_WINDOWS = [
@@ -158,17 +157,13 @@ def dataset_stats(df: DataFrame) -> DataFrame:
 def normalized_adjacency(df: DataFrame, user_num: int, user: str = "user_id", item: str = "item_id") -> DataFrame:
     """Edges of the bipartite graph in both directions with weight deg^-1/2 * deg^-1/2.
 
-    Degrees are counted per side, so the hot end of an edge meets one row only.
+    Parallel edges stay separate rows.  Degrees are one row per node, so a hot node only
+    widens the streamed side of its join.
     """
-    pairs = df.select(F.col(user).cast("long").alias("u"), (F.col(item).cast("long") + user_num).alias("i"))
-    # parallel edges share a weight; carry their multiplicity instead of repeating the joins
-    edges = pairs.groupBy("u", "i").agg(F.count(F.lit(1)).alias("copies"))
-    du = edges.groupBy("u").agg(F.sum("copies").alias("du"))
-    di = edges.groupBy("i").agg(F.sum("copies").alias("di"))
-    weighted = (
-        edges.join(du, "u").join(di, "i").withColumn("weight", (1 / F.sqrt("du")) * (1 / F.sqrt("di")))
-        .withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    )
+    edges = df.select(F.col(user).cast("long").alias("u"), (F.col(item).cast("long") + user_num).alias("i"))
+    du = edges.groupBy("u").agg((1 / F.sqrt(F.count(F.lit(1)))).alias("wu"))
+    di = edges.groupBy("i").agg((1 / F.sqrt(F.count(F.lit(1)))).alias("wi"))
+    weighted = edges.join(du, "u").join(di, "i").select("u", "i", (F.col("wu") * F.col("wi")).alias("weight"))
     both = F.explode(
         F.array(
             F.struct(F.col("u").alias("src"), F.col("i").alias("dst")),

@@ -117,3 +117,18 @@ def truncate_outputs(df: DataFrame, key: Sequence[str], beams: int, output: str
     return df.select(*key, F.posexplode(F.slice(F.col(output), 1, beams)).alias("beam", "_t")).select(
         *key, F.col("beam").cast("long").alias("beam"), tx.first_line("_t").alias("text")
     )
+
+
+def generation_turns(turns: DataFrame, mode: str, conversation: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Conversations as rows with the last turn replaced by the prefix the generator continues.
+
+    Works row by row after one combined maximum, so a conversation may be of any length.
+    """
+    last = turns.groupBy(conversation).agg(F.max(order).alias("_last"))
+    is_last = F.col(order) == F.col("_last")
+    return turns.join(last, conversation).select(
+        conversation,
+        order,
+        F.when(is_last, "assistant").otherwise(F.col("role")).alias("role"),
+        F.when(is_last, tx.GENERATION_PREFIX[mode]).otherwise(F.col("text")).alias("content"),
+    )

@@ -24,23 +24,27 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``."""
+    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    known = spark.sparkContext.getCheckpointDir()
-    if known:
-        return known
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="recquarry-")
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="recquarry-"))
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint; survives executor loss."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    sc = df.sparkSession.sparkContext
+    folder = shared_dir(df.sparkSession)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -54,9 +58,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(written) if seen <= max_rows else written
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality of the key columns of two frames."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Null-safe join on key columns; the right side's keys do not appear twice."""
+    renamed = right.select(*(F.col(k).alias(f"_right_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, on, how).drop(*(f"_right_{k}" for k in keys))
 
 
 def _total_by_partition(sorted_df: DataFrame, values: dict[str, Column]):
@@ -148,16 +154,17 @@ def window_blocks(
 
     if hot is None:
         return number(df)
-    hot = broadcast_if_small(hot)
-    cold_part = df.join(hot, same_key(df, hot, keys), "left_anti")
-    hot_part = df.join(hot, same_key(df, hot, keys), "left_semi")
-    # the row counter makes sort keys unique, so equal rows still spread
-    spread = hot_part.withColumn("_tie", F.monotonically_increasing_id())
+    hot = broadcast_if_small(hot.select(*keys))
+    cold_part = join_keys(df, hot, keys, "left_anti")
+    hot_part = join_keys(df, hot, keys, "left_semi")
+    # the row counter makes sort keys unique, so equal rows still spread; written first, so
+    # that a task run again after a lost executor sees the same counter
+    spread = materialize(hot_part.withColumn("_tie", F.monotonically_increasing_id()))
     placed = index_rows(spread, [*keys, *order, "_tie"], "_g").drop("_tie")
     starts = placed.groupBy(*keys).agg(F.min("_g").alias("_start"), F.count(F.lit(1)).alias("_len"))
     starts = broadcast_if_small(starts)
-    joined = placed.join(starts, same_key(placed, starts, keys)).select(
-        *(placed[c] for c in df.columns), (placed["_g"] - starts["_start"] + 1).alias("_pos"), starts["_len"]
+    joined = join_keys(placed, starts, keys, "inner").select(
+        *df.columns, (F.col("_g") - F.col("_start") + 1).alias("_pos"), "_len"
     )
     home = F.floor((F.col("_pos") - 1) / F.lit(block)).cast("long")
     inside = (F.col("_pos") - 1) % F.lit(block)
@@ -202,17 +209,16 @@ def running_sums(
     hot = hot_keys(df, keys, limit)
     if hot is None:
         return plain(df)
-    hot = broadcast_if_small(hot)
-    cold_part = df.join(hot, same_key(df, hot, keys), "left_anti")
-    hot_part = df.join(hot, same_key(df, hot, keys), "left_semi")
+    hot = broadcast_if_small(hot.select(*keys))
+    cold_part = join_keys(df, hot, keys, "left_anti")
+    hot_part = join_keys(df, hot, keys, "left_semi")
     summed = global_running_sums(hot_part, [*keys, *order], values)
     base = summed.groupBy(*keys).agg(
         *(F.min(F.col(n) - F.col(c)).alias(f"_base_{n}") for n, c in values.items())
     )
     base = broadcast_if_small(base)
-    levelled = summed.join(base, same_key(summed, base, keys)).select(
-        *(summed[c] for c in df.columns),
-        *((summed[n] - base[f"_base_{n}"]).cast("long").alias(n) for n in values),
+    levelled = join_keys(summed, base, keys, "inner").select(
+        *df.columns, *((F.col(n) - F.col(f"_base_{n}")).cast("long").alias(n) for n in values)
     )
     return plain(cold_part).unionByName(levelled)
 
@@ -228,7 +234,7 @@ def kth_smallest(
 ) -> DataFrame:
     """Exact k-th smallest ``value`` per key with k = int(count * rate).
 
-    Returns ``(keys, k, kth)``; ``kth`` is null when k = 0.  A histogram narrows the
+    Returns ``(keys, kth_index, kth)`` with kth_index = k; ``kth`` is null when k = 0.  A histogram narrows the
     search to one bucket per key and only that bucket is ranked, over its distinct
     values.
     """
@@ -236,7 +242,7 @@ def kth_smallest(
     bounds = df.groupBy(*keys).agg(
         F.min(value).cast("double").alias("_lo"),
         F.max(value).cast("double").alias("_hi"),
-        F.floor(F.count(F.lit(1)) * F.lit(float(rate))).cast("long").alias("k"),
+        F.floor(F.count(F.lit(1)) * F.lit(float(rate))).cast("long").alias("_k"),
     )
     bounds = broadcast_if_small(bounds)
     slot = F.when(
@@ -247,23 +253,23 @@ def kth_smallest(
         ),
     ).otherwise(F.lit(0))
     slotted = df.select(*keys, value).join(bounds, keys).withColumn("_b", slot.cast("int"))
-    hist = slotted.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"), F.first("k").alias("k"))
+    hist = slotted.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"), F.first("_k").alias("_k"))
     # at most `buckets` rows per key
     upto = hist.withColumn(
         "_upto", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
     )
     chosen = (
-        upto.where((F.col("_upto") >= F.col("k")) & (F.col("_upto") - F.col("_n") < F.col("k")))
+        upto.where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
         .select(*keys, "_b", (F.col("_upto") - F.col("_n")).alias("_below"))
     )
     chosen = broadcast_if_small(chosen)
     rest = (
         slotted.join(chosen, [*keys, "_b"])
         .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"), F.first("_below").alias("_below"), F.first("k").alias("k"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.first("_below").alias("_below"), F.first("_k").alias("_k"))
     )
     ranked = running_sums(rest, keys, [value], {"_cum": "_n"}, limit)
     found = (
-        ranked.where(F.col("_below") + F.col("_cum") >= F.col("k")).groupBy(*keys).agg(F.min(value).alias("kth"))
+        ranked.where(F.col("_below") + F.col("_cum") >= F.col("_k")).groupBy(*keys).agg(F.min(value).alias("kth"))
     )
-    return bounds.select(*keys, "k").join(found, keys, "left")
+    return bounds.select(*keys, F.col("_k").alias("kth_index")).join(found, keys, "left")

@@ -217,20 +217,22 @@ def packed_lengths(spark, sf):
     return c.select("user_id", "chunk", *(joined(F.col(f"p.{n}")).alias(n) for n in ("ids", "lengths", "positions")))
 
 
-@R.add("generation_prompt", f"""
-WITH m AS (SELECT conv_id, turn, role, text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
-p AS (SELECT conv_id, coalesce(string_agg(role || ':' || text, '|' ORDER BY turn) FILTER (turn < last), '') AS head FROM m GROUP BY 1)
-SELECT conv_id, CASE WHEN head = '' THEN '' ELSE head || '|' END || 'assistant:Recommended Item Title:' AS title_prompt,
-  CASE WHEN head = '' THEN '' ELSE head || '|' END || 'assistant:Recommended Item Index: ' AS sem_id_prompt FROM p""")
+@R.add("generation_prompt", """
+WITH m AS (SELECT *, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
+SELECT 'title' AS mode, conv_id, turn, CASE WHEN last THEN 'assistant' ELSE role END AS role, CASE WHEN last THEN 'Recommended Item Title:' ELSE text END AS content FROM m
+UNION ALL SELECT 'sem_id', conv_id, turn, CASE WHEN last THEN 'assistant' ELSE role END, CASE WHEN last THEN 'Recommended Item Index: ' ELSE text END FROM m""")
 def generation_prompt(spark, sf):
-    # a conversation arrives as one message list; the table holds its turns
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("t"))
-    messages = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
-    c = c.select("conv_id", messages.alias("m"))
-    return c.select(
-        "conv_id", flat(tx.generation_prompt("m", "title")).alias("title_prompt"), flat(tx.generation_prompt("m", "sem_id")).alias("sem_id_prompt")
-    )
+    c = table(spark, sf, "conversations")
+    made = [ex.generation_turns(c, m).select(F.lit(m).alias("mode"), "conv_id", "turn", "role", "content") for m in ("title", "sem_id")]
+    return made[0].unionByName(made[1])
+
+
+@R.add("generation_prompt_examples", f"""
+WITH {TARGETS} SELECT user_id, 'user:' || {q(tx.PROMPT.format(index='item index') + chr(10))} || sem_id_history || '|assistant:Recommended Item Index: ' AS messages
+FROM blocks WHERE ts >= TIMESTAMP '2001-01-01' AND pos = len""")
+def generation_prompt_examples(spark, sf):
+    b = ex.build_examples(interactions(spark, sf), catalog(spark, sf), PHASES, "sem_id").where("phase = 'test'")
+    return b.select("user_id", flat(tx.generation_prompt("messages", "sem_id")).alias("messages"))
 
 
 @R.add("hit_vector", """
