@@ -115,15 +115,15 @@ def code_neighbors(codebook: DataFrame, layer: int | None = None) -> DataFrame:
 
 def collision_report(codes: DataFrame, prefix_len: int) -> DataFrame:
     """Largest cluster sharing the leading codes, and how many items collide completely."""
-    groups = codes.groupBy(F.slice("codes", 1, prefix_len).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     full = codes.groupBy("codes").agg(F.count(F.lit(1)).alias("n"))
-    a = groups.agg(F.max("n").alias("max_cluster_size"), F.lit(1).alias("one"))
-    b = full.agg(
-        F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).cast("long").alias("colliding_items"),
-        F.sum("n").cast("long").alias("items"),
-        F.lit(1).alias("one"),
+    groups = full.groupBy(F.slice("codes", 1, prefix_len).alias("p")).agg(
+        F.sum("n").alias("size"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("colliding")
+    )
+    return groups.agg(
+        F.max("size").cast("long").alias("max_cluster_size"),
+        F.sum("colliding").cast("long").alias("colliding_items"),
+        F.sum("size").cast("long").alias("items"),
     )
-    return a.join(b, "one").drop("one")
 
 
 def resolve_collisions(codes: DataFrame, neighbors: DataFrame) -> DataFrame:
@@ -217,11 +217,11 @@ def legal_next(
         .withColumn("at", F.least(F.col("level"), F.lit(n_layers - 1)))
         .withColumn("prefix", F.slice("tail_codes", F.lit(1), F.col("at")))
     )
-    root = prefixes.where(F.col("level") == 0).select(F.col("next_codes").alias("root_codes"), F.lit(1).alias("one"))
+    root = prefixes.where(F.col("level") == 0).select(F.col("level").alias("root"), F.col("next_codes").alias("root_codes"))
     nodes = prefixes.select(F.col("level").alias("at"), "prefix", "next_codes")
-    # root rows never join: their node is the one broadcast row
-    keyed = walked.withColumn("prefix", F.when(F.col("at") > 0, F.col("prefix"))).withColumn("one", F.lit(1))
-    looked = keyed.join(nodes.where(F.col("at") > 0), ["at", "prefix"], "left").join(F.broadcast(root), "one", "left")
+    # the root is one broadcast row, so requests at the root do not meet in one task
+    keyed = walked.withColumn("prefix", F.when(F.col("at") > 0, F.col("prefix"))).withColumn("root", F.col("at") - F.col("at"))
+    looked = keyed.join(nodes.where(F.col("at") > 0), ["at", "prefix"], "left").join(F.broadcast(root), "root", "left")
     full = F.col("level") == n_layers
     complete = full & F.array_contains("next_codes", F.get("tail_codes", F.lit(n_layers - 1)))
     inside = (F.col("level") > 0) & ~full & F.col("next_codes").isNotNull()
@@ -244,12 +244,12 @@ def constrained_beam(scores: DataFrame, prefixes: DataFrame, width: int = 20, n_
     expands a query's beams by their legal codes and keeps the best, so at most
     ``width * codes`` rows per query exist at a time.
     """
-    root = prefixes.where(F.col("level") == 0).select(F.col("next_codes"), F.lit(1).alias("one"))
+    root = prefixes.where(F.col("level") == 0).select(F.col("level").alias("layer"), "next_codes")
     beams = None
     for level in range(n_layers):
-        layer = scores.where(F.col("layer") == level).select("query_id", "logp")
+        layer = scores.where(F.col("layer") == level).select("query_id", "layer", "logp")
         if beams is None:
-            here = layer.withColumn("one", F.lit(1)).join(F.broadcast(root), "one").drop("one")
+            here = layer.join(F.broadcast(root), "layer")
             here = here.withColumn("prefix", F.array().cast("array<int>")).withColumn("score", F.lit(0.0))
         else:
             nodes = prefixes.where(F.col("level") == level).select("prefix", "next_codes")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recquarry.functions import text as tx
-from recquarry.operators.layout import global_running_sums, index_rows, running_sums, top_k
+from recquarry.operators.layout import global_running_sums, index_rows, materialize, running_sums, top_k
 
 # What each metric needs, whether small is good, and its kind.
 METRICS = {
@@ -212,23 +212,21 @@ def list_metrics(
     rankings run over items, not over recommendations.
     """
     parts = []
-    per_item = _item_counts(lists, ks, item)
-    flat = _by_k(per_item, ks, [item])
-    one = F.lit(1).alias("one")
-    users = lists.select(user).distinct().agg(F.count(F.lit(1)).alias("users"), F.first(F.lit(1)).alias("one"))
+    # one row per recommended item and cut-off, written once for all metrics
+    flat = materialize(_by_k(_item_counts(lists, ks, item), ks, [item]))
+    if {"averagepopularity", "tailpercentage"} & set(names):
+        slots = F.col("k") * lists.select(F.count_distinct(user)).first()[0]
     if "itemcoverage" in names:
         got = flat.groupBy("k").agg((F.count(F.lit(1)) / F.lit(float(num_items))).alias("value"))
         parts.append(got.select(F.lit("itemcoverage").alias("metric"), "k", "value"))
     if "averagepopularity" in names:
         known = flat.join(counts.select(item, F.col("count").alias("pop")), item, "left")
-        got = known.groupBy("k").agg(F.sum(F.col("c") * F.coalesce("pop", F.lit(0))).alias("s"), F.max(one).alias("one"))
-        got = got.join(users, "one").select("k", (F.col("s") / (F.col("k") * F.col("users"))).alias("value"))
+        got = known.groupBy("k").agg(F.sum(F.col("c") * F.coalesce("pop", F.lit(0))).alias("s")).select("k", (F.col("s") / slots).alias("value"))
         parts.append(got.select(F.lit("averagepopularity").alias("metric"), "k", "value"))
     if "tailpercentage" in names:
-        rare = flat.join(tail_items(counts, tail, item), item, "left_semi")
-        got = rare.groupBy("k").agg(F.sum("c").alias("s"))
-        every = flat.select("k").distinct().withColumn("one", F.lit(1)).join(users, "one").join(got, "k", "left")
-        got = every.select("k", (F.coalesce("s", F.lit(0)) / (F.col("k") * F.col("users"))).alias("value"))
+        rare = tail_items(counts, tail, item).withColumn("rare", F.lit(1))
+        marked = flat.join(rare, item, "left")
+        got = marked.groupBy("k").agg(F.sum(F.col("c") * F.coalesce("rare", F.lit(0))).alias("s")).select("k", (F.col("s") / slots).alias("value"))
         parts.append(got.select(F.lit("tailpercentage").alias("metric"), "k", "value"))
     # few distinct frequencies remain per k
     tally = flat.groupBy("k", "c").agg(F.count(F.lit(1)).alias("m"))
@@ -272,7 +270,7 @@ def evaluate(
     top = [n for n in names if n in TOP_METRICS]
     lists = [n for n in names if n in LIST_METRICS]
     if top or lists:
-        ranks = collect_ranks(scores, max(ks))
+        ranks = materialize(collect_ranks(scores, max(ks)))
         if top:
             parts.append(top_metrics(ranks, top, ks))
         if lists:

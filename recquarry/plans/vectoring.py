@@ -445,12 +445,11 @@ BEAM = f"{SCORED}, {beam_sql()}"
 def beam_scores(spark, sf):
     """Log-scores per query and layer: minus the distance to every centroid of the layer."""
     q = vectors(spark, sf).select(F.col("item_id").alias("query_id"), "vector")
-    book = codebook(spark, sf).groupBy("layer").agg(F.sort_array(F.collect_list(F.struct("code", "centroid"))).alias("b"))
     # one row per layer of a codebook whose size is a parameter
-    whole = book.groupBy(F.lit(1).alias("one")).agg(F.sort_array(F.collect_list(F.struct("layer", "b"))).alias("layers"))
-    rows = q.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one").select("query_id", "vector", F.explode("layers").alias("l"))
-    dist = F.transform(F.col("l.b"), lambda c: -vx.norm(vx.subtract(c["centroid"], F.col("vector"))))
-    return rows.select("query_id", F.col("l.layer").alias("layer"), dist.alias("logp"))
+    book = codebook(spark, sf).groupBy("layer").agg(F.sort_array(F.collect_list(F.struct("code", "centroid"))).alias("b"))
+    rows = q.withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(LAYERS - 1)))).join(F.broadcast(book), "layer")
+    dist = F.transform("b", lambda c: -vx.norm(vx.subtract(c["centroid"], F.col("vector"))))
+    return rows.select("query_id", "layer", dist.alias("logp"))
 
 
 def beams(spark, sf, codes):
