@@ -10,6 +10,15 @@ def _c(v) -> Column:
     return F.col(v) if isinstance(v, str) else v
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value computed once per row.
+
+    An expression captured by a lambda is evaluated again for every element; passing it as
+    the element of a one-entry array avoids that.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def truncate_score(score, method: str) -> Column:
     """``ceil``, ``floor`` or ``around`` (half to even)."""
     how = {"ceil": F.ceil, "floor": F.floor, "around": F.bround}

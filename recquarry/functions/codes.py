@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recquarry.functions.arrays import let
+
 # Token layout of the code vocabulary.
 START_ID = 151669
 CODES_PER_LAYER = 256
@@ -38,11 +40,11 @@ def parse_sem_id(text, n_layers: int = N_LAYERS, layer_size: int = CODES_PER_LAY
     )
     valid = F.filter(found, lambda x: (x["layer"] < n_layers) & (x["code"] < layer_size))
 
-    def last(layer: int) -> Column:
-        here = F.filter(valid, lambda x: x["layer"] == layer)
-        return F.when(F.size(here) > 0, F.get(here, F.size(here) - 1)["code"]).otherwise(-1)
+    def last(marks, layer: int) -> Column:
+        here = F.filter(marks, lambda x: x["layer"] == layer)
+        return F.coalesce(F.try_element_at(here, F.lit(-1))["code"], F.lit(-1))
 
-    return F.array(*(last(i) for i in range(n_layers)))
+    return let(valid, lambda marks: F.array(*(last(marks, i) for i in range(n_layers))))
 
 
 def code_to_token(layer, code, start: int = START_ID, layer_size: int = CODES_PER_LAYER) -> Column:

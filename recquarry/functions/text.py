@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recquarry.functions.arrays import let
+
 # Message layout that generated outputs are parsed by.
 THINK_PREFIX = "<think>\n\n</think>\n\n"
 ITEM_LABEL = {"title": "Title: ", "sem_id": "Item Index: "}
@@ -116,8 +118,11 @@ def first_words(text, n: int) -> Column:
     """The text up to the end of its n-th whitespace token, or the whole text."""
     text = _c(text)
     head = F.regexp_extract(text, rf"^(?:\s*\S+){{0,{n}}}", 0)
-    # nothing but blanks may follow for the text to count as uncut
-    return F.when(F.trim(F.regexp_replace(F.substr(text, F.length(head) + 1), r"\s", "")) == "", text).otherwise(head)
+    # only a further token makes it a cut
+    return let(
+        F.struct(text.alias("all"), head.alias("head")),
+        lambda t: F.when(F.rlike(F.substr(t["all"], F.length(t["head"]) + 1), F.lit(r"\S")), t["head"]).otherwise(t["all"]),
+    )
 
 
 def truncate_description(title, description, max_tokens: int = 64) -> Column:
@@ -127,10 +132,13 @@ def truncate_description(title, description, max_tokens: int = 64) -> Column:
     truncated text takes the place of the description.
     """
     title, description = _c(title), _c(description)
-    kept = first_words(F.concat(title, description), max_tokens)
-    at = F.instr(kept, title)
-    rest = F.when(at > 0, F.substr(kept, at + F.length(title))).otherwise(kept)
-    return F.when(F.length(rest) != F.length(description), F.concat(rest, F.lit("..."))).otherwise(description)
+
+    def after_title(kept):
+        at = F.instr(kept, title)
+        return F.when(at > 0, F.substr(kept, at + F.length(title))).otherwise(kept)
+
+    rest = let(first_words(F.concat(title, description), max_tokens), after_title)
+    return let(rest, lambda r: F.when(F.length(r) != F.length(description), F.concat(r, F.lit("..."))).otherwise(description))
 
 
 def pack_tokens(lists, max_len: int, emb_slots: int = 1) -> Column:

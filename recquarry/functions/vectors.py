@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recquarry.functions.arrays import let
+
 
 def _c(v) -> Column:
     return F.col(v) if isinstance(v, str) else v
@@ -23,7 +25,7 @@ def l2_normalize(a, eps: float | None = 1e-6) -> Column:
     """x / max(|x|, eps); ``eps=None`` divides by the bare norm (null for a zero vector)."""
     n = norm(a)
     n = F.greatest(n, F.lit(eps)) if eps is not None else F.nullif(n, F.lit(0.0))
-    return F.transform(_c(a), lambda x: x.cast("double") / n)
+    return let(n, lambda length: F.transform(_c(a), lambda x: x.cast("double") / length))
 
 
 def add(a, b) -> Column:

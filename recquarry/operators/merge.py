@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recquarry.functions import vectors as vx
+from recquarry.functions.arrays import let
 from recquarry.functions.draws import draw_unit
 from recquarry.operators.layout import broadcast_if_small, kth_smallest, materialize
 
@@ -101,7 +102,7 @@ def _mean(arrays: Column) -> Column:
     total = F.aggregate(
         F.slice(arrays, F.lit(2), F.size(arrays)), F.get(arrays, F.lit(0)), lambda acc, x: vx.add(acc, x)
     )
-    return F.transform(total, lambda x: x / F.size(arrays))
+    return let(F.size(arrays).cast("double"), lambda n: F.transform(total, lambda x: x / n))
 
 
 def average_merge(ckpt: DataFrame, models: Sequence[str], exclude: Sequence[str] | None = None) -> DataFrame:

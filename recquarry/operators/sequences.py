@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recquarry.functions.arrays import let
 from recquarry.functions.draws import draw_hex
 from recquarry.operators.clean import ntz
 from recquarry.operators.layout import index_rows, number_rows, running_sums, top_k, window_blocks
@@ -314,12 +315,15 @@ def gap_bucket(gap: Column, buckets: int = 128) -> Column:
 
 def time_gap_matrix(seconds, buckets: int = 128) -> Column:
     """Buckets for all i <= j of one bounded sequence: gap from i to the entry after j."""
-    s = F.col(seconds) if isinstance(seconds, str) else seconds
-    ahead = F.concat(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, -1, 1))
-    return F.transform(
-        ahead,
-        lambda t, j: F.transform(F.slice(s, F.lit(1), j + 1), lambda u: gap_bucket(t - u, buckets)),
-    )
+    seconds = F.col(seconds) if isinstance(seconds, str) else seconds
+
+    def matrix(s):
+        ahead = F.concat(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, -1, 1))
+        return F.transform(
+            ahead, lambda t, j: F.transform(F.slice(s, F.lit(1), j + 1), lambda u: gap_bucket(t - u, buckets))
+        )
+
+    return let(seconds, matrix)
 
 
 def history_lookup(df: DataFrame, key: Sequence[str], items: DataFrame, info: Sequence[str]) -> DataFrame:

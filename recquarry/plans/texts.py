@@ -203,17 +203,17 @@ def token_truncate(spark, sf):
 
 
 @R.add("packed_lengths", f"""
-WITH {CHUNKS}, {ITEMS}, tk AS (SELECT item_id, [length(w) FOR w IN list_filter(regexp_split_to_array(title || ' ' || description, '\\s+'), lambda x: x <> '')][1:3] AS t FROM items),
+WITH {CHUNKS}, {ITEMS}, tk AS (SELECT item_id, [length(w) FOR w IN list_filter(regexp_split_to_array(title || ' ' || description, '\\s+'), lambda x: x <> '')] AS t FROM items),
 e AS (SELECT user_id, chunk, generate_subscripts(item_seq, 1) AS i, unnest(item_seq) AS item_id FROM chunks),
 l AS (SELECT user_id, chunk, i, t, len(t) AS n FROM e JOIN tk USING (item_id))
 SELECT user_id, chunk, string_agg(array_to_string(list_append(t, 0), ','), ',' ORDER BY i) AS ids, string_agg((n + 1)::VARCHAR, ',' ORDER BY i) AS lengths,
-  string_agg(array_to_string([p + 3 - n FOR p IN range(0, n + 1)], ','), ',' ORDER BY i) AS positions FROM l GROUP BY 1, 2""")
+  string_agg(array_to_string([p + 8 - n FOR p IN range(0, n + 1)], ','), ',' ORDER BY i) AS positions FROM l GROUP BY 1, 2""")
 def packed_lengths(spark, sf):
     # the token id of a word is its length here
     ids = F.transform(tx.words(F.concat_ws(" ", "title", "description")), lambda w: F.length(w).cast("long"))
-    tokens = items(spark, sf).select("item_id", F.slice(ids, 1, 3).alias("tokens"))
+    tokens = items(spark, sf).select("item_id", ids.alias("tokens"))
     log = interactions(spark, sf).join(tokens, "item_id")
-    c = sq.chunk_sequences(log, 25, item="tokens").withColumn("p", tx.pack_tokens("item_seq", 3, 1))
+    c = sq.chunk_sequences(log, 25, item="tokens").withColumn("p", tx.pack_tokens("item_seq", 8, 1))
     return c.select("user_id", "chunk", *(joined(F.col(f"p.{n}")).alias(n) for n in ("ids", "lengths", "positions")))
 
 
