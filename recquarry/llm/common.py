@@ -73,8 +73,9 @@ def held(df: DataFrame, **columns: Column) -> DataFrame:
 
     The optimizer would copy an expression into every place that reads it, also into functions over
     arrays, which would work it out anew for each element; it does not look through a generator.
+    The outer form keeps it from testing the array's size first, which would work it out twice.
     """
     out = df
     for name, column in columns.items():
-        out = out.select(*(c for c in out.columns if c != name), F.explode(F.array(column)).alias(name))
+        out = out.select(*(c for c in out.columns if c != name), F.explode_outer(F.array(column)).alias(name))
     return out

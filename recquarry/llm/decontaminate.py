@@ -76,7 +76,7 @@ def windows(t: DataFrame, width: int, keep: list[str]) -> DataFrame:
 
     t = held(t.where(F.size("plain") >= width), slotted=F.exists("marked", lambda x: x.startswith("\u0001")))
     each = F.transform(F.sequence(F.lit(0), F.size("plain") - width), window)
-    return t.select(*keep, F.explode(each).alias("w")).select(*keep, "w.*")
+    return t.select(*keep, F.explode_outer(each).alias("w")).select(*keep, "w.*")
 
 
 def benchmark_windows(items: DataFrame, item_id: str, text: str) -> DataFrame:

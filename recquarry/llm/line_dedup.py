@@ -39,7 +39,7 @@ def windows(lines: DataFrame) -> DataFrame:
         )
 
     each = F.transform(F.sequence(F.lit(0), F.size("lines") - WINDOW), window)
-    found = F.explode(each).alias("w")
+    found = F.explode_outer(each).alias("w")
     return lines.where(F.size("lines") >= WINDOW).select("id", "k", found).where("w is not null").select("id", "k", "w.*")
 
 

@@ -54,7 +54,7 @@ def model_text(host: Column, path: Column) -> Column:
 
 def _grams(texts: DataFrame) -> DataFrame:
     starts = F.sequence(F.lit(1), F.length("text") - ORDER + 1)
-    return texts.select("*", F.explode(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(ORDER)))).alias("gram"))
+    return texts.select("*", F.explode_outer(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(ORDER)))).alias("gram"))
 
 
 def ratios(texts: DataFrame) -> DataFrame:
