@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recquarry.llm.common import stored, text_or_empty
+from recquarry.llm.common import broadcast_checked, stored, text_or_empty
 
 FAN_IN = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -119,7 +119,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     # an id marks its row unless it is repeated; ids are small, so they, not texts, are counted
     dropped = prints.join(found, "d", "left").where(F.col("id") != F.col("_keep_id")).select(F.col("id").alias("_id"), F.col("d").alias("_d"))
     dropped = stored(dropped, "dropped")
-    out = tagged.join(dropped, ["_id", "_d"], "left_anti")
+    out = tagged.join(broadcast_checked(dropped), ["_id", "_d"], "left_anti")
     repeated = not prints.groupBy("id", "d").count().where("count > 1").isEmpty()
     if repeated:
         out = out.dropDuplicates(["_id", "_d"])
