@@ -265,16 +265,18 @@ def deeper_candidates(large: DataFrame, nodes: DataFrame, classes: DataFrame) ->
         return stored(rows.join(kept.where("l0 < l1").select("key", "size"), "key"), "mixed-buckets")
 
     labelled = large.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = mixed(labelled).drop("size")
+    # band hashes go along from here on, so that no level has to fetch them again
+    rows = stored(mixed(labelled).drop("size").join(nodes.select("node", "bands"), "node"), "large-buckets")
     found = []
-    for level in range(LEVELS):
+    for _ in range(LEVELS):
         if rows.isEmpty():
             break
-        wide = rows.join(nodes.select("node", "bands"), "node")
-        step = wide.withColumn("step", F.explode(F.array(*(F.lit(s) for s in STEPS))))
-        step = step.withColumn("band", (F.col("band") + F.col("step")) % F.lit(BANDS))
-        step = step.withColumn("key", F.xxhash64("key", "band", F.get("bands", "band")))
-        split = mixed(step.select("key", "node", "band", "popularity", "label"))
+        parts = None
+        for step in STEPS:
+            band = (F.col("band") + F.lit(step)) % F.lit(BANDS)
+            part = rows.withColumn("band", band).withColumn("key", F.xxhash64("key", "band", F.get("bands", "band")))
+            parts = part if parts is None else parts.unionByName(part)
+        split = mixed(stored(parts, "split-buckets"))
         small = _small_pairs(split.where(F.col("size") <= SMALL), "node label").where(F.col("x.label") != F.col("y.label"))
         found.append(_ordered(small, "x.node", "y.node"))
         rows = split.where(F.col("size") > SMALL).drop("size")
