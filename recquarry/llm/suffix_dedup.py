@@ -5,32 +5,37 @@ Removed is every byte covered by a ``LENGTH``-byte string that also starts anywh
 1. *Anchors.*  In every ``LENGTH``-byte window the ``GRAM``-byte string with the least hash (the leftmost of
    equal ones) is its anchor.  It depends on the window's bytes alone, so equal windows have
    equal anchors at equal places, and a window can only be repeated if its anchor is.
-2. *Segments.*  For each repeated anchor the bytes of its windows are cut out; equal segments become one
-   with a count.
+2. *Segments.*  The bytes of an anchor's windows are its segment, known by a 64-bit digest besides the
+   anchor's own.  Where all segments of a repeated anchor are equal, all of its windows are repeated.  Otherwise the
+   different segments are cut out, each once with its count.
 3. *Suffix arrays.*  Segments meet by anchor.  Within a task suffixes are sorted in two stages: those smaller than
    their successor are sorted directly, by their first ``LENGTH`` bytes; the others are induced by a scan of the
    buckets in order of first bytes, each suffix placing its predecessor.  Neighbours in the array whose
-   common prefix is at least ``LENGTH`` bytes are repeated windows.
+   common prefix is at least ``LENGTH`` bytes are repeated windows; so are those of a segment counted twice.
 4. *Removal.*  Marked windows go back to the documents, where covered bytes are merged into runs.
 
 A task sorts a bounded number of suffixes at a time.  An anchor with more than ``HOT_SEGMENTS`` different segments is
 not collected: its windows are hashed to 128 bits and counted instead, with map-side combining.
 
-Defined cases: null texts count as empty; texts below ``LENGTH`` bytes stay whole; rows repeated with the same id and
+Texts are written once in buckets of their id, a table in the warehouse, so that no join shuffles them.
+
+Defined cases: null texts count as empty; null ids are read as -2^63 and come back as null; texts below ``LENGTH`` bytes stay whole; rows repeated with the same id and
 text repeat each other's windows; equal (id, text) rows all get one result.  Extra columns are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recquarry.llm.common import CHUNK_CHARS, stored, text_or_empty
+from recquarry.llm.exact_dedup import NO_ID
 from recquarry.llm.minhash_dedup import mix
 
 LENGTH = 200
@@ -115,7 +120,11 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[byt
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """Rows (id, k, s, e, a, h) of documents (id, k, text): window starts s to e have the anchor at a."""
+    """Rows (id, k, p, h, d) of documents (id, k, text), one per anchor.
+
+    ``p`` packs the first window start, the number of further windows and the anchor's place after
+    the first start; ``h`` is the anchor's hash, ``d`` that of its segment, the bytes of all its windows.
+    """
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -124,53 +133,60 @@ def anchors(docs: DataFrame) -> DataFrame:
             for numbers, offsets, held in _pieces(texts):
                 sizes = np.array([len(x) for x in held])
                 starts = np.cumsum(sizes) - sizes
-                t, s, e, a, h = window_anchors(np.frombuffer(b"".join(held), np.uint8), starts, starts + sizes)
+                data = b"".join(held)
+                t, s, e, a, h = window_anchors(np.frombuffer(data, np.uint8), starts, starts + sizes)
                 row = np.array(numbers)[t]
                 move = np.array(offsets)[t] - starts[t]
-                yield pd.DataFrame(
-                    {"id": ids[row], "k": keys[row], "s": (s + move).astype("int32"), "e": (e + move).astype("int32"), "a": (a + move).astype("int32"), "h": h.view(np.int64)}
-                )
+                digest = [segment_hash(data[i : j + LENGTH]) for i, j in zip(s.tolist(), e.tolist())]
+                yield pd.DataFrame({"id": ids[row], "k": keys[row], "p": pack(s + move, e - s, a - s), "h": h.view(np.int64), "d": np.array(digest, np.int64)})
+
+    return docs.mapInPandas(find, "id long, k int, p long, h long, d long")
+
 
-    return docs.mapInPandas(find, "id long, k long, s int, e int, a int, h long")
+def segment_hash(segment: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(segment, digest_size=8).digest(), "little", signed=True)
+
+
+def pack(start, more, place):
+    return (start << 16) | (more << 8) | place
+
+
+def unpack(p):
+    return p >> 16, (p >> 8) & 255, p & 255
 
 
 def cut_segments(found: DataFrame) -> DataFrame:
-    """Rows (id, k, s, h, d1, d2, anchor, windows, seg) from documents with their list ``at`` of repeated anchors.
+    """Rows (h, d, anchor, windows, seg) from documents with their list ``at`` of anchors to look into.
 
-    ``seg`` is left out where this task has sent the same segment before.
+    A segment that this task has sent before is left out.
     """
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sent: set[bytes] = set()
+        sent: set[tuple[int, int]] = set()
         for frame in frames:
-            out: dict[str, list] = {c: [] for c in ("id", "k", "s", "h", "d1", "d2", "anchor", "windows", "seg")}
-            for i, k, text, at in zip(frame["id"], frame["k"], frame["text"], frame["at"]):
+            out: dict[str, list] = {c: [] for c in ("h", "d", "anchor", "windows", "seg")}
+            for text, at in zip(frame["text"], frame["at"]):
                 data = text.encode("utf-8")
                 for r in at:
-                    s, e = r["s"], r["e"]
-                    seg = data[s : e + LENGTH]
-                    digest = hashlib.blake2b(seg, digest_size=16).digest()
-                    fresh = digest not in sent
-                    if fresh:
-                        if len(sent) > 500_000:
-                            sent.clear()
-                        sent.add(digest)
-                    out["id"].append(i)
-                    out["k"].append(k)
-                    out["s"].append(s)
-                    out["h"].append(r["h"])
-                    out["d1"].append(int.from_bytes(digest[:8], "little", signed=True))
-                    out["d2"].append(int.from_bytes(digest[8:], "little", signed=True))
-                    out["anchor"].append(r["a"] - s)
-                    out["windows"].append(e - s + 1)
-                    out["seg"].append(seg if fresh else None)
-                if len(out["id"]) > 20_000:
+                    key = (r["h"], r["d"])
+                    if key in sent:
+                        continue
+                    if len(sent) > 500_000:
+                        sent.clear()
+                    sent.add(key)
+                    start, more, place = unpack(r["p"])
+                    out["h"].append(key[0])
+                    out["d"].append(key[1])
+                    out["anchor"].append(place)
+                    out["windows"].append(more + 1)
+                    out["seg"].append(data[start : start + more + LENGTH])
+                if len(out["h"]) > 20_000:
                     yield pd.DataFrame(out)
                     out = {c: [] for c in out}
-            if out["id"]:
+            if out["h"]:
                 yield pd.DataFrame(out)
 
-    return found.mapInPandas(cut, "id long, k long, s int, h long, d1 long, d2 long, anchor int, windows int, seg binary")
+    return found.mapInPandas(cut, "h long, d long, anchor int, windows int, seg binary")
 
 
 def two_stage_sort(data: np.ndarray, ends: np.ndarray, wanted: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -266,7 +282,7 @@ def repeated_windows(segments: list[bytes], windows: np.ndarray, low: np.ndarray
 
 
 def mark_segments(segments: DataFrame) -> DataFrame:
-    """Rows (h, d1, d2, runs) for distinct segments, which come sorted by anchor; ``runs`` are inclusive ranges of window starts."""
+    """Rows (h, d, runs) for distinct segments, which come sorted by anchor; ``runs`` are inclusive ranges of window starts."""
 
     def runs(hits: np.ndarray) -> list[tuple[int, int]]:
         if not len(hits):
@@ -288,7 +304,7 @@ def mark_segments(segments: DataFrame) -> DataFrame:
         out = []
         for held, n, w in zip(hits, frame["n"], windows):
             out.append([(0, int(w) - 1)] if n > 1 else runs(np.unique(np.concatenate(held))))
-        made = pd.DataFrame({"h": frame["h"].to_numpy(), "d1": frame["d1"].to_numpy(), "d2": frame["d2"].to_numpy(), "runs": out})
+        made = pd.DataFrame({"h": frame["h"].to_numpy(), "d": frame["d"].to_numpy(), "runs": out})
         return made[made["runs"].map(len) > 0]
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -323,9 +339,7 @@ def mark_segments(segments: DataFrame) -> DataFrame:
         if held:
             yield work(pd.concat(held, ignore_index=True))
 
-    return segments.select("h", "d1", "d2", "n", "anchor", "windows", "seg").mapInPandas(
-        mark, "h long, d1 long, d2 long, runs array<struct<low: int, high: int>>"
-    )
+    return segments.select("h", "d", "n", "anchor", "windows", "seg").mapInPandas(mark, "h long, d long, runs array<struct<low: int, high: int>>")
 
 
 def count_windows(segments: DataFrame) -> DataFrame:
@@ -338,25 +352,42 @@ def count_windows(segments: DataFrame) -> DataFrame:
             F.xxhash64(F.lit(2), F.substring("seg", p + 1, F.lit(LENGTH))).alias("w2"),
         ),
     )
-    each = segments.select("h", "d1", "d2", "n", F.explode(piece).alias("w")).select("h", "d1", "d2", "n", "w.*")
+    each = segments.select("h", "d", "n", F.explode(piece).alias("w")).select("h", "d", "n", "w.*")
     many = each.groupBy("h", "w1", "w2").agg(F.sum("n").alias("times")).where("times > 1")
     hit = each.join(many, ["h", "w1", "w2"])
-    return hit.groupBy("h", "d1", "d2").agg(F.collect_set(F.struct(F.col("p").alias("low"), F.col("p").alias("high"))).alias("runs"))
+    return hit.groupBy("h", "d").agg(F.collect_set(F.struct(F.col("p").alias("low"), F.col("p").alias("high"))).alias("runs"))
+
+
+def by_document(docs: DataFrame) -> DataFrame:
+    """Documents (id, k, text) written once in buckets of their id.
+
+    The texts are joined twice; from buckets neither join shuffles them.
+    """
+    spark = docs.sparkSession
+    name = f"suffix_documents_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs.write.bucketBy(buckets, "id").sortBy("id").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
 
 
 def repeated_runs(docs: DataFrame, hot: int | None = None) -> DataFrame:
     """Rows (id, k, runs) of documents (id, k, text) with repeated windows: inclusive ranges of window starts."""
     hot = HOT_SEGMENTS if hot is None else hot
-    found = stored(anchors(docs), "anchors")
-    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
+    found = stored(anchors(docs.where(F.octet_length("text") >= LENGTH)), "anchors")
+    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("d").alias("d0"), F.max("d").alias("d1"))
+    shared = shared.where("times > 1").select("h", (F.col("d0") != F.col("d1")).alias("mixed"))
     # the side of the occurrences may have a hot anchor, the other side has each anchor once
-    hits = found.join(shared, "h").groupBy("id", "k").agg(F.collect_set(F.struct("s", "e", "a", "h")).alias("at"))
-    with_text = docs.join(hits.hint("shuffle_merge").withColumnRenamed("id", "hid"), ["k"]).where(F.col("id").eqNullSafe(F.col("hid")))
-    cut = stored(cut_segments(with_text.select("id", "k", "text", "at")), "segments")
-    distinct = cut.groupBy("h", "d1", "d2").agg(
-        F.count(F.lit(1)).alias("n"), F.max("seg").alias("seg"), F.first("anchor").alias("anchor"), F.first("windows").alias("windows")
-    )
-    distinct = stored(distinct, "distinct-segments")
+    hits = stored(found.join(shared, "h"), "shared-anchors")
+    # an anchor with one segment only: all windows of the segment are repeated
+    whole = hits.where("not mixed").select("id", "k", F.array(_range(F.col("p"), F.lit(0), _more("p"))).alias("runs"))
+    open_hits = hits.where("mixed").select("id", "k", "p", "h", "d")
+    lists = open_hits.groupBy("id", "k").agg(F.collect_set(F.struct("p", "h", "d")).alias("at"))
+    lists = lists.select(F.col("id").alias("hid"), F.col("k").alias("hk"), "at").hint("shuffle_merge")
+    with_text = docs.join(lists, (F.col("id") == F.col("hid")) & (F.col("k").cast("long") - F.col("hk").cast("long") == 0))
+    segments = stored(cut_segments(with_text.select("text", "at")), "segments")
+    counts = open_hits.groupBy("h", "d").agg(F.count(F.lit(1)).alias("n"))
+    once = segments.groupBy("h", "d").agg(*(F.max(c).alias(c) for c in ("anchor", "windows", "seg")))
+    distinct = stored(once.join(counts, ["h", "d"]), "distinct-segments")
     large = stored(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("h"), "hot-anchors")
     if large.isEmpty():
         marked = mark_segments(distinct.repartition("h").sortWithinPartitions("h"))
@@ -364,9 +395,18 @@ def repeated_runs(docs: DataFrame, hot: int | None = None) -> DataFrame:
         marked = mark_segments(distinct.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h"))
         marked = marked.unionByName(count_windows(distinct.join(large, "h")))
     marked = stored(marked, "marked-segments")
-    back = cut.select("id", "k", "s", "h", "d1", "d2").join(marked, ["h", "d1", "d2"])
-    moved = F.transform("runs", lambda r: F.struct((F.col("s") + r["low"]).alias("low"), (F.col("s") + r["high"]).alias("high")))
-    return back.select("id", "k", moved.alias("runs")).groupBy("id", "k").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    back = open_hits.join(marked, ["h", "d"])
+    moved = back.select("id", "k", F.transform("runs", lambda r: _range(F.col("p"), r["low"], r["high"])).alias("runs"))
+    return moved.unionByName(whole).groupBy("id", "k").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+
+def _more(p: str) -> Column:
+    return F.shiftright(p, 8).bitwiseAND(F.lit(255).cast("long"))
+
+
+def _range(p: Column, low: Column, high: Column) -> Column:
+    start = F.shiftright(p, 16)
+    return F.struct((start + low).cast("int").alias("low"), (start + high).cast("int").alias("high"))
 
 
 def covered_spans(runs: list, size: int) -> list[tuple[int, int]]:
@@ -385,9 +425,10 @@ def covered_spans(runs: list, size: int) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges)."""
     t = text_or_empty(text)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(t).alias("k"), t.alias("text"))
-    runs = repeated_runs(rows, hot).select(F.col("id").alias("rid"), F.col("k").alias("rk"), "runs")
-    joined = rows.join(runs, (F.col("k") == F.col("rk")) & F.col("id").eqNullSafe(F.col("rid")), "left")
+    key = F.shiftright(F.xxhash64(t), 32).cast("int")
+    rows = by_document(docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), key.alias("k"), t.alias("text")))
+    runs = repeated_runs(rows, hot).select(F.col("id").alias("rid"), F.col("k").alias("rk"), "runs").hint("shuffle_merge")
+    joined = rows.join(runs, (F.col("id") == F.col("rid")) & (F.col("k").cast("long") - F.col("rk").cast("long") == 0), "left")
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low: int, high: int>>")
     def removed(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -403,4 +444,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out.append((len(data), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), spans))
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return joined.select(F.col("id").alias("doc_id"), removed("text", "runs").alias("r")).select("doc_id", "r.*")
+    name = F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")
+    return joined.select(name, removed("text", "runs").alias("r")).select("doc_id", "r.*")

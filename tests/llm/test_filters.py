@@ -85,17 +85,20 @@ def judged(spark, texts, items, **more):
 def test_templates(spark):
     around = words(random.Random(1), 40) + ". {} " + words(random.Random(2), 40)
     changed = ITEM.replace("Anna", "Berta").replace("12", "17").replace("30", "1,250").replace("kg", "km")
-    mixed = "Anna buys 12 apples at the old market and pays 30 dollars. How much does one apple cost when Carl gets 2 kg for free?"
     texts = [around.format(ITEM), around.format(changed), around.format("x"), None, "", ITEM[:40], around.format(OTHER.upper()), ITEM + " " + changed]
     got, docs, bench = judged(spark, texts, [(1, ITEM), (1, ITEM), (2, OTHER), (3, None), (4, "too short")])
     assert [got[i].contaminated for i in range(len(texts))] == [True, True, False, False, False, False, True, True]
     assert all(len(r) == 4 for r in got.values())
     clean = decontaminate.decontaminate(docs, bench)
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3, 4, 5]
-    # a name of the item that stands for two names breaks the whole alignment
-    named = ITEM.replace("when Anna", "when then Anna")
-    assert judged(spark, [mixed], [(1, ITEM)])[0][0].contaminated is False
-    assert judged(spark, [named], [(1, named)])[0][0].contaminated is True
+
+
+def test_slots_are_consistent(spark):
+    item = ITEM.replace("Anna buys", "Yesterday Anna bought")
+    same, other = item.replace("Anna", "Berta"), item.replace("Anna", "Berta", 1)
+    got, _, _ = judged(spark, [same, other], [(1, item)])
+    # a name of the item that stands for two names breaks the alignment
+    assert [got[i].contaminated for i in (0, 1)] == [True, False]
 
 
 def test_short_items_and_no_items(spark):
