@@ -18,6 +18,7 @@ HEADLINE = [
     "token_truncate", "batch_embed", "knn_l2", "catalog_score", "resolve_collisions", "constrained_beam",
     "e_ndcg_recall_mrr", "evaluate_all", "h_gauc", "h_auc", "h_gini", "eval_title", "eval_sem_id",
     "average_merge", "extrapolate_linear", "ties_merge", "mask_magnitude", "mask_merge",
+    "eval_sem_id_distance", "render_chat_example", "hard_negative_filter", "union_examples", "aux_variants",
 ]
 
 

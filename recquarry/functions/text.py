@@ -14,7 +14,6 @@ ITEM_LABEL = {"title": "Title: ", "sem_id": "Item Index: "}
 ANSWER_LABEL = {"title": "Recommended Item Title: ", "sem_id": "Recommended Item Index: "}
 GENERATION_PREFIX = {"title": "Recommended Item Title:", "sem_id": "Recommended Item Index: "}
 BLOCK_SEPARATOR = {"title": "\n\n", "sem_id": "\n"}
-EMBEDDING_INSTRUCTION = "Compress the following sentence into embedding."
 
 # Default wording; callers may pass their own.
 PROMPT = (
@@ -23,6 +22,7 @@ PROMPT = (
 )
 T2I_PROMPT = "Give the item index that belongs to the title and description.\nExamples:\n{examples}\n"
 I2T_PROMPT = "Give the title and description that belong to the item index.\nExamples:\n{examples}\n"
+EMBEDDING_INSTRUCTION = "Turn the item described here into one vector."
 INDEX_NAME = {"title": "item title", "sem_id": "item index"}
 
 
@@ -93,8 +93,8 @@ def generation_prompt(messages, mode: str) -> Column:
     )
 
 
-def embedding_prompt(title, description=None) -> Column:
-    head = F.concat(F.lit(EMBEDDING_INSTRUCTION + "\nTitle: "), _c(title))
+def embedding_prompt(title, description=None, instruction: str = EMBEDDING_INSTRUCTION) -> Column:
+    head = F.concat(F.lit(instruction + "\nTitle: "), _c(title))
     return head if description is None else F.concat(head, F.lit("\nDescription: "), _c(description))
 
 

@@ -16,13 +16,12 @@ from recquarry.operators.clean import before, phase_of
 def with_item_info(log: DataFrame, items: DataFrame) -> DataFrame:
     """Attach item texts once per interaction, before histories repeat them.
 
-    Missing texts read "NA".
+    Missing texts, and those of items that are not in the catalogue, read "NA".
     """
     info = ["title", "description", "sem_id"]
-    texts = items.select(
-        "item_id", F.struct("item_id", *(F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in info)).alias("info")
-    )
-    return log.join(texts, "item_id")
+    texts = items.select("item_id", *(F.col(c).cast("string").alias(f"_{c}") for c in info))
+    known = F.struct("item_id", *(F.coalesce(F.col(f"_{c}"), F.lit("NA")).alias(c) for c in info))
+    return log.join(texts, "item_id", "left").withColumn("info", known).drop(*(f"_{c}" for c in info))
 
 
 def variants(targets: DataFrame, index: str, test: bool) -> DataFrame:

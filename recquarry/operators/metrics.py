@@ -89,7 +89,8 @@ def generation_metrics(hits: DataFrame, ks: Sequence[int], run: Sequence[str] =
     """NDCG, Recall and MRR of generated lists in percent: ``(run, metric, k, value)``.
 
     ``hits``: one row per (run, user, rank) with ``hit``; every hit counts and NDCG has no
-    ideal term.  Each user needs at least one row.
+    ideal term.  Each user needs at least one row; a user whose rows all rank below a cut-off
+    counts with 0 there.
     """
     h = F.col("hit").cast("double")
     per, cols = [], {}
@@ -98,7 +99,7 @@ def generation_metrics(hits: DataFrame, ks: Sequence[int], run: Sequence[str] =
             c = f"{name}_{k}"
             per.append(_upto(k, gain).alias(c))
             cols[c] = (name, k)
-    users = hits.where(F.col("rank") <= max(ks)).groupBy(*run, user).agg(*per)
+    users = hits.groupBy(*run, user).agg(*per)
     return _long(users.groupBy(*run).agg(*(( F.avg(c) * 100).alias(c) for c in cols)), list(run), cols)
 
 
@@ -113,7 +114,7 @@ def top_metrics(
     keys = [*run, user]
     w = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     h = F.col("hit").cast("double")
-    rows = ranks.where(F.col("rank") <= top).withColumn("_cum", F.sum("hit").over(w))
+    rows = ranks.withColumn("_cum", F.sum("hit").over(w))
     per = [F.max("pos_len").alias("pos_len")]
     for k in ks:
         per += [

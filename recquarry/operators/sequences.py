@@ -235,12 +235,14 @@ def negatives(n, item_num: int, reject, seed: str, *key) -> Column:
 def item_groups(items: DataFrame, n: int = 5, seed: str = "0") -> DataFrame:
     """Blocks of ``n`` consecutive items, each with ``n`` examples from outside the block.
 
-    Example rows are drawn by index and fetched by an equi-join, so the work is linear
-    in the number of items.  Returns ``(block, targets, examples)`` of item structs.
+    Example rows are drawn by position and fetched by an equi-join, so the work is linear
+    in the number of items; gaps in ``item_idx`` do not matter.  Returns ``(block, targets, examples)``
+    of item structs.
     """
+    items = index_rows(items, ["item_idx"], "_n")
     total = items.count()
     info = F.struct("item_idx", "item_id", "title", "description", "sem_id")
-    block = F.floor(F.col("item_idx") / F.lit(n)).cast("long")
+    block = F.floor(F.col("_n") / F.lit(n)).cast("long")
     targets = items.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(info)).alias("targets"))
     draws = F.transform(
         F.sequence(F.lit(0), F.lit(4 * n)),
@@ -251,9 +253,9 @@ def item_groups(items: DataFrame, n: int = 5, seed: str = "0") -> DataFrame:
     outside = F.filter(
         F.array_distinct(F.concat(draws, spare)), lambda i: F.floor(i / F.lit(n)) != F.col("block")
     )
-    wanted = targets.select("block", F.posexplode(F.slice(outside, 1, n)).alias("at", "item_idx"))
+    wanted = targets.select("block", F.posexplode(F.slice(outside, 1, n)).alias("at", "_n"))
     examples = (
-        wanted.join(items, "item_idx")
+        wanted.join(items, "_n")
         .groupBy("block")
         .agg(F.sort_array(F.collect_list(F.struct("at", info.alias("i")))).alias("e"))
         .select("block", F.col("e.i").alias("examples"))

@@ -185,15 +185,11 @@ def flagship_popularity_eval(spark, sf):
     hits = every.select(
         "user_id", F.coalesce("rank", F.lit(1)).alias("rank"), F.when(F.col("rank").isNotNull(), 1).otherwise(0).alias("hit")
     )
-    # a target below every cut-off still counts as an evaluated user
-    ks = (5, 10, 20, 500)
-    low = F.col("rank") > max(ks)
-    hits = hits.select("user_id", F.when(low, 1).otherwise(F.col("rank")).alias("rank"), F.when(low, 0).otherwise(F.col("hit")).alias("hit"))
-    return rounded(mt.generation_metrics(hits, ks))
+    return rounded(mt.generation_metrics(hits, (5, 10, 20, 500)))
 
 
 # generated titles: the titles of the last five history items, in both directions as two runs
-TITLE_RUNS = f"""{SEQ}, {ITEMS}, {POP_SQL}, tgt AS (SELECT user_id, item_id, pos FROM seq WHERE pos = len AND ts >= TIMESTAMP '2001-01-01' AND pos > 5),
+TITLE_RUNS = f"""{SEQ}, {ITEMS}, {POP_SQL}, tgt AS (SELECT user_id, item_id, pos FROM seq WHERE pos = len AND ts >= TIMESTAMP '2001-01-01'),
 hist AS (SELECT t.user_id, s.item_id, s.pos, t.pos AS at_pos FROM tgt t JOIN seq s ON s.user_id = t.user_id AND s.pos BETWEEN t.pos - 30 AND t.pos - 1),
 beams AS (SELECT 'latest' AS run, user_id, i.title FROM hist h JOIN items i ON i.item_id = h.item_id WHERE h.pos >= at_pos - 3
   UNION ALL SELECT 'earlier', user_id, i.title FROM hist h JOIN items i ON i.item_id = h.item_id WHERE h.pos BETWEEN at_pos - 5 AND at_pos - 3)"""
@@ -204,7 +200,7 @@ def title_outputs(spark, sf):
     titles = items(spark, sf).select("item_id", "title")
     log = clean.before(interactions(spark, sf), HORIZON).join(titles, "item_id")
     log = log.withColumn("info", F.struct("item_id", "title"))
-    t = sq.test_examples(log, *phase("test"), item="info").where("len > 5").withColumn("item_id", F.col("target.item_id"))
+    t = sq.test_examples(log, *phase("test"), item="info").withColumn("item_id", F.col("target.item_id"))
     # generators answer with more than a title; only the first line counts
     said = F.reverse(F.transform("history", lambda h: F.concat(F.lit(" "), h["title"], F.lit("\nDescription: generated"))))
     runs = F.array(
@@ -216,9 +212,10 @@ def title_outputs(spark, sf):
 
 
 def rank_hits(ranked, targets):
-    """Ranked items against each query's target."""
-    j = ranked.join(targets, "query_id")
-    return j.select("query_id", "rank", F.when(F.col("item_id") == F.col("target"), 1).otherwise(0).alias("hit"))
+    """Ranked items against each query's target; a query without ranked items keeps a row without a hit."""
+    j = targets.join(ranked, "query_id", "left")
+    hit = F.when(F.col("item_id") == F.col("target"), 1).otherwise(0)
+    return j.select("query_id", F.coalesce("rank", F.lit(1)).alias("rank"), hit.alias("hit"))
 
 
 @R.add("eval_title", f"""
@@ -230,8 +227,10 @@ best AS (SELECT run, user_id, item_id, min(d) AS d FROM beams JOIN sim USING (ti
 resc AS (SELECT run, user_id, item_id, CASE WHEN coalesce(coeff, 0) = 0 THEN 'Infinity'::DOUBLE ELSE d / coeff END AS d FROM best LEFT JOIN pop USING (item_id)
   WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.user_id = best.user_id AND h.item_id = best.item_id)),
 lists AS (SELECT r.run, r.user_id, CASE WHEN r.item_id = t.item_id THEN 1 ELSE 0 END AS hit,
-  row_number() OVER (PARTITION BY r.run, r.user_id ORDER BY round(d, 9), r.item_id) AS rank FROM resc r JOIN tgt t USING (user_id))
-{e_metrics_sql('lists', (5, 10, 20), 'run')}""")
+  row_number() OVER (PARTITION BY r.run, r.user_id ORDER BY round(d, 9), r.item_id) AS rank FROM resc r JOIN tgt t USING (user_id)),
+every AS (SELECT x.run, t.user_id, coalesce(l.rank, 1) AS rank, coalesce(l.hit, 0) AS hit FROM tgt t CROSS JOIN (VALUES ('latest'), ('earlier')) x(run)
+  LEFT JOIN lists l ON l.run = x.run AND l.user_id = t.user_id)
+{e_metrics_sql('every', (5, 10, 20), 'run')}""")
 def eval_title(spark, sf):
     outputs = layout.materialize(title_outputs(spark, sf).withColumn("query_id", F.concat_ws("#", "run", "user_id")))
     texts = ex.truncate_outputs(outputs, ["query_id"], 3)
@@ -256,7 +255,10 @@ lastv AS (SELECT t.user_id, max_by(s.item_id, s.pos) AS vec FROM tgt t JOIN seq
 
 
 def code_outputs(spark, sf):
-    """``(user_id, item_id, history, output)`` with codes as text, best beam first."""
+    """``(user_id, item_id, history, output)`` with codes as text, best beam first.
+
+    Users without a vector in their history have an empty output.
+    """
     codes = repaired(spark, sf)
     b = beams(spark, sf, codes).withColumn("sem_id", cx.format_sem_id("codes"))
     said = b.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "sem_id"))).alias("o"))
@@ -266,30 +268,33 @@ def code_outputs(spark, sf):
     log = log.withColumn("info", F.struct("item_id", F.coalesce("has", F.lit(False)).alias("has")))
     t = sq.test_examples(log, *phase("test"), item="info").withColumn("item_id", F.col("target.item_id"))
     usable = F.filter("history", lambda h: h["has"])
-    t = t.where(F.size(usable) > 0).select(
-        "user_id", "item_id", F.col("history.item_id").alias("history"), F.element_at(usable, -1)["item_id"].alias("vec")
+    t = t.select(
+        "user_id", "item_id", F.col("history.item_id").alias("history"), F.get(F.reverse(usable), F.lit(0))["item_id"].alias("vec")
     )
-    return t.join(said, "vec"), codes
+    none = F.array().cast("array<string>")
+    return t.join(said, "vec", "left").withColumn("output", F.coalesce("output", none)), codes
+
+
+TEXT_OF = "'<a_' || prefix[1] || '><b_' || prefix[2] || '><c_' || prefix[3] || '><d_' || prefix[4] || '>'"
 
 
 @R.add("join_predictions", f"""
-WITH {CODE_RUNS} SELECT l.user_id, t.item_id, r.sem_id AS target FROM lastv l JOIN tgt t USING (user_id) LEFT JOIN repaired r ON r.item_idx = t.item_id""")
+WITH {CODE_RUNS}, said AS MATERIALIZED (SELECT query_id, string_agg({TEXT_OF}, ' ' ORDER BY rank) AS output FROM b4 GROUP BY 1)
+SELECT t.user_id, t.item_id, r.sem_id AS target, coalesce(s.output, '') AS output
+FROM tgt t LEFT JOIN lastv l USING (user_id) LEFT JOIN said s ON s.query_id = l.vec LEFT JOIN repaired r ON r.item_idx = t.item_id""")
 def join_predictions(spark, sf):
     out, codes = code_outputs(spark, sf)
     target = codes.select(F.col("item_idx").alias("item_id"), F.trim("sem_id").alias("target"))
-    return out.join(target, "item_id", "left").select("user_id", "item_id", "target")
+    return out.join(target, "item_id", "left").select("user_id", "item_id", "target", F.array_join("output", " ").alias("output"))
 
 
 def exact_hit(cond):
     return f"CASE WHEN {cond} THEN 1 ELSE 0 END"
 
 
-TEXT_OF = "'<a_' || prefix[1] || '><b_' || prefix[2] || '><c_' || prefix[3] || '><d_' || prefix[4] || '>'"
-
-
 @R.add("eval_sem_id", f"""
-WITH {CODE_RUNS}, lists AS (SELECT l.user_id, b.rank, {exact_hit(f"contains({TEXT_OF}, r.sem_id)")} AS hit
-  FROM lastv l JOIN b4 b ON b.query_id = l.vec JOIN tgt t USING (user_id) LEFT JOIN repaired r ON r.item_idx = t.item_id)
+WITH {CODE_RUNS}, lists AS (SELECT t.user_id, coalesce(b.rank, 1) AS rank, {exact_hit(f"contains({TEXT_OF}, r.sem_id)")} AS hit
+  FROM tgt t LEFT JOIN lastv l USING (user_id) LEFT JOIN b4 b ON b.query_id = l.vec LEFT JOIN repaired r ON r.item_idx = t.item_id)
 {e_metrics_sql('lists', (1, 3, 5))}""")
 def eval_sem_id(spark, sf):
     out, codes = code_outputs(spark, sf)
@@ -305,8 +310,9 @@ WITH {CODE_RUNS}, bv AS (SELECT query_id, rank, [cb0.c[i] + cb1.c[i] + cb2.c[i]
 sim AS (SELECT query_id, item_id, min(sqrt(list_dot_product(q, q)) + sqrt(list_dot_product(v, v)) - 2 * list_dot_product(q, v)) AS d FROM bv, emb WHERE rank <= 2 GROUP BY 1, 2),
 lists AS (SELECT l.user_id, {exact_hit('s.item_id = t.item_id')} AS hit, row_number() OVER (PARTITION BY l.user_id ORDER BY round(d, 9), s.item_id) AS rank
   FROM lastv l JOIN sim s ON s.query_id = l.vec JOIN tgt t USING (user_id)
-  WHERE NOT EXISTS (SELECT 1 FROM seq h WHERE h.user_id = l.user_id AND h.item_id = s.item_id AND h.pos BETWEEN t.pos - 30 AND t.pos - 1))
-{e_metrics_sql('lists', (5, 10, 20))}""")
+  WHERE NOT EXISTS (SELECT 1 FROM seq h WHERE h.user_id = l.user_id AND h.item_id = s.item_id AND h.pos BETWEEN t.pos - 30 AND t.pos - 1)),
+every AS (SELECT t.user_id, coalesce(l.rank, 1) AS rank, coalesce(l.hit, 0) AS hit FROM tgt t LEFT JOIN lists l USING (user_id))
+{e_metrics_sql('every', (5, 10, 20))}""")
 def eval_sem_id_distance(spark, sf):
     out, _ = code_outputs(spark, sf)
     out = layout.materialize(out)

@@ -77,8 +77,8 @@ def drop_empty_examples(spark, sf):
 
 
 @R.add("user_sequences", f"""
-WITH {SEQ} SELECT user_id, CAST(0 AS BIGINT) AS page, string_agg(item_id::VARCHAR, ',' ORDER BY pos) AS items,
-  string_agg(sec::VARCHAR, ',' ORDER BY pos) AS times FROM seq GROUP BY 1""")
+WITH {SEQ} SELECT user_id, (pos - 1) // 10000 AS page, string_agg(item_id::VARCHAR, ',' ORDER BY pos) AS items,
+  string_agg(sec::VARCHAR, ',' ORDER BY pos) AS times FROM seq GROUP BY 1, 2""")
 def user_sequences(spark, sf):
     s = sq.user_sequences(interactions(spark, sf))
     times = F.transform("times", lambda t: F.unix_seconds(t.cast("timestamp")))

@@ -12,7 +12,7 @@ from recquarry.functions.text import format_floats
 from recquarry.operators.layout import shared_dir
 
 RATINGS = "user_id STRING, item_id STRING, rating DOUBLE, timestamp BIGINT"
-ITEM_META = "parent_asin STRING, title STRING, description ARRAY<STRING>"
+ITEM_META = "parent_asin STRING, title STRING, description STRING"
 INTERACTIONS = "item_id STRING, user_id STRING, timestamp BIGINT"
 ITEMS = "item_id STRING, description STRING, title STRING"
 MESSAGES = "ARRAY<STRUCT<role: STRING, content: STRING>>"
@@ -33,12 +33,14 @@ def read_interactions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_item_meta(spark: SparkSession, path: str) -> DataFrame:
-    """Item metadata with usable titles; the description list becomes one text."""
+    """Item metadata with usable titles; a description list becomes one text, a plain one stays as it is."""
     raw = spark.read.schema(ITEM_META).json(path)
+    # a list arrives as its JSON text
+    listed = F.when(F.col("description").startswith("["), F.from_json("description", "array<string>"))
     return raw.where(F.col("title").isNotNull() & (F.length("title") > 0)).select(
         F.col("parent_asin").alias("item_id"),
         F.when(F.col("description").isNull(), F.lit("None"))
-        .otherwise(F.array_join("description", "\n"))
+        .otherwise(F.coalesce(F.array_join(listed, "\n"), F.col("description")))
         .alias("description"),
         "title",
     )

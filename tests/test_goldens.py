@@ -357,3 +357,40 @@ def test_build_examples_small(spark):
     coded = ex.build_examples(log, items, phases, "sem_id", max_len=2, min_len=3)
     # a main and one auxiliary row per training target, the test row alone
     assert coded.groupBy("phase").count().orderBy("phase").collect() == [("pretrain", 6), ("test", 1)]
+
+
+def test_users_below_every_cut_off_still_count(spark):
+    """Two users with hits at ranks 1 and 40: half of them are found within 5."""
+    from recquarry.operators import metrics as mt
+
+    rows = spark.createDataFrame([(1, 1, 1), (2, 40, 1)], "user_id long, rank long, hit long")
+    got = {(r.metric, r.k): r.value for r in mt.generation_metrics(rows, (5,)).collect()}
+    assert got == {("NDCG", 5): 50.0, ("Recall", 5): 50.0, ("MRR", 5): 50.0}
+    lists = rows.withColumn("pos_len", rows.hit)
+    top = {r.metric: r.value for r in mt.top_metrics(lists, ["hit", "recall", "mrr"], (5,)).collect()}
+    assert top == {"hit": 0.5, "recall": 0.5, "mrr": 0.5}
+
+
+def test_item_groups_with_gaps(spark):
+    from recquarry.operators import sequences as sq
+
+    rows = [(10 * i, i, f"t{i}", f"d{i}", f"s{i}") for i in range(23)]
+    items = spark.createDataFrame(rows, "item_idx long, item_id long, title string, description string, sem_id string")
+    got = sq.item_groups(items, 5).collect()
+    assert len(got) == 5 and all(len(r.examples) == 5 for r in got)
+    assert sorted(t.item_id for r in got for t in r.targets) == list(range(23))
+    assert all(not {t.item_id for t in r.targets} & {e.item_id for e in r.examples} for r in got)
+
+
+def test_descriptions_of_all_kinds(spark, tmp_path):
+    from recquarry.sources import files
+
+    lines = [
+        '{"parent_asin": "a", "title": "t", "description": ["x", "y"]}',
+        '{"parent_asin": "b", "title": "t", "description": "plain text"}',
+        '{"parent_asin": "c", "title": "t"}',
+        '{"parent_asin": "d", "title": "", "description": []}',
+    ]
+    (tmp_path / "meta.json").write_text("\n".join(lines))
+    got = {r.item_id: r.description for r in files.read_item_meta(spark, str(tmp_path)).collect()}
+    assert got == {"a": "x\ny", "b": "plain text", "c": "None"}
