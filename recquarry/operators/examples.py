@@ -13,15 +13,33 @@ from recquarry.operators import sequences as sq
 from recquarry.operators.clean import before, phase_of
 
 
-def with_item_info(log: DataFrame, items: DataFrame) -> DataFrame:
-    """Attach item texts once per interaction, before histories repeat them.
+INFO = ["title", "description", "sem_id"]
 
-    Missing texts, and those of items that are not in the catalogue, read "NA".
+
+def id_histories(log: DataFrame, max_len: int = 30) -> DataFrame:
+    """Rows with the references of their previous items; no text enters the user window."""
+    return sq.history_window(log.withColumn("_ref", F.struct("item_id")), max_len, item="_ref").drop("_ref")
+
+
+def with_texts(targets: DataFrame, items: DataFrame, key: Sequence[str] = ("user_id", "pos", "variant")) -> DataFrame:
+    """Look up the texts of each target (``info``) and of its history, for chosen targets only.
+
+    ``key`` identifies a row.  References are spread to one row each, joined to the catalogue and
+    put together again by key, so that a group is never larger than a history.  Missing texts,
+    and those of items that are not in the catalogue, read "NA".
     """
-    info = ["title", "description", "sem_id"]
-    texts = items.select("item_id", *(F.col(c).cast("string").alias(f"_{c}") for c in info))
-    known = F.struct("item_id", *(F.coalesce(F.col(f"_{c}"), F.lit("NA")).alias(c) for c in info))
-    return log.join(texts, "item_id", "left").withColumn("info", known).drop(*(f"_{c}" for c in info))
+    rest = [c for c in targets.columns if c not in (*key, "history")]
+    refs = F.concat("history", F.array(F.struct("item_id")))
+    spread = targets.select(*key, F.struct(*rest).alias("_rest"), F.posexplode(refs).alias("_at", "_ref"))
+    texts = items.select("item_id", *(F.col(c).cast("string").alias(c) for c in INFO))
+    looked = spread.select("*", F.col("_ref.item_id").alias("item_id")).join(texts, "item_id", "left")
+    known = F.struct("item_id", *(F.coalesce(F.col(c), F.lit("NA")).alias(c) for c in INFO))
+    put = looked.groupBy(*key).agg(
+        F.first("_rest").alias("_rest"), F.sort_array(F.collect_list(F.struct("_at", known.alias("i")))).alias("_all")
+    )
+    return put.select(
+        *key, "_rest.*", F.slice("_all.i", F.lit(1), F.size("_all") - 1).alias("history"), F.element_at("_all.i", -1).alias("info")
+    )
 
 
 def variants(targets: DataFrame, index: str, test: bool) -> DataFrame:
@@ -76,14 +94,15 @@ def build_examples(
     min_len: int = 5,
     max_user_sample: int = 5,
     seed: str = "0",
+    keep_aux: bool = False,
 ) -> DataFrame:
     """All phases' examples: ``(phase, user_id, ts, item_id, messages, history)``.
 
-    Histories come from one pass over the log and reach across phase borders; the variant
-    to keep is drawn before any text is rendered.  Only test rows carry the history.
+    Histories come from one pass over the log and reach across phase borders; targets and
+    variants are chosen, and capped, before any text is fetched.  Only test rows carry the history.
+    ``keep_aux`` leaves the flag of auxiliary examples in.
     """
-    info = with_item_info(before(log, phases[-1][2]), items)
-    histories = sq.history_window(info, max_len, item="info")
+    histories = id_histories(before(log.select("user_id", "item_id", "ts"), phases[-1][2]), max_len)
     targets = phase_targets(histories, phases, min_len, max_user_sample, seed)
     is_test = F.col("phase") == "test"
     if index == "sem_id":
@@ -92,8 +111,9 @@ def build_examples(
         rows = train.unionByName(variants(targets.where(is_test), index, True))
     else:
         rows = variants(targets, index, False)
-    return render(rows).select(
-        "phase", "user_id", "ts", "item_id", "messages", F.when(is_test, F.col("history.item_id")).alias("history")
+    return render(with_texts(rows, items)).select(
+        "phase", "user_id", "ts", "item_id", "messages", F.when(is_test, F.col("history.item_id")).alias("history"),
+        *(["aux"] if keep_aux else []),
     )
 
 

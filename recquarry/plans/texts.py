@@ -48,9 +48,8 @@ def message_sql(asked, shown):
 WITH {TARGETS} SELECT user_id, blocks.item_id, pos, {message_sql('title', 'title')} AS messages FROM blocks JOIN info ON info.item_id = blocks.item_id
 WHERE pos >= 5 AND ts < TIMESTAMP '2000-07-01'""")
 def render_chat_example(spark, sf):
-    log = ex.with_item_info(interactions(spark, sf), catalog(spark, sf))
-    t = sq.train_targets(sq.history_window(log, item="info"), *phase("phase1"))
-    out = ex.render(ex.variants(t, "title", False))
+    t = sq.train_targets(ex.id_histories(interactions(spark, sf)), *phase("phase1"))
+    out = ex.render(ex.with_texts(ex.variants(t, "title", False), catalog(spark, sf)))
     return out.select("user_id", "item_id", "pos", flat("messages").alias("messages"))
 
 
@@ -60,9 +59,8 @@ SELECT user_id, t.item_id, pos, CAST(0 AS INTEGER) AS variant, {message_sql('sem
 UNION ALL SELECT user_id, t.item_id, pos, 1, {message_sql('title', 'sem_id')} FROM t JOIN info ON info.item_id = t.item_id
 UNION ALL SELECT user_id, t.item_id, pos, 2, {message_sql('sem_id', 'title')} FROM t JOIN info ON info.item_id = t.item_id""")
 def aux_variants(spark, sf):
-    log = ex.with_item_info(interactions(spark, sf), catalog(spark, sf))
-    t = sq.train_targets(sq.history_window(log, item="info"), *phase("phase1"))
-    out = ex.render(ex.variants(t, "sem_id", False))
+    t = sq.train_targets(ex.id_histories(interactions(spark, sf)), *phase("phase1"))
+    out = ex.render(ex.with_texts(ex.variants(t, "sem_id", False), catalog(spark, sf)))
     return out.select("user_id", "item_id", "pos", "variant", flat("messages").alias("messages"))
 
 
@@ -81,57 +79,90 @@ def variant_sample(spark, sf):
     )
 
 
-@R.add("build_examples", f"""
-WITH {TARGETS}, ph AS (SELECT *, CASE WHEN ts < TIMESTAMP '2000-07-01' THEN 'phase1' WHEN ts < TIMESTAMP '2001-01-01' THEN 'phase2' ELSE 'test' END AS phase FROM blocks),
-t AS (SELECT * FROM ph WHERE (phase <> 'test' AND pos >= 5) OR (phase = 'test' AND pos = len))
-SELECT phase, user_id, epoch_ms(ts) AS ms, t.item_id, {message_sql('title', 'title')} AS messages, CASE WHEN phase = 'test' THEN history END AS history
-FROM t JOIN info ON info.item_id = t.item_id""")
-def build_examples(spark, sf):
-    b = ex.build_examples(interactions(spark, sf), catalog(spark, sf), PHASES[1:], "title")
+# targets of all phases; the first phase keeps five a user
+CHOSEN = f"""{SEQ}, numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id, ts < TIMESTAMP '2000-01-01' AND pos >= 5 ORDER BY md5('0#' || user_id || '#' || pos), pos) AS r FROM seq),
+chosen AS (
+  SELECT user_id, item_id, ts, pos, CASE WHEN ts < TIMESTAMP '2000-01-01' THEN 'pretrain' WHEN ts < TIMESTAMP '2000-07-01' THEN 'phase1'
+    WHEN ts < TIMESTAMP '2001-01-01' THEN 'phase2' ELSE 'test' END AS phase
+  FROM numbered WHERE CASE WHEN ts < TIMESTAMP '2000-01-01' THEN pos >= 5 AND r <= 5 WHEN ts < TIMESTAMP '2001-01-01' THEN pos >= 5 ELSE pos = len END)"""
+CHOSEN_TEXTS = f"""{CATALOG}, {CHOSEN}, blocks AS (
+  SELECT t.phase, t.user_id, t.pos, t.ts, t.item_id,
+    coalesce(string_agg('Title: ' || i.title || chr(10) || 'Description: ' || i.description, chr(10) || chr(10) ORDER BY s.pos), '') AS title_history,
+    coalesce(string_agg('Item Index: ' || i.sem_id, chr(10) ORDER BY s.pos), '') AS sem_id_history,
+    coalesce(string_agg(i.item_id::VARCHAR, ',' ORDER BY s.pos), '') AS history
+  FROM chosen t LEFT JOIN seq s ON s.user_id = t.user_id AND s.pos BETWEEN t.pos - 30 AND t.pos - 1 LEFT JOIN info i ON i.item_id = s.item_id
+  GROUP BY ALL)"""
+PICKED = """v AS (SELECT *, epoch_ms(ts) AS ms, unnest([0, 1, 2]) AS variant FROM chosen WHERE phase <> 'test'),
+picked AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id, ms, variant > 0
+  ORDER BY md5('0#' || user_id || '#' || item_id || '#' || ms || '#' || CASE WHEN variant > 0 THEN 'true' ELSE 'false' END || '#' || pos || '#' || variant), pos, variant) AS r FROM v)"""
+
+
+def examples(spark, sf, index="title", **options):
+    return ex.build_examples(interactions(spark, sf), catalog(spark, sf), PHASES, index, **options)
+
+
+def shown_example(b):
     return b.select(
         "phase", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "item_id",
-        flat("messages").alias("messages"), joined("history").alias("history"),
+        flat("messages").alias("messages"), joined("history").alias("history"), *(c for c in b.columns if c == "aux"),
     )
 
 
+@R.add("build_examples", f"""
+WITH {CHOSEN_TEXTS} SELECT phase, user_id, epoch_ms(ts) AS ms, t.item_id, {message_sql('title', 'title')} AS messages, CASE WHEN phase = 'test' THEN history END AS history
+FROM blocks t JOIN info ON info.item_id = t.item_id""")
+def build_examples(spark, sf):
+    return shown_example(examples(spark, sf))
+
+
+@R.add("build_examples_sem_id", f"""
+WITH {CHOSEN_TEXTS}, {PICKED}, kinds AS (SELECT user_id, pos, variant FROM picked WHERE r = 1 UNION ALL SELECT user_id, pos, 0 FROM chosen WHERE phase = 'test')
+SELECT phase, t.user_id, epoch_ms(ts) AS ms, t.item_id, CASE variant WHEN 0 THEN {message_sql('sem_id', 'sem_id')}
+  WHEN 1 THEN {message_sql('title', 'sem_id')} ELSE {message_sql('sem_id', 'title')} END AS messages,
+  CASE WHEN phase = 'test' THEN history END AS history, variant > 0 AS aux
+FROM kinds JOIN blocks t ON t.user_id = kinds.user_id AND t.pos = kinds.pos JOIN info ON info.item_id = t.item_id""")
+def build_examples_sem_id(spark, sf):
+    return shown_example(examples(spark, sf, "sem_id", keep_aux=True))
+
+
 @R.add("union_examples", f"""
-WITH {VARIANTS}, {ITEMS}, n AS (SELECT count(*) AS n FROM items)
-SELECT 'sequence' AS kind, CASE WHEN variant = 0 THEN 'main' ELSE 'aux' END AS type, count(*) AS n FROM picked WHERE r = 1 GROUP BY 1, 2
-UNION ALL SELECT 'items', t, (SELECT count(DISTINCT item_idx // 5) FROM items) FROM (VALUES ('t2i'), ('i2t')) x(t)""")
+WITH {CHOSEN}, {PICKED}, {ITEMS}
+SELECT 'sequence' AS kind, phase, CASE WHEN variant = 0 THEN 'main' ELSE 'aux' END AS type, count(*) AS n FROM picked WHERE r = 1 GROUP BY 1, 2, 3
+UNION ALL SELECT 'sequence', phase, 'main', count(*) FROM chosen WHERE phase = 'test' GROUP BY 1, 2, 3
+UNION ALL SELECT 'items', NULL, t, (SELECT count(DISTINCT item_idx // 5) FROM items) FROM (VALUES ('t2i'), ('i2t')) x(t)""")
 def union_examples(spark, sf):
-    main = ex.build_examples(
-        interactions(spark, sf), catalog(spark, sf), [PHASES[1]], "sem_id"
-    )
-    # an auxiliary example pairs a code with a text
-    user, answer = F.col("messages")[0]["content"], F.col("messages")[1]["content"]
-    plain = user.contains("Item Index: ") & answer.contains(tx.ANSWER_LABEL["sem_id"])
-    empty_history = ~user.contains("Title: ") & ~user.contains("Item Index: ")
-    kind = F.when(plain | (empty_history & answer.contains(tx.ANSWER_LABEL["sem_id"])), "main").otherwise("aux")
-    a = main.select(F.lit("sequence").alias("kind"), kind.alias("type"))
-    b = ex.item_dialogues(catalog(spark, sf)).select(F.lit("items").alias("kind"), "type")
-    return a.unionByName(b).groupBy("kind", "type").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.col("aux"), "aux").otherwise("main")
+    a = examples(spark, sf, "sem_id", keep_aux=True).select(F.lit("sequence").alias("kind"), "phase", kind.alias("type"))
+    b = ex.item_dialogues(catalog(spark, sf)).select(F.lit("items").alias("kind"), F.lit(None).cast("string").alias("phase"), "type")
+    return a.unionByName(b).groupBy("kind", "phase", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.add("aux_column_prune", f"""
-WITH {SEQ} SELECT phase, count(*) AS n, count(*) FILTER (has) AS with_history FROM (
-  SELECT CASE WHEN ts < TIMESTAMP '2001-01-01' THEN 'phase2' ELSE 'test' END AS phase, ts >= TIMESTAMP '2001-01-01' AS has FROM seq
-  WHERE (ts >= TIMESTAMP '2000-07-01' AND ts < TIMESTAMP '2001-01-01' AND pos >= 5) OR (ts >= TIMESTAMP '2001-01-01' AND pos = len)) GROUP BY 1""")
+WITH {CATALOG}, {CHOSEN}, past AS (
+  SELECT t.phase, t.user_id, t.pos, t.ts, t.item_id, coalesce(string_agg(s.item_id::VARCHAR, ',' ORDER BY s.pos), '') AS history
+  FROM chosen t LEFT JOIN seq s ON s.user_id = t.user_id AND s.pos BETWEEN t.pos - 30 AND t.pos - 1 GROUP BY ALL)
+SELECT phase, user_id, epoch_ms(ts) AS ms, item_id, CASE WHEN phase = 'test' THEN history END AS history FROM past""")
 def aux_column_prune(spark, sf):
-    b = ex.build_examples(interactions(spark, sf), catalog(spark, sf), PHASES[2:], "title")
+    b = examples(spark, sf)
     assert "aux" not in b.columns
-    return b.groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.count("history").alias("with_history"))
+    return shown_example(b).drop("messages")
 
 
 @R.add("write_examples", f"""
-WITH {SEQ} SELECT 'parts' AS domain, CASE WHEN ts < TIMESTAMP '2001-01-01' THEN 'phase2' ELSE 'test' END AS phase, user_id, item_id, epoch_ms(ts) AS "timestamp"
-FROM seq WHERE (ts >= TIMESTAMP '2000-07-01' AND ts < TIMESTAMP '2001-01-01' AND pos >= 5) OR (ts >= TIMESTAMP '2001-01-01' AND pos = len)""")
+WITH {CHOSEN_TEXTS} SELECT 'parts' AS domain, phase, user_id, t.item_id, epoch_ms(ts) AS "timestamp", {message_sql('title', 'title')} AS messages,
+  CASE WHEN phase = 'test' THEN history END AS history
+FROM blocks t JOIN info ON info.item_id = t.item_id""")
 def write_examples(spark, sf):
-    b = ex.build_examples(interactions(spark, sf), catalog(spark, sf), PHASES[2:], "title")
     path = files.fresh_path(spark, "examples")
+    b = examples(spark, sf)
     stamped = b.withColumn("domain", F.lit("parts")).withColumn("timestamp", F.unix_millis(F.col("ts").cast("timestamp"))).drop("ts")
     files.write_examples(stamped, path)
     schema = f"user_id BIGINT, item_id BIGINT, timestamp BIGINT, messages {files.MESSAGES}, history ARRAY<BIGINT>, domain STRING, phase STRING"
-    return spark.read.schema(schema).json(path).select("domain", "phase", "user_id", "item_id", "timestamp")
+    back = spark.read.schema(schema).json(path)
+    return back.select(
+        "domain", "phase", "user_id", "item_id", "timestamp", flat("messages").alias("messages"), joined("history").alias("history")
+    )
 
 
 GROUPS = f"""{REPAIRED}, {ITEMS}, tot AS (SELECT count(*) AS total FROM items),
