@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recquarry.operators.layout import materialize
 
 # Half-open phase windows.
 PHASE_WINDOWS = [
@@ -101,12 +102,16 @@ def min_interactions(df: DataFrame, n: int = 5, min_date: str | None = None) ->
     Item and user counts come from before the date filter; afterwards users need
     ``n`` remaining rows.  Items are not checked again.
     """
-    recent = df if min_date is None else df.where(F.col("ts") >= ntz(min_date))
-    item_ok = counts(df, "item_id", "c").where(F.col("c") >= n)
-    user_ok = counts(df, "user_id", "c").where(F.col("c") >= n)
-    kept = recent.join(item_ok, "item_id", "left_semi").join(user_ok, "user_id", "left_semi")
-    enough = counts(kept, "user_id", "c").where(F.col("c") >= n)
-    return kept.join(enough, "user_id", "left_semi")
+    recent = F.lit(True) if min_date is None else F.col("ts") >= ntz(min_date)
+    # one pass over the log; all counts come from the numbers of rows per user and item
+    pairs = df.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(recent).alias("n_recent"))
+    pairs = materialize(pairs)
+    item_ok = pairs.groupBy("item_id").agg(F.sum("n").alias("c")).where(F.col("c") >= n).select("item_id")
+    left = pairs.join(item_ok.withColumn("ok", F.lit(True)), "item_id", "left").groupBy("user_id").agg(
+        F.sum("n").alias("c"), F.sum(F.when(F.col("ok"), F.col("n_recent"))).alias("c_recent")
+    )
+    user_ok = left.where((F.col("c") >= n) & (F.col("c_recent") >= n))
+    return df.where(recent).join(item_ok, "item_id", "left_semi").join(user_ok, "user_id", "left_semi")
 
 
 def profile(df: DataFrame, stage: str) -> DataFrame:
@@ -119,11 +124,11 @@ def profile(df: DataFrame, stage: str) -> DataFrame:
 
 def phase_domain_summary(df: DataFrame, phases: Sequence[str], domain: str = "domain") -> DataFrame:
     """Users, items and interactions per phase of each domain, in one row per domain."""
-    once = df.groupBy(domain, "phase", "user_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
+    once = materialize(df.groupBy(domain, "phase", "user_id", "item_id").agg(F.count(F.lit(1)).alias("n")))
     inter = once.groupBy(domain).pivot("phase", list(phases)).agg(F.sum("n").cast("long"))
     inter = inter.select(domain, *(F.coalesce(F.col(p), F.lit(0)).cast("long").alias(f"{p}_interactions") for p in phases))
-    users = df.select(domain, "user_id").distinct().groupBy(domain).agg(F.count(F.lit(1)).alias("users"))
-    items = df.select(domain, "item_id").distinct().groupBy(domain).agg(F.count(F.lit(1)).alias("items"))
+    users = once.select(domain, "user_id").distinct().groupBy(domain).agg(F.count(F.lit(1)).alias("users"))
+    items = once.select(domain, "item_id").distinct().groupBy(domain).agg(F.count(F.lit(1)).alias("items"))
     return inter.join(users, domain).join(items, domain)
 
 

@@ -243,8 +243,11 @@ def packed_lengths(spark, sf):
     # the token id of a word is its length here
     ids = F.transform(tx.words(F.concat_ws(" ", "title", "description")), lambda w: F.length(w).cast("long"))
     tokens = items(spark, sf).select("item_id", ids.alias("tokens"))
-    log = interactions(spark, sf).join(tokens, "item_id")
-    c = sq.chunk_sequences(log, 25, item="tokens").withColumn("p", tx.pack_tokens("item_seq", 8, 1))
+    # sequences are cut as ids; tokens are looked up for the entries of a chunk afterwards
+    chunks = sq.chunk_sequences(interactions(spark, sf), 25)
+    entries = chunks.select("user_id", "chunk", F.posexplode("item_seq").alias("at", "item_id")).join(tokens, "item_id")
+    c = entries.groupBy("user_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("at", "tokens"))).alias("e"))
+    c = c.select("user_id", "chunk", F.col("e.tokens").alias("item_seq")).withColumn("p", tx.pack_tokens("item_seq", 8, 1))
     return c.select("user_id", "chunk", *(joined(F.col(f"p.{n}")).alias(n) for n in ("ids", "lengths", "positions")))
 
 

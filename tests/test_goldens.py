@@ -1,6 +1,7 @@
 """Hand-worked cases."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -394,3 +395,33 @@ def test_descriptions_of_all_kinds(spark, tmp_path):
     (tmp_path / "meta.json").write_text("\n".join(lines))
     got = {r.item_id: r.description for r in files.read_item_meta(spark, str(tmp_path)).collect()}
     assert got == {"a": "x\ny", "b": "plain text", "c": "None"}
+
+
+def test_examples_of_unknown_and_missing_items(spark):
+    """Unknown and null items stay in the history and read NA; hot users and repeated rows change nothing."""
+    items = spark.createDataFrame([(1, "t1", None, "<a_1>")], "item_id int, title string, description string, sem_id string")
+    log = spark.createDataFrame([(1, 1, 1), (1, 9, 2), (1, None, 3), (1, 1, 4), (1, 1, 4)], "user_id int, item_id int, s int")
+    log = log.selectExpr("user_id", "item_id", "cast(timestamp_seconds(1640995200 + s) as timestamp_ntz) as ts")
+    got = ex.build_examples(log, items, [("pretrain", "2017-07-01", "2022-07-01")], min_len=4).collect()
+    assert [r["item_id"] for r in got] == [1, 1]
+    shown = sorted(r["messages"][0]["content"].split("Title: ", 1)[1] for r in got)
+    start = "t1\nDescription: NA\n\nTitle: NA\nDescription: NA\n\nTitle: NA\nDescription: NA"
+    assert shown == [start, start + "\n\nTitle: t1\nDescription: NA"]
+    assert ex.build_examples(log.limit(0), items, [("pretrain", "2017-07-01", "2022-07-01")]).count() == 0
+
+
+def test_count_filter_against_brute_force(spark):
+    import random
+
+    from recquarry.operators import clean
+
+    rnd = random.Random(3)
+    data = [(7 if rnd.random() < 0.4 else rnd.randrange(12), rnd.randrange(9) if rnd.random() < 0.9 else None, rnd.randrange(100)) for _ in range(150)]
+    log = spark.createDataFrame(data, "user_id int, item_id int, s int")
+    log = log.selectExpr("user_id", "item_id", "s", "cast(timestamp_seconds(1640995200 + s) as timestamp_ntz) as ts")
+    items, users = Counter(i for _, i, _ in data), Counter(u for u, _, _ in data)
+    kept = [r for r in data if r[2] >= 30 and r[1] is not None and items[r[1]] >= 10 and users[r[0]] >= 10]
+    left = Counter(u for u, _, _ in kept)
+    want = sorted(r for r in kept if left[r[0]] >= 10)
+    got = clean.min_interactions(log, 10, "2022-01-01 00:00:30")
+    assert want and sorted((r.user_id, r.item_id, r.s) for r in got.collect()) == want

@@ -66,3 +66,18 @@ def test_every_cutoff_in_one_pass(spark):
 def test_counts_combine_before_the_shuffle(spark):
     p = plan(clean.counts(interactions(spark, SF), "user_id", "n"))
     assert "partial_count" in p
+
+
+def test_no_text_enters_the_user_window(spark):
+    from recquarry.operators import examples as ex
+
+    log = spark.createDataFrame([(1, 1, 1, "2022-01-01")], "user_id int, item_id int, extra int, t string").selectExpr(
+        "user_id", "item_id", "cast(t as timestamp_ntz) as ts", "extra"
+    )
+    items = spark.createDataFrame([(1, "a", "b", "c")], "item_id int, title string, description string, sem_id string")
+    made = ex.build_examples(log, items, [("pretrain", "2017-07-01", "2022-07-01"), ("test", "2022-07-01", "2023-01-01")])
+    text = plan(made)
+    windows = [line for line in text.splitlines() if " Window [" in line or "-Window [" in line]
+    assert windows and not any("title" in w or "description" in w for w in windows)
+    # below the first window nothing but the log is read: the catalogue joins above it
+    assert text.index("Join") < text.index("Window [")
