@@ -123,6 +123,29 @@ def test_counts_agree_with_sentencepiece():
         assert counter.count(text) == len(library.nbest_encode_as_pieces(text, 8)[0])
 
 
+def test_counts_agree_with_the_one_best_encoder_on_bounded_scores():
+    """The file marks pieces that merges never choose by -1e9, beside which the library's single
+    precision loses all other scores; bounded from below they leave its one-best encoder exact."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(UNIGRAM, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    for p in model.pieces:
+        if p.type == 1:
+            p.score = max(p.score, -1e5)
+    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    pieces = {p.piece: p.score for p in model.pieces if p.type == 1}
+    counter = token_counts.Counter(token_counts.make_vocabulary(pieces, model.trainer_spec.byte_fallback))
+    rnd = random.Random(11)
+    words = ["the", "and", "with", "l'été", "maison", "then", "other.\nThe", "x\tz", "世界", "Straße", "", "thor", "of", "1999", "😀"]
+    for _ in range(300):
+        text = " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 120)))
+        assert counter.count(text) == len(library.encode(text))
+
+
 def test_counts_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "the"), (3, "the"), (None, "the")], "doc_id long, text string")
     got = df.select("doc_id", token_counts.count_tokens(df, UNIGRAM).alias("n")).collect()
