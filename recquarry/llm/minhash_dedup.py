@@ -8,18 +8,17 @@ registers of its document, so the work is about the number of shingles plus a co
 
 *Candidates.*  Documents with equal shingle sets are one node.  Nodes meet in buckets of bands of
 registers.  In a bucket of at most ``SMALL`` nodes all are compared; in a larger one each
-is compared with the bucket's most central node.  Large buckets whose nodes are not yet in one
-class are split by further bands, each in ``len(STEPS)`` ways, until they are small; pairs inside one class
-are not compared again.  No group is ever expanded into all its pairs.
+is compared with the bucket's most central node.  The nodes of large buckets that still hold more than
+one class go through an exact set-similarity join by prefix filter, which finds every pair across classes
+that reaches the threshold.  Pairs inside one class are not compared again.
 
-*Verification.*  Pairs whose registers agree often enough are compared by their exact shingle sets;
-a link is a Jaccard similarity of at least 0.8.  Classes are the connected
+*Verification.*  Pairs of the bands whose registers agree often enough, and all pairs of the exact join, are
+compared by their exact shingle sets; a link is a Jaccard similarity of at least 0.8.  Classes are the connected
 components of the links, found by alternating star contractions with stored rounds.
 
-A pair at similarity 0.8 misses all bands with probability (1 - 0.8^5)^24, about 1 in 10,000.  In a
-large bucket the pairs that no hub has linked are looked for in up to three more bands at once, which
-finds fewer of those that lie just at 0.8: a pair is then missed with a chance of a few in a hundred, and
-its documents stay apart only if no other link joins their classes.
+A pair at similarity 0.8 misses all bands with probability (1 - 0.8^5)^24, about 1 in 10,000.  A pair that
+meets in a band is compared or already in one class.  ``n_links`` counts the links that were verified; in large
+buckets pairs inside one class are left out, so it is no count of all near copies.
 
 Defined cases: words are runs of letters and digits in lower case; a text with one to
 four words is one shingle; a text without words is alone in its class, as is a row without
@@ -29,6 +28,7 @@ Extra columns are left alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -43,8 +43,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 SMALL = 16
-STEPS = (1, 5)
-LEVELS = 3
+# Counts that order shingles by frequency, and nodes of one key that are compared with in one group.
+CELLS = 1 << 20
+SALT = 256
 # Pairs whose registers agree less often are not verified; at 0.8 this is six standard deviations away.
 MIN_AGREEMENT = 0.55
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -189,8 +190,24 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
+def linked(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b, similarity) among pairs a < b by their exact shingle sets."""
+    both = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    similarity = common / (F.size("sa") + F.size("sb") - common)
+    links = both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= THRESHOLD)
+    return stored(links, "links")
+
+
+def sets_of(asked: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Stored shingle sets of the nodes in a stored table."""
+    rows = docs.join(broadcast_checked(asked), F.col(doc_id).cast("long") == F.col("node"), "left_semi")
+    return stored(shingle_sets(rows, doc_id, text), "shingle-sets")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Links (a, b, similarity) among candidate pairs a < b."""
+    """Links (a, b, similarity) among candidate pairs a < b whose registers agree often enough."""
     agrees = F.pandas_udf(agreement, "double")
     marks = nodes.select("node", "marks")
     near = (
@@ -200,15 +217,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, t
         .select("a", "b")
     )
     near = stored(near, "near-pairs")
-    asked = broadcast_checked(stored(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "asked"))
-    rows = docs.join(asked, F.col(doc_id).cast("long") == F.col("node"), "left_semi")
-    sets = stored(shingle_sets(rows, doc_id, text), "shingle-sets")
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    similarity = common / (F.size("sa") + F.size("sb") - common)
-    links = both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= THRESHOLD)
-    return stored(links, "links")
+    asked = stored(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "asked")
+    return linked(near, sets_of(asked, docs, doc_id, text))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,9 +243,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = check
 
 
-def _small_pairs(rows: DataFrame, what: str) -> DataFrame:
-    """Pairs of the nodes in small buckets; with classes, only pairs across them."""
-    nodes = rows.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(*what.split()))).alias("m"))  # at most SMALL
+def _small_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of the nodes in small buckets."""
+    nodes = rows.groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("m"))  # at most SMALL
     pairs = F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("x"), y.alias("y"))))
     return nodes.where(F.size("m") > 1).select(F.explode(F.flatten(pairs)).alias("p")).select("p.x", "p.y")
 
@@ -245,55 +255,105 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def first_candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of the bands, and the rows (key, node, band, popularity) of large buckets; both stored."""
-    bucket = nodes.select("node", F.posexplode("bands").alias("band", "h")).select(
-        "node", "band", F.xxhash64("band", "h").alias("key")
-    )
+    """Candidate pairs of the bands, and the rows (key, node) of large buckets; both stored."""
+    bucket = nodes.select("node", F.posexplode("bands").alias("band", "h")).select("node", F.xxhash64("band", "h").alias("key"))
     shared = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = stored(bucket.join(shared, "key"), "shared-buckets")
     popularity = rows.groupBy("node").agg(F.sum("size").alias("popularity"))
     large = stored(rows.where(F.col("size") > SMALL).join(popularity, "node"), "large-buckets")
-    small = _small_pairs(rows.where(F.col("size") <= SMALL), "node")
+    small = _small_pairs(rows.where(F.col("size") <= SMALL))
     hub = large.groupBy("key").agg(F.max_by("node", F.struct("popularity", -F.col("node"))).alias("hub"))
     stars = large.join(hub, "key")
-    pairs = _ordered(small, "x.node", "y.node").union(_ordered(stars, "node", "hub")).distinct()
-    return stored(pairs, "pairs"), large.drop("size")
+    pairs = _ordered(small, "x", "y").union(_ordered(stars, "node", "hub")).distinct()
+    return stored(pairs, "pairs"), large.select("key", "node")
 
 
-def deeper_candidates(large: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Pairs across classes in large buckets, split by further bands until they are small."""
+def crowded(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (node, label) of the nodes in large buckets that hold more than one class; stored."""
+    labelled = large.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = stored(labelled, "labelled-buckets")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1")
+    return stored(labelled.join(mixed.select("key"), "key", "left_semi").select("node", "label").distinct(), "crowd")
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        kept = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        return stored(rows.join(kept.where("l0 < l1").select("key", "size"), "key"), "mixed-buckets")
 
-    labelled = large.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    # band hashes go along from here on, so that no level has to fetch them again
-    rows = stored(mixed(labelled).drop("size").join(nodes.select("node", "bands"), "node"), "large-buckets")
-    found = []
-    for _ in range(LEVELS):
-        if rows.isEmpty():
-            break
-        parts = None
-        for step in STEPS:
-            band = (F.col("band") + F.lit(step)) % F.lit(BANDS)
-            part = rows.withColumn("band", band).withColumn("key", F.xxhash64("key", "band", F.get("bands", "band")))
-            parts = part if parts is None else parts.unionByName(part)
-        split = mixed(stored(parts, "split-buckets"))
-        small = _small_pairs(split.where(F.col("size") <= SMALL), "node label").where(F.col("x.label") != F.col("y.label"))
-        found.append(_ordered(small, "x.node", "y.node"))
-        rows = split.where(F.col("size") > SMALL).drop("size")
-    if not rows.isEmpty():  # what agrees on all those bands is compared with two of its nodes
-        order = [F.struct("popularity", -F.col("node")), F.struct(F.xxhash64("node"), "node")]
-        hubs = rows.groupBy("key").agg(F.array(*(F.max_by(F.struct("node", "label"), o) for o in order)).alias("hubs"))
-        stars = rows.join(hubs, "key").withColumn("hub", F.explode("hubs")).where(F.col("hub.label") != F.col("label"))
-        found.append(_ordered(stars, "node", "hub.node"))
-    if not found:
-        return None
-    pairs = found[0]
-    for p in found[1:]:
-        pairs = pairs.union(p)
-    return stored(pairs.distinct(), "pairs")
+def prefix_rows(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (key, node, label, n, p): the rarest shingles of every node and their places in the common order.
+
+    The order is by rising frequency of the shingle's cell in a table of ``CELLS`` counts, then by the
+    shingle.  Any order common to all nodes finds every pair; rare ones in front keep the groups small.
+    """
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(CELLS, np.int64)
+        for frame in frames:
+            for s in frame["shingles"]:
+                np.add.at(total, np.unique(s) & (CELLS - 1), 1)
+        used = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": used.astype(np.int32), "n": total[used]})
+
+    cells = sets.select("shingles").mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(CELLS, np.int64)
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sizes, keys, places = [], [], []
+            for s in frame["shingles"]:
+                s = np.unique(s)
+                first = np.lexsort((s, shared.value[s & (CELLS - 1)]))[: len(s) - math.ceil(THRESHOLD * len(s) - 1e-6) + 1]
+                sizes.append(len(s))
+                keys.append(s[first])
+                places.append(np.arange(len(first), dtype=np.int32))
+            many = [len(k) for k in keys]
+            if sum(many):
+                yield pd.DataFrame(
+                    {
+                        "key": np.concatenate(keys),
+                        "node": np.repeat(frame["node"].to_numpy(), many),
+                        "label": np.repeat(frame["label"].to_numpy(), many),
+                        "n": np.repeat(sizes, many),
+                        "p": np.concatenate(places),
+                    }
+                )
+
+    rows = sets.join(crowd, F.col("id") == F.col("node")).select("node", "label", "shingles")
+    return stored(rows.mapInPandas(cut, "key int, node long, label long, n int, p int"), "prefixes")
+
+
+def exact_candidates(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs across classes of the crowd that may reach the threshold: a set-similarity join by prefix filter.
+
+    Two sets that reach it share a shingle among the first n - ceil(t n) + 1 of the larger one and the first
+    n - ceil(2t / (1 + t) n) + 1 of the smaller one, and behind it enough shingles are left in both.
+    A core that all nodes share is no key of the smaller ones unless they are alike but for less than that.
+    """
+    rows = prefix_rows(crowd, sets)
+    short = F.col("p") <= F.col("n") - F.ceil(2 * THRESHOLD / (1 + THRESHOLD) * F.col("n") - 1e-6)
+    per_class = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"), F.count_if(short).alias("short"))
+    keys = per_class.groupBy("key").agg(
+        F.count(F.lit(1)).alias("classes"), F.sum("short").alias("short"), F.max_by("label", F.struct("rows", "label")).alias("top")
+    )
+    keys = stored(keys.where("classes > 1 AND short > 0").select("key", "top", F.ceil(F.col("short") / SALT).cast("int").alias("salts")), "prefix-keys")
+    rows = stored(rows.withColumn("short", short).join(keys, "key"), "keyed-prefixes")
+    # pairs inside a key's largest class are never made: side 0 is the other classes with all, side 1 the largest one with the others
+    inside = F.col("label") == F.col("top")
+    left = rows.where("short").select(
+        "key", F.when(inside, 1).otherwise(0).alias("side"), F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"),
+        F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("p").alias("px"),
+    )
+    right = rows.select("*", F.explode(F.when(inside, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    right = right.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(
+        "key", "side", "salt", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("p").alias("py")
+    )
+    rest = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    close = (
+        (F.col("lx") != F.col("ly"))
+        & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
+        & (F.col("nx") >= THRESHOLD * F.col("ny") - 1e-6)
+        & (rest >= THRESHOLD / (1 + THRESHOLD) * (F.col("nx") + F.col("ny")) - 1e-6)
+    )
+    return stored(_ordered(left.join(right, ["key", "side", "salt"]).where(close), "x", "y").distinct(), "pairs")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -304,9 +364,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     pairs, large = first_candidates(nodes)
     links = verified(pairs, nodes, docs, doc_id, text)
     found = stored(components(links), "classes")
-    more = deeper_candidates(large, nodes, found)
-    if more is not None:
-        links = stored(links.union(verified(more.join(pairs, ["a", "b"], "left_anti"), nodes, docs, doc_id, text)), "links")
+    crowd = crowded(large, found)
+    if not crowd.isEmpty():
+        sets = sets_of(crowd.select("node"), docs, doc_id, text)
+        links = stored(links.union(linked(exact_candidates(crowd, sets).join(pairs, ["a", "b"], "left_anti"), sets)), "links")
         found = stored(components(links), "classes")
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = nodes.select("f1", "f2", "node").join(found, "node", "left").join(degree, "node", "left")

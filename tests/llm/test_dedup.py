@@ -185,6 +185,20 @@ def test_near_copies(spark, small, monkeypatch):
         assert sorted(r.doc_id for r in kept.collect()) == sorted(set(jaccard_classes(texts)))
 
 
+def test_near_copies_in_a_crowd(spark, monkeypatch):
+    """Pairs inside a family of documents that share most of their text, but lie below 0.8 to its hub."""
+    monkeypatch.setattr(minhash_dedup, "SMALL", 2)
+    rnd = random.Random(5)
+    core, texts = words(rnd, 300), []
+    for _ in range(150):
+        own = words(rnd, 50)
+        texts += [core + " " + own, edited(rnd, core, 7) + " " + own]
+    found = jaccard_classes(texts)
+    assert 100 < len(set(found)) < 250
+    got = {r.doc_id: r.class_id for r in minhash_dedup.classes(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == found
+
+
 def test_near_odd_rows(spark):
     got = minhash_dedup.classes(frame(spark, ["a b c d e f", "a b c d e f", "a b c d e f", ""], [3, 3, None, 9])).collect()
     assert sorted((r.doc_id or 0, r.class_id or 0) for r in got) == [(0, 0), (3, 3), (3, 3), (9, 9)]
