@@ -1,9 +1,10 @@
 """Near-duplicate classes with ProbMinHash, banding and exact verification.
 
-*Signature.*  A document is its set of five-word shingles, weighted by 1 + ln(occurrences).  Every
+*Signature.*  A document is its set of five-word shingles, all of weight 1 however often they occur, since
+links are judged by sets.  Every
 shingle starts a Poisson process whose rate is its weight; its arrivals fall on random registers, and a
 register keeps the shingle that arrived first.  Registers of two documents agree with their
-probability Jaccard similarity.  A process ends as soon as its next arrival is later than all
+probability Jaccard similarity, which is the Jaccard similarity of the sets when weights are equal.  A process ends as soon as its next arrival is later than all
 registers of its document, so the work is about the number of shingles plus a constant.
 
 *Candidates.*  Documents with equal shingle sets are one node.  Nodes meet in buckets of bands of
@@ -107,12 +108,12 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner[at], value[at], np.diff(np.append(at, len(value)))
 
 
-def prob_min_hash(owner: np.ndarray, value: np.ndarray, count: np.ndarray, documents: int) -> np.ndarray:
+def prob_min_hash(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, documents: int) -> np.ndarray:
     """Registers (documents x REGISTERS) holding the shingle that arrived first; 0 without shingles."""
     registers = np.zeros((documents, REGISTERS), np.uint64)
     flat = registers.ravel()
     first = np.full(documents * REGISTERS, np.inf)
-    rate = 1.0 + np.log(count)
+    rate = weight.astype(float)
     time = np.zeros(len(value))
     state = value.copy()
     while len(value):
@@ -146,8 +147,9 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         for frame in frames:
             texts, ids = [t or "" for t in frame["text"]], frame["id"].to_numpy()
             for a, b in chunks(texts):
-                owner, value, count = shingles(texts[a:b])
-                registers = prob_min_hash(owner, value, count, b - a)
+                owner, value, _ = shingles(texts[a:b])
+                # repeated passages must not move the registers away from the similarity of the sets
+                registers = prob_min_hash(owner, value, np.ones(len(value)), b - a)
                 sums = np.zeros((2, b - a), np.uint64)
                 np.add.at(sums[0], owner, mix(value ^ np.uint64(0xA5A5)))
                 np.add.at(sums[1], owner, mix(value ^ np.uint64(0x5A5A5A)))

@@ -216,6 +216,24 @@ def test_registers_estimate_the_similarity():
     assert abs((registers[0] == registers[1]).mean() - true) < 0.15
 
 
+def test_repeated_passages_do_not_move_the_registers(spark):
+    """Half of one text is pasted hundreds of times; the sets of both stay alike."""
+    rnd = random.Random(21)
+    texts = []
+    for times in (30, 300):
+        for _ in range(20):
+            base = words(rnd, 500)
+            half = " ".join(base.split(" ")[:250])
+            texts += [base, " ".join([edited(rnd, base, 8)] + [half] * times)]
+    rows = {r.id: r for r in minhash_dedup.signatures(frame(spark, texts)).collect()}
+    for i in range(0, len(texts), 2):
+        owner, value, _ = minhash_dedup.shingles(texts[i : i + 2])
+        sets = [set(value[owner == k].tolist()) for k in (0, 1)]
+        true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        same = np.mean([x == y for x, y in zip(rows[i].marks, rows[i + 1].marks)])
+        assert true > 0.8 and abs(same - true) < 5 * (true * (1 - true) / minhash_dedup.REGISTERS) ** 0.5
+
+
 # lines
 
 
