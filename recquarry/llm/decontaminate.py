@@ -3,16 +3,20 @@
 Numbers, names and units become typed placeholders, so that a question asked with other
 parameters keeps its template.  Windows of template tokens are hashed; documents meet the
 benchmark in a hash join.  Matched windows of one alignment (document position minus item
-position) must fill the slots consistently: a value of the item stands for one value
-of the document.  A document is contaminated by an item if enough of the item's windows are
-found in consistent alignments.
-
-Tokens are runs of letters, or numbers with inner points and commas.  A name is a capitalised word that does
-not begin a sentence; a unit is a word of ``UNITS`` after a number; other words
+position) must fill the slots consistently.  A name inside a sentence that stands for two names breaks the
+alignment.  Of other values the document value with most windows stays, and windows with another one are left
+out, but for windows whose values equal the item's.  A document is contaminated by an item if enough of the
+item's windows are left.
+
+Tokens are runs of letters, or numbers with inner points and commas.  A name is a capitalised word; at the
+beginning of a sentence it may be a plain word too, and windows are hashed in all readings that leave
+``MIN_WORDS`` - 1 plain words.  A unit is a word
+of ``UNITS`` after a number; other words
 count in lower case.  Windows with fewer than ``MIN_WORDS`` plain words are left out: they would match
-anything.  Items shorter than a window are one window of their own length.
+anything.  Items shorter than a window are one window of their own length.  Items without any such window
+are found as a whole, token by token with their values; an item of one word is found wherever that word is.
 
-Defined cases: null and empty texts have no windows and are clean; items without windows match
+Defined cases: null and empty texts have no windows and are clean; items without tokens match
 nothing; an empty benchmark leaves all documents clean.  Rows repeated with the same id and
 text get the same result.  Repeated benchmark items count as one of them each.  Extra columns are left alone.
 """
@@ -36,6 +40,8 @@ UNITS = [
     "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degrees", "kwh", "watts",
 ]
 NUMBER, NAME, UNIT = "\u0001n", "\u0001p", "\u0001u"
+# A capitalised word that begins a sentence; read as a name its slot value is marked ``FIRST``.
+EITHER, FIRST = "\u0002", "\u0001q"
 
 
 def _mark(tokens: str) -> Column:
@@ -49,7 +55,7 @@ def _mark(tokens: str) -> Column:
             F.when(t.isin(".", "!", "?", "\n"), None)
             .when(number, F.concat(F.lit(NUMBER), t))
             .when(F.lower(t).isin(UNITS) & before.rlike(r"^\p{N}"), F.concat(F.lit(UNIT), F.lower(t)))
-            .when(t.rlike(r"^\p{Lu}\p{Ll}") & ~begins, F.concat(F.lit(NAME), F.lower(t)))
+            .when(t.rlike(r"^\p{Lu}\p{Ll}"), F.concat(F.when(begins, EITHER).otherwise(NAME), F.lower(t)))
             .otherwise(F.lower(t))
         )
 
@@ -57,14 +63,18 @@ def _mark(tokens: str) -> Column:
 
 
 def templates(table: DataFrame, text: str, *columns: Column) -> DataFrame:
-    """``columns`` plus the arrays ``marked`` and ``plain`` (slots without their values)."""
+    """``columns`` plus the arrays ``marked``, ``plain`` (slots without their values, sentence beginnings as words)."""
     cut = table.select(*columns, text_or_empty(text).alias("tokens"))
     cut = held(cut, tokens=F.regexp_extract_all("tokens", F.lit(TOKEN), F.lit(0)), marked=_mark("tokens")).drop("tokens")
-    return held(cut, plain=F.transform("marked", lambda t: F.when(t.startswith("\u0001"), F.substring(t, 1, 2)).otherwise(t)))
+    return held(cut, plain=F.transform("marked", lambda t: F.when(t.startswith("\u0001"), F.substring(t, 1, 2)).otherwise(F.ltrim(t, F.lit(EITHER)))))
 
 
 def windows(t: DataFrame, width: int, keep: list[str]) -> DataFrame:
-    """Rows (keep, pos, h, slots) of all windows of ``width`` tokens; ``slots`` are the filled placeholders in order."""
+    """Rows (keep, pos, h, slots) of all windows of ``width`` tokens; ``slots`` are the filled placeholders in order.
+
+    Windows with sentence beginnings have further rows, with one or more of them read as names.
+    """
+    names = max(width - MIN_WORDS + 1, 0)  # a name that may be a word leaves one plain word less
 
     def window(i):
         slots = F.filter(F.slice("marked", i + 1, width), lambda x: x.startswith("\u0001"))
@@ -74,34 +84,97 @@ def windows(t: DataFrame, width: int, keep: list[str]) -> DataFrame:
             F.when(F.col("slotted"), slots).alias("slots"),
         )
 
-    t = held(t.where(F.size("plain") >= width), slotted=F.exists("marked", lambda x: x.startswith("\u0001")))
-    each = F.transform(F.sequence(F.lit(0), F.size("plain") - width), window)
+    def named(i, chosen):
+        read = F.transform(
+            F.slice("marked", i + 1, width),
+            lambda x, j: F.when(F.array_contains(chosen, j), F.concat(F.lit(FIRST), F.substring(x, 2, 1 << 30))).otherwise(F.ltrim(x, F.lit(EITHER))),
+        )
+        plain = F.transform(read, lambda x: F.when(x.startswith(FIRST), NAME).when(x.startswith("\u0001"), F.substring(x, 1, 2)).otherwise(x))
+        return F.struct(
+            i.alias("pos"), F.xxhash64(F.lit(width), plain).alias("h"), F.filter(read, lambda x: x.startswith("\u0001")).alias("slots")
+        )
+
+    def readings(i):
+        part = F.slice("marked", i + 1, width)
+        at = F.filter(F.transform(part, lambda x, j: F.when(x.startswith(EITHER), j).otherwise(-1)), lambda j: j >= 0)
+        chosen = F.transform(at, lambda j: F.array(j))
+        for _ in range(names - 1):
+            chosen = F.array_union(chosen, F.flatten(F.transform(chosen, lambda c: F.transform(F.filter(at, lambda j: j > F.element_at(c, -1)), lambda j: F.concat(c, F.array(j))))))
+        fixed = F.size(F.filter(part, lambda x: x.startswith("\u0001")))
+        return F.transform(F.filter(chosen, lambda c: F.size(c) + fixed <= names), lambda c: named(i, c))
+
+    t = t.where(F.size("plain") >= width)
+    t = held(t, slotted=F.exists("marked", lambda x: x.startswith("\u0001")))
+    places = F.sequence(F.lit(0), F.size("plain") - width)
+    each = F.transform(places, window)
+    if names:
+        some = F.filter(places, lambda i: F.exists(F.slice("marked", i + 1, width), lambda x: x.startswith(EITHER)))
+        each = F.concat(each, F.flatten(F.transform(some, readings)))
     return t.select(*keep, F.explode_outer(each).alias("w")).select(*keep, "w.*")
 
 
-def benchmark_windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """Windows of all items: (item, pos, h, slots, width, n_windows); stored."""
-    t = stored(templates(items, text, F.col(item_id).alias("item"), F.xxhash64(text_or_empty(text)).alias("ik")).dropDuplicates(["item", "ik"]), "templates")
+def literal_windows(t: DataFrame, width: int, keep: list[str]) -> DataFrame:
+    """Rows (keep, pos, h) of all windows of ``width`` tokens with their values."""
+    t = held(t.where(F.size("plain") >= width), raw=F.transform("marked", _value))
+    each = F.transform(
+        F.sequence(F.lit(0), F.size("raw") - width), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(width), F.slice("raw", i + 1, width)).alias("h"))
+    )
+    return t.select(*keep, F.explode(each).alias("w")).select(*keep, "w.*")
+
+
+def _value(t: Column) -> Column:
+    """A marked token without its marks."""
+    return F.when(t.startswith("\u0001"), F.substring(t, 3, 1 << 30)).otherwise(F.ltrim(t, F.lit(EITHER)))
+
+
+def _slots(name: str) -> Column:
+    return F.coalesce(F.col(name), F.array().cast("array<string>"))
+
+
+def item_templates(items: DataFrame, item_id: str, text: str) -> DataFrame:
+    t = templates(items, text, F.col(item_id).alias("item"), F.xxhash64(text_or_empty(text)).alias("ik"))
+    return stored(t.dropDuplicates(["item", "ik"]), "templates")
+
+
+def benchmark_windows(t: DataFrame) -> DataFrame:
+    """Windows of all items: (item, ik, pos, h, slots, width, n_windows); stored."""
     # fewer than WINDOW lengths
     short = sorted(r[0] for r in t.select(F.size("plain").alias("n")).where((F.col("n") < WINDOW) & (F.col("n") >= MIN_WORDS)).distinct().collect())
     parts = []
     for width in [*short, WINDOW]:
         part = t.where(F.size("plain") == width) if width < WINDOW else t
-        words = F.size(F.filter(F.slice("plain", F.col("pos") + 1, width), lambda x: ~x.startswith("\u0001")))
-        found = windows(part, width, ["item", "ik", "plain"])
-        parts.append(found.where(words >= MIN_WORDS).drop("plain").withColumn("width", F.lit(width)))
+        found = windows(part, width, ["item", "ik"])
+        sure = F.filter(_slots("slots"), lambda x: ~x.startswith(FIRST))
+        parts.append(found.where(F.size(sure) <= width - MIN_WORDS).withColumn("width", F.lit(width)))
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
     union = stored(union, "benchmark-windows")
-    size = union.groupBy("item", "ik").agg(F.count(F.lit(1)).alias("n_windows"))
+    size = union.groupBy("item", "ik").agg(F.count_distinct("pos").alias("n_windows"))
     same = (F.col("a.item").eqNullSafe(F.col("b.item"))) & (F.col("a.ik") == F.col("b.ik"))
     return stored(union.alias("a").join(size.alias("b"), same).select("a.*", "b.n_windows"), "benchmark-windows")
 
 
+def whole_matches(t: DataFrame, items: DataFrame, bench: DataFrame) -> DataFrame | None:
+    """Rows (id, k, item, share) for items without windows that a document holds as a whole."""
+    has = bench.select(F.col("item").alias("h_item"), F.col("ik").alias("h_ik")).distinct()
+    bare = items.where(F.size("plain") > 0).join(has, F.col("item").eqNullSafe(F.col("h_item")) & (F.col("ik") == F.col("h_ik")), "left_anti")
+    bare = stored(bare.withColumn("width", F.least(F.size("plain"), F.lit(WINDOW))), "whole-items")
+    found = None
+    for width in sorted(r[0] for r in bare.select("width").distinct().collect()):  # at most WINDOW numbers
+        part = bare.where(F.col("width") == width).withColumn("n_windows", F.size("plain") - width + 1)
+        side = stored(literal_windows(part, width, ["item", "ik", "n_windows"]).withColumnRenamed("pos", "ipos"), "literal-windows")
+        hits = literal_windows(t, width, ["id", "k"]).join(broadcast_checked(side), "h")
+        whole = hits.groupBy("id", "k", "item", "ik", "n_windows", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.count_distinct("ipos").alias("n"))
+        whole = whole.where("n = n_windows").select("id", "k", "item", F.lit(1.0).alias("share")).distinct()
+        found = whole if found is None else found.unionByName(whole)
+    return found
+
+
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows (id, k, item, share): share of an item's windows found in the document."""
-    bench = benchmark_windows(items, item_id, item_text)
+    asked = item_templates(items, item_id, item_text)
+    bench = benchmark_windows(asked)
     widths = sorted(r[0] for r in bench.select("width").distinct().collect())  # at most WINDOW numbers
     t = templates(docs, text, F.col(doc_id).alias("id"), F.xxhash64(text_or_empty(text)).alias("k"))
     hits = None
@@ -109,25 +182,43 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         side = bench.where(F.col("width") == width).select("h", "item", "ik", "n_windows", F.col("pos").alias("ipos"), F.col("slots").alias("islots"))
         part = windows(t, width, ["id", "k"]).join(broadcast_checked(side), "h")
         hits = part if hits is None else hits.unionByName(part)
-    hits = hits.select("id", "k", "item", "ik", "n_windows", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), "slots", "islots")
+    hits = hits.select("id", "k", "item", "ik", "n_windows", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), _slots("slots").alias("slots"), _slots("islots").alias("islots"))
     hits = stored(hits, "matched-windows")
-    key = ["id", "k", "item", "ik", "shift"]
-    filled = hits.where(F.size(F.coalesce("islots", F.array().cast("array<string>"))) > 0)
-    filled = filled.select(*key, F.explode(F.arrays_zip("islots", "slots")).alias("z"))
-    broken = (
-        filled.groupBy(*key, F.col("z.islots").alias("value"))
-        .agg(F.min("z.slots").alias("least"), F.max("z.slots").alias("most"))
-        .where("least != most")
-        .select(*(F.col(c).alias(f"b_{c}") for c in key))
-        .distinct()
-    )
-    on = [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in key]
-    sound = hits.join(broken, on, "left_anti")
+    sound = consistent(hits)
     # one row per window of the item first, then their number: at most n_windows rows for a document
     once = sound.select("id", "k", "item", "ik", "n_windows", "ipos").distinct()
-    return once.groupBy("id", "k", "item", "ik", "n_windows").agg(F.count(F.lit(1)).alias("n")).select(
+    found = once.groupBy("id", "k", "item", "ik", "n_windows").agg(F.count(F.lit(1)).alias("n")).select(
         "id", "k", "item", (F.col("n") / F.col("n_windows")).alias("share")
     )
+    whole = whole_matches(t, asked, bench)
+    return found if whole is None else found.unionByName(whole)
+
+
+def consistent(hits: DataFrame) -> DataFrame:
+    """The matched windows that fill the slots of their alignment consistently."""
+    key = ["id", "k", "item", "ik", "shift"]
+    filled = hits.where(F.size("islots") > 0).select(*key, "ipos", "islots", "slots", F.explode(F.arrays_zip("islots", "slots")).alias("z"))
+    filled = filled.select(
+        *key, "ipos", "islots", "slots",
+        F.regexp_replace("z.islots", "^" + FIRST, NAME).alias("value"),
+        _value(F.col("z.slots")).alias("filling"),
+        (F.col("z.islots").startswith(NAME) & F.col("z.slots").startswith(NAME)).alias("certain"),
+    )
+    counted = filled.groupBy(*key, "value", "filling").agg(F.count_distinct("ipos").alias("n"), F.max("certain").alias("certain"))
+    mixed = counted.groupBy(*key, "value").agg(
+        F.count(F.lit(1)).alias("fillings"),
+        F.count_if("certain").alias("names"),
+        F.max_by("filling", F.struct("n", F.col("filling") == _value(F.col("value")), "filling")).alias("best"),
+    )
+    mixed = stored(mixed.where("fillings > 1"), "mixed-slots")
+    renamed = mixed.select(*(F.col(c).alias(f"b_{c}") for c in (*key, "value", "best")), "names")
+    on = [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in key]
+    sound = hits.join(renamed.where("names > 1").select(*(f"b_{c}" for c in key)).distinct(), on, "left_anti")
+    literal = F.transform("islots", _value) == F.transform("slots", _value)
+    minor = filled.join(renamed, [*on, F.col("value") == F.col("b_value")]).where((F.col("filling") != F.col("b_best")) & ~literal)
+    window = [*key, "ipos", "islots", "slots"]
+    minor = minor.select(*(F.col(c).alias(f"m_{c}") for c in window)).distinct()
+    return sound.join(minor, [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in window], "left_anti")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE, **names) -> DataFrame:

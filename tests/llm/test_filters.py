@@ -109,6 +109,28 @@ def test_short_items_and_no_items(spark):
     assert decontaminate.report(docs.limit(0), bench).count() == 0
 
 
+def test_items_without_wide_windows(spark):
+    items = ["What is 12 times 15?", "Solve 2x + 3 = 7.", "Compute 3 + 4 * 5 - 6.", "Who wrote Hamlet?", "Add 1 2 3 4 5 6 7 8"]
+    around = "some words in front of it. {} and more words behind"
+    texts = [around.format(i) for i in items] + [around.format(items[0].replace("12", "13")), around.format("add 1 2 3 4 5 6 7 9")]
+    got, _, _ = judged(spark, texts, list(enumerate(items)))
+    assert [got[i].contaminated for i in range(len(texts))] == [True] * 5 + [False] * 2
+
+
+def test_names_at_sentence_beginnings(spark):
+    items = [
+        "Sam reads 12 pages a day. Sam sleeps 8 hours. Kim walks 3 km home.",
+        "Tom has 5 apples. Anna has 7 pears. Tom gives Anna 2 apples. How many apples does Anna have?",
+    ]
+    texts = [
+        "Lea reads 15 pages a day. Lea sleeps 7 hours. Max walks 4 km home.",
+        "Ben has 6 apples. Lisa has 9 pears. Ben gives Lisa 3 apples. How many apples does Lisa have?",
+        items[1].lower(),
+    ]
+    got, _, _ = judged(spark, texts, list(enumerate(items)))
+    assert [got[i].contaminated for i in range(3)] == [True] * 3
+
+
 # URLs
 
 
