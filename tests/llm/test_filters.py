@@ -131,6 +131,14 @@ def test_names_at_sentence_beginnings(spark):
     assert [got[i].contaminated for i in range(3)] == [True] * 3
 
 
+def test_one_other_number_leaves_the_rest(spark):
+    item = "The shop sells 12 red apples in the morning and then 12 green apples in the late evening to people from town."
+    texts = [item.replace("12", "13", 1), item.replace("12", "7", 1).replace("12", "9", 1), item]
+    got, _, _ = judged(spark, texts, [(1, item)])
+    assert [got[i].contaminated for i in range(3)] == [True] * 3
+    assert got[0].share < 1 == got[2].share
+
+
 # URLs
 
 
