@@ -94,22 +94,31 @@ def windows(t: DataFrame, width: int, keep: list[str]) -> DataFrame:
             i.alias("pos"), F.xxhash64(F.lit(width), plain).alias("h"), F.filter(read, lambda x: x.startswith("\u0001")).alias("slots")
         )
 
-    def readings(i):
-        part = F.slice("marked", i + 1, width)
-        at = F.filter(F.transform(part, lambda x, j: F.when(x.startswith(EITHER), j).otherwise(-1)), lambda j: j >= 0)
-        chosen = F.transform(at, lambda j: F.array(j))
-        for _ in range(names - 1):
-            chosen = F.array_union(chosen, F.flatten(F.transform(chosen, lambda c: F.transform(F.filter(at, lambda j: j > F.element_at(c, -1)), lambda j: F.concat(c, F.array(j))))))
-        fixed = F.size(F.filter(part, lambda x: x.startswith("\u0001")))
-        return F.transform(F.filter(chosen, lambda c: F.size(c) + fixed <= names), lambda c: named(i, c))
+    def readings(k):
+        """All windows that hold the k-th sentence beginning as their first name, alone or with later ones."""
+        first = F.get("begins", k)
+        chosen = [F.array(F.array(first))]
+        ahead = F.filter(F.slice("begins", k + 2, width - 1), lambda j: j < first + width)
+        chosen.append(F.transform(ahead, lambda j: F.array(first, j)))
+        if names > 2:
+            pairs = F.transform(ahead, lambda j: F.transform(F.filter(ahead, lambda m: m > j), lambda m: F.array(first, j, m)))
+            chosen.append(F.flatten(pairs))
+
+        def around(c):
+            low, high = F.greatest(F.lit(0), F.element_at(c, -1) - width + 1), F.least(first, F.size("plain") - width)
+            starts = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: named(i, F.transform(c, lambda j: j - i)))
+
+        return F.flatten(F.transform(F.concat(*chosen[: max(names, 1)]), around))
 
     t = t.where(F.size("plain") >= width)
     t = held(t, slotted=F.exists("marked", lambda x: x.startswith("\u0001")))
-    places = F.sequence(F.lit(0), F.size("plain") - width)
-    each = F.transform(places, window)
+    each = F.transform(F.sequence(F.lit(0), F.size("plain") - width), window)
     if names:
-        some = F.filter(places, lambda i: F.exists(F.slice("marked", i + 1, width), lambda x: x.startswith(EITHER)))
-        each = F.concat(each, F.flatten(F.transform(some, readings)))
+        at = F.transform("marked", lambda x, j: F.when(x.startswith(EITHER), j))
+        t = held(t, begins=F.array_compact(at))
+        more = F.flatten(F.transform(F.transform("begins", lambda _, k: k), readings))
+        each = F.concat(each, more)
     return t.select(*keep, F.explode_outer(each).alias("w")).select(*keep, "w.*")
 
 
@@ -145,7 +154,8 @@ def benchmark_windows(t: DataFrame) -> DataFrame:
         part = t.where(F.size("plain") == width) if width < WINDOW else t
         found = windows(part, width, ["item", "ik"])
         sure = F.filter(_slots("slots"), lambda x: ~x.startswith(FIRST))
-        parts.append(found.where(F.size(sure) <= width - MIN_WORDS).withColumn("width", F.lit(width)))
+        found = found.where((F.size(sure) <= width - MIN_WORDS) & (F.size(_slots("slots")) <= width - MIN_WORDS + 1))
+        parts.append(found.withColumn("width", F.lit(width)))
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
