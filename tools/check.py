@@ -24,6 +24,9 @@ def normal(pdf):
     for c in pdf.columns:
         if str(pdf[c].dtype).startswith("datetime"):
             pdf[c] = pdf[c].astype(str)
+        elif str(pdf[c].dtype).startswith("Int"):
+            # nullable integers: as pandas holds them when they come from Spark
+            pdf[c] = pdf[c].astype("float64" if pdf[c].isna().any() else "int64")
         elif pdf[c].dtype == object:
             pdf[c] = pdf[c].map(lambda v: repr(list(v)) if hasattr(v, "__len__") and not isinstance(v, str) else v)
     return pdf.sort_values(list(pdf.columns), kind="stable").reset_index(drop=True)
