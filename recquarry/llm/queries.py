@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recquarry.llm import byte_bpe, decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup
-from recquarry.llm import suffix_dedup, token_counts, toxicity, url_filter
+from recquarry.llm import byte_bpe, decontaminate, exact_dedup, fill_in_middle, forced_bpe, language_id, line_dedup
+from recquarry.llm import minhash_dedup, spelling, suffix_dedup, token_counts, toxicity, url_filter
 from recquarry.llm.common import remainder, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+JSON_BPE = public_tokenizers.path("byte_bpe_50k.json")
 UNIGRAM = public_tokenizers.path("piece_bpe_32k.model")
 URL_RULES = [
     ("allow", "com/"),
@@ -128,6 +129,63 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "held_out", "r.lang_pred", "r.score")
 
 
+FIM_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS x FROM documents),
+h AS (SELECT *, CAST(len(u) AS BIGINT) AS n, ('0x' || substr(x, 1, 8))::BIGINT AS h1, ('0x' || substr(x, 9, 8))::BIGINT AS h2,
+  ('0x' || substr(x, 17, 8))::BIGINT AS h3, ('0x' || substr(x, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+       WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p"""
+
+
+@add("op11_fill_in_middle", FIM_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf, "documents").select("doc_id", "text"))
+    hashed = (F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashed)
+
+
+# crc32 byte by byte over its table; accented letters are two bytes each
+SPELLING_SQL = """
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+  CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+per AS (SELECT doc_id, w, count(*) AS m FROM runs WHERE length(w) >= 6 GROUP BY 1, 2),
+bytes AS (SELECT w, m, flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda c:
+  CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, ord(c)::BIGINT - 64] END)) AS b FROM per),
+hashed AS (SELECT w, m, xor(list_reduce(b, lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM bytes, crc),
+slipped AS (SELECT m, CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(m)::BIGINT AS n FROM slipped WHERE length(word) >= 6 GROUP BY 1 HAVING sum(m) >= 5),
+cuts AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS z FROM words, unnest(range(1, length(word) + 1)) r(i)),
+near AS (SELECT x.word, y.word AS near, y.n FROM cuts x JOIN cuts y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON w.word = c.a || c.z
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON w.word = c.a || c.z),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top, min({'n': -n, 'w': near}) AS b FROM near GROUP BY 1),
+forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN b.w END AS form, CASE WHEN top >= 5 * w.n THEN top END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, form AS at FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.at AS root FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NULL)
+SELECT forms.word, form, coalesce(root, forms.word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)"""
+
+
+@add("op12_spelling_variants", SPELLING_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf, "documents"), min_length=6, min_count=5, slip_one_in=199)
+    return spelling.variants(words, ratio=5)
+
+
+@add("op13_forced_bpe")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", forced_bpe.digests("text", JSON_BPE).alias("r")).select("doc_id", "r.*")
+
+
 @add("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline

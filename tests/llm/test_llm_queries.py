@@ -33,7 +33,7 @@ def test_sql_twins(spark, con, name):
 
 def test_names():
     numbers = {re.match(r"op(\d+)_", n).group(1) for n in queries.QUERIES if n != "pipeline"}
-    assert numbers == {str(i) for i in range(1, 11)} and "pipeline" in queries.QUERIES
+    assert numbers == {str(i) for i in range(1, 14)} and "pipeline" in queries.QUERIES
 
 
 def test_native_plans(spark):
