@@ -11,7 +11,7 @@ from recquarry.plans.bindings import INTER, ITEMS, HORIZON, PHASES, THRESHOLD, R
 from recquarry.plans.cleaning import POP_SQL
 from recquarry.plans.sequencing import SEQ, phase
 from recquarry.plans.vectoring import (
-    BEAM, BEAM_W, EMB, HASHED, LAYERS, N_CODES, beams, codebook, repaired, vectors,
+    HASHED, LAYERS, N_CODES, beam_sql, beams, codebook, repaired, scored, vectors,
 )
 
 R = Registry()
@@ -249,9 +249,10 @@ def eval_title(spark, sf):
 
 
 # generated codes: the constrained beams of the user's latest history item that has a vector
-CODE_RUNS = f"""{BEAM}, {SEQ}, tgt AS (SELECT user_id, item_id, pos FROM seq WHERE pos = len AND ts >= TIMESTAMP '2001-01-01'),
-lastv AS (SELECT t.user_id, max_by(s.item_id, s.pos) AS vec FROM tgt t JOIN seq s ON s.user_id = t.user_id AND s.pos BETWEEN t.pos - 30 AND t.pos - 1
-  WHERE s.item_id IN (SELECT item_id FROM emb) GROUP BY 1)"""
+CODE_RUNS = f"""{SEQ}, tgt AS MATERIALIZED (SELECT user_id, item_id, pos FROM seq WHERE pos = len AND ts >= TIMESTAMP '2001-01-01'),
+lastv AS MATERIALIZED (SELECT t.user_id, max_by(s.item_id, s.pos) AS vec FROM tgt t JOIN seq s ON s.user_id = t.user_id AND s.pos BETWEEN t.pos - 30 AND t.pos - 1
+  WHERE s.item_id IN (SELECT vec_id FROM embeddings) GROUP BY 1),
+{scored("WHERE vec_id IN (SELECT vec FROM lastv)")}, {beam_sql()}"""
 
 
 def code_outputs(spark, sf):
@@ -259,18 +260,22 @@ def code_outputs(spark, sf):
 
     Users without a vector in their history have an empty output.
     """
-    codes = repaired(spark, sf)
-    b = beams(spark, sf, codes).withColumn("sem_id", cx.format_sem_id("codes"))
-    said = b.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "sem_id"))).alias("o"))
-    said = said.select(F.col("query_id").alias("vec"), F.col("o.sem_id").alias("output"))
     known = vectors(spark, sf).select("item_id", F.lit(True).alias("has"))
     log = clean.before(interactions(spark, sf), HORIZON).join(known, "item_id", "left")
     log = log.withColumn("info", F.struct("item_id", F.coalesce("has", F.lit(False)).alias("has")))
     t = sq.test_examples(log, *phase("test"), item="info").withColumn("item_id", F.col("target.item_id"))
     usable = F.filter("history", lambda h: h["has"])
-    t = t.select(
-        "user_id", "item_id", F.col("history.item_id").alias("history"), F.get(F.reverse(usable), F.lit(0))["item_id"].alias("vec")
+    t = layout.materialize(
+        t.select(
+            "user_id", "item_id", F.col("history.item_id").alias("history"), F.get(F.reverse(usable), F.lit(0))["item_id"].alias("vec")
+        )
     )
+    codes = repaired(spark, sf)
+    # only vectors that a user asks for are searched
+    asked = t.where("vec is not null").select(F.col("vec").alias("query_id")).distinct()
+    b = beams(spark, sf, codes, asked).withColumn("sem_id", cx.format_sem_id("codes"))
+    said = b.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "sem_id"))).alias("o"))
+    said = said.select(F.col("query_id").alias("vec"), F.col("o.sem_id").alias("output"))
     none = F.array().cast("array<string>")
     return t.join(said, "vec", "left").withColumn("output", F.coalesce("output", none)), codes
 

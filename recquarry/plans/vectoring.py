@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recquarry.functions import codes as cx, text as tx, vectors as vx
@@ -10,6 +11,7 @@ from recquarry.operators import clean, codes as cd, layout, sequences as sq, vec
 from recquarry.plans.bindings import INTER, ITEMS, HORIZON, THRESHOLD, Registry, interactions, item_vectors, items, table
 from recquarry.plans.cleaning import POP_SQL
 from recquarry.plans.sequencing import SEQ, joined, phase
+from recquarry.sources import files
 
 R = Registry()
 
@@ -28,15 +30,15 @@ def codes_cte():
     parts = [EMB, CB, "r0 AS (SELECT item_id AS item_idx, v AS r FROM emb)"]
     for layer in range(LAYERS):
         parts.append(
-            f"n{layer} AS (SELECT item_idx, arg_min(code, {{'d': round(list_dot_product(r, r) + list_dot_product(c, c) - 2 * list_dot_product(r, c), 9), 'code': code}}) AS code "
+            f"n{layer} AS MATERIALIZED (SELECT item_idx, arg_min(code, {{'d': round(list_dot_product(r, r) + list_dot_product(c, c) - 2 * list_dot_product(r, c), 9), 'code': code}}) AS code "
             f"FROM r{layer}, cb WHERE layer = {layer} GROUP BY 1)"
         )
         parts.append(
-            f"r{layer + 1} AS (SELECT item_idx, {sub_sql('r', 'c')} AS r FROM r{layer} JOIN n{layer} USING (item_idx) JOIN cb USING (code) WHERE layer = {layer})"
+            f"r{layer + 1} AS MATERIALIZED (SELECT item_idx, {sub_sql('r', 'c')} AS r FROM r{layer} JOIN n{layer} USING (item_idx) JOIN cb USING (code) WHERE layer = {layer})"
         )
     joins = " ".join(f"JOIN n{i} USING (item_idx)" for i in range(1, LAYERS))
     parts.append(
-        "codes AS (SELECT n0.item_idx, [" + ", ".join(f"n{i}.code" for i in range(LAYERS)) + f"]::INTEGER[] AS codes FROM n0 {joins})"
+        "codes AS MATERIALIZED (SELECT n0.item_idx, [" + ", ".join(f"n{i}.code" for i in range(LAYERS)) + f"]::INTEGER[] AS codes FROM n0 {joins})"
     )
     return ", ".join(parts)
 
@@ -49,7 +51,7 @@ book AS (SELECT list(nb ORDER BY code) AS nbs FROM near),
 folded AS (SELECT prefix, ids, list_reduce(list_transform(own, lambda c: [c]), lambda acc, x:
   list_append(acc, coalesce(list_filter(nbs[x[1] + 1], lambda n: NOT list_contains(acc, n))[1], x[1])), []::INTEGER[]) AS new FROM grp, book),
 fixed AS (SELECT unnest(ids) AS item_idx, prefix, unnest(new) AS last FROM folded),
-repaired AS (SELECT item_idx, list_append(prefix, last) AS codes, '<a_' || prefix[1] || '><b_' || prefix[2] || '><c_' || prefix[3] || '><d_' || last || '>' AS sem_id FROM fixed)"""
+repaired AS MATERIALIZED (SELECT item_idx, list_append(prefix, last) AS codes, '<a_' || prefix[1] || '><b_' || prefix[2] || '><c_' || prefix[3] || '><d_' || last || '>' AS sem_id FROM fixed)"""
 
 
 def vectors(spark, sf):
@@ -272,10 +274,70 @@ def hard_negative_filter(spark, sf):
 # codes -----------------------------------------------------------------------
 
 
-@R.add("fit_residual_codebooks")
+ITERATIONS = 10
+
+
+def fit_cte():
+    """The Lloyd steps of every layer, one materialised table each; ``cb`` is the fitted codebook."""
+    parts = [EMB, "f0 AS MATERIALIZED (SELECT item_id AS item_idx, v AS r FROM emb)"]
+    near = "arg_min(code, {'d': round(list_dot_product(r, r) + list_dot_product(c, c) - 2 * list_dot_product(r, c), 9), 'code': code})"
+    for l in range(LAYERS):
+        parts.append(f"""c{l}_0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ('0x' || substr(md5('k0#{l}#' || item_idx), 1, 8))::BIGINT, item_idx) - 1 AS code, r AS c
+  FROM f{l} QUALIFY code < {N_CODES})""")
+        for i in range(ITERATIONS + 1):
+            parts.append(f"a{l}_{i} AS MATERIALIZED (SELECT item_idx, any_value(r) AS r, {near} AS code FROM f{l}, c{l}_{i} GROUP BY 1)")
+            if i < ITERATIONS:
+                parts.append(f"""c{l}_{i + 1} AS MATERIALIZED (SELECT o.code, coalesce(m.c, o.c) AS c FROM c{l}_{i} o LEFT JOIN (
+  SELECT code, list(x ORDER BY p) AS c FROM (SELECT code, p, avg(r[p]) AS x FROM a{l}_{i}, range(1, 65) d(p) GROUP BY 1, 2) GROUP BY 1) m USING (code))""")
+        parts.append(f"f{l + 1} AS MATERIALIZED (SELECT item_idx, {sub_sql('r', 'c')} AS r FROM a{l}_{ITERATIONS} JOIN c{l}_{ITERATIONS} USING (code))")
+    parts.append("cb AS (" + " UNION ALL ".join(f"SELECT {l} AS layer, code, c FROM c{l}_{ITERATIONS}" for l in range(LAYERS)) + ")")
+    joins = " ".join(f"JOIN a{l}_{ITERATIONS} a{l} USING (item_idx)" for l in range(1, LAYERS))
+    parts.append(
+        f"codes AS MATERIALIZED (SELECT a0.item_idx, [" + ", ".join(f"a{l}.code" for l in range(LAYERS)) + f"]::INTEGER[] AS codes FROM a0_{ITERATIONS} a0 {joins})"
+    )
+    return ", ".join(parts)
+
+
+FITTED = fit_cte()
+# the chain after the fit is that of the fixed codebook
+FITTED_REPAIRED = REPAIRED.replace(CODES, FITTED)
+
+
+def coded_items(spark, sf):
+    return vectors(spark, sf).withColumnRenamed("item_id", "item_idx")
+
+
+def fitted_codebook(spark, sf):
+    """Fits the codebook on the catalogue and writes it as a table that later steps read."""
+    book = cd.fit_residual_codebooks(coded_items(spark, sf), LAYERS, N_CODES, ITERATIONS, 0)
+    path = files.fresh_path(spark, "codebook")
+    book.write.parquet(path)
+    return spark.read.schema(book.schema).parquet(path)
+
+
+@R.add("fit_residual_codebooks", f"WITH {FITTED} SELECT layer, code::INTEGER AS code, round(sqrt(list_dot_product(c, c)), 6) AS length FROM cb")
 def fit_residual_codebooks(spark, sf):
-    book = cd.fit_residual_codebooks(vectors(spark, sf).withColumnRenamed("item_id", "item_idx"), 4, 16, 10, 0)
-    return book.select("layer", "code", F.round(vx.norm("centroid"), 6).alias("length"))
+    return fitted_codebook(spark, sf).select("layer", "code", F.round(vx.norm("centroid"), 6).alias("length"))
+
+
+@R.add("fitted_code_report", f"""
+WITH {FITTED}, per AS ({" UNION ALL ".join(f"SELECT {l} AS layer, a.code, count(*) AS n, sum(list_dot_product(f.r, f.r) / 64) AS d FROM a{l}_{ITERATIONS} a JOIN f{l + 1} f USING (item_idx) GROUP BY 2" for l in range(LAYERS))})
+SELECT layer::BIGINT AS layer, (SELECT count(*) FROM cb WHERE cb.layer = per.layer) AS codes, sum(n)::BIGINT AS items, count(*) AS used, max(n) AS largest,
+  sum(n)::BIGINT AS nearest, round(sum(d) / sum(n), 6) AS loss, sum(d) / sum(n) <= coalesce(lag(sum(d) / sum(n)) OVER (ORDER BY layer), 'Infinity'::DOUBLE) AS not_rising
+FROM per GROUP BY layer""")
+def fitted_code_report(spark, sf):
+    r = cd.codebook_report(coded_items(spark, sf), fitted_codebook(spark, sf))
+    # one row per layer
+    before = F.lag("loss").over(Window.orderBy("layer"))
+    return r.withColumn("not_rising", F.coalesce(F.col("loss") <= before, F.lit(True))).withColumn("loss", F.round("loss", 6))
+
+
+@R.add("fitted_sem_id", f"WITH {FITTED_REPAIRED} SELECT item_idx, array_to_string(codes, ',') AS codes, sem_id FROM repaired")
+def fitted_sem_id(spark, sf):
+    """The whole chain: fit, encode, repair collisions, write as text."""
+    book = fitted_codebook(spark, sf)
+    fixed = cd.resolve_collisions(cd.residual_encode(coded_items(spark, sf), book), cd.code_neighbors(book))
+    return fixed.select("item_idx", joined("codes").alias("codes"), cx.format_sem_id("codes").alias("sem_id"))
 
 
 @R.add("residual_encode", f"WITH {CODES} SELECT item_idx, array_to_string(codes, ',') AS codes FROM codes")
@@ -400,7 +462,7 @@ def rq_tail(spark, sf):
 
 
 PREFIXES = """steps AS (SELECT l AS level, codes[1:l] AS prefix, codes[l + 1] AS nxt FROM repaired, range(0, 4) r(l)),
-prefixes AS (SELECT level, prefix, list(DISTINCT nxt ORDER BY nxt) AS nexts FROM steps GROUP BY 1, 2)"""
+prefixes AS MATERIALIZED (SELECT level, prefix, list(DISTINCT nxt ORDER BY nxt) AS nexts FROM steps GROUP BY 1, 2)"""
 
 
 @R.add("prefix_table", f"""WITH {REPAIRED}, {PREFIXES}
@@ -424,36 +486,45 @@ def legal_next(spark, sf):
 
 
 BEAM_W = 5
-SCORED = f"""{REPAIRED}, {PREFIXES}, qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings),
-lp AS (SELECT query_id, layer, code, -list_distance(q, c) AS logp FROM qv, cb)"""
+def scored(asked=""):
+    """Prefixes and log-scores of the queries, which ``asked`` may restrict."""
+    return f"""{REPAIRED}, {PREFIXES}, qv AS MATERIALIZED (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings {asked}),
+lp AS MATERIALIZED (SELECT query_id, layer, code, -list_distance(q, c) AS logp FROM qv, cb)"""
 
 
 def beam_sql():
     parts = ["b0 AS (SELECT query_id, []::INTEGER[] AS prefix, 0.0::DOUBLE AS score FROM qv)"]
     for l in range(LAYERS):
-        parts.append(f"""g{l} AS (SELECT b.query_id, list_append(b.prefix, x.nxt) AS prefix, b.score + logp AS score
+        parts.append(f"""g{l} AS MATERIALIZED (SELECT b.query_id, list_append(b.prefix, x.nxt) AS prefix, b.score + logp AS score
   FROM b{l} b JOIN (SELECT prefix, unnest(nexts) AS nxt FROM prefixes WHERE level = {l}) x ON x.prefix = b.prefix
   JOIN lp ON lp.query_id = b.query_id AND lp.layer = {l} AND lp.code = x.nxt)""")
-        parts.append(f"""b{l + 1} AS (SELECT query_id, prefix, score, rank FROM (SELECT *, row_number() OVER (
+        parts.append(f"""b{l + 1} AS MATERIALIZED (SELECT query_id, prefix, score, rank FROM (SELECT *, row_number() OVER (
   PARTITION BY query_id ORDER BY round(score, 9) DESC, prefix) AS rank FROM g{l}) WHERE rank <= {BEAM_W})""")
     return ", ".join(parts)
 
 
-BEAM = f"{SCORED}, {beam_sql()}"
+BEAM = f"{scored()}, {beam_sql()}"
 
 
-def beam_scores(spark, sf):
-    """Log-scores per query and layer: minus the distance to every centroid of the layer."""
-    q = vectors(spark, sf).select(F.col("item_id").alias("query_id"), "vector")
-    # one row per layer of a codebook whose size is a parameter
-    book = codebook(spark, sf).groupBy("layer").agg(F.sort_array(F.collect_list(F.struct("code", "centroid"))).alias("b"))
-    rows = q.withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(LAYERS - 1)))).join(F.broadcast(book), "layer")
-    dist = F.transform("b", lambda c: -vx.norm(vx.subtract(c["centroid"], F.col("vector"))))
-    return rows.select("query_id", "layer", dist.alias("logp"))
+def beam_scores(spark, sf, asked=None):
+    """Log-scores per query and layer: minus the distance to every centroid of the layer.
 
-
-def beams(spark, sf, codes):
-    return cd.constrained_beam(beam_scores(spark, sf), cd.prefix_table(codes, LAYERS), BEAM_W, LAYERS)
+    Only for the queries of ``asked``, ``(query_id)``, where that is given.
+    """
+    q = vectors(spark, sf).select(F.col("item_id").alias("query_id"), "vector")
+    if asked is not None:
+        q = q.join(asked, "query_id", "left_semi")
+    # one row: a codebook whose size is a parameter
+    layers = codebook(spark, sf).groupBy("layer").agg(F.sort_array(F.collect_list(F.struct("code", "centroid"))).alias("b"))
+    book = layers.agg(F.sort_array(F.collect_list(F.struct("layer", "b")))["b"].alias("book"))
+    one = F.explode(F.array(F.lit(1)))
+    rows = q.withColumn("_one", one).join(F.broadcast(book.withColumn("_one", one)), "_one")
+    logp = F.transform("book", lambda b: F.transform(b, lambda c: -vx.norm(vx.subtract(c["centroid"], F.col("vector")))))
+    return rows.select("query_id", logp.alias("logp"))
+
+
+def beams(spark, sf, codes, asked=None):
+    return cd.constrained_beam(beam_scores(spark, sf, asked), cd.prefix_table(codes, LAYERS), BEAM_W, LAYERS)
 
 
 @R.add("constrained_beam", f"WITH {BEAM} SELECT query_id, rank, array_to_string(prefix, ',') AS codes, round(score, 6) AS score FROM b4")
