@@ -9,9 +9,12 @@ cut into fixed-size blocks, so that no task ever sees an unbounded group.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 # Rows per block once a hot key is cut up.
 BLOCK_ROWS = 100_000
+# Low bits of a double that a histogram of magnitudes leaves out: 256 buckets for each power of two.
+RADIX_SHIFT = 44
 # Largest number of rows ever marked for broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -273,3 +278,65 @@ def kth_smallest(
         ranked.where(F.col("_below") + F.col("_cum") >= F.col("_k")).groupBy(*keys).agg(F.min(value).alias("kth"))
     )
     return bounds.select(*keys, F.col("_k").alias("kth_index")).join(found, keys, "left")
+
+
+def _magnitude_bits(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per value of a batch of (key, values): row, magnitude, and its bits, which order like the magnitude."""
+    lists = batch.column(1)
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat = np.abs(lists.flatten().to_numpy(zero_copy_only=False))
+    return np.repeat(np.arange(len(lists)), sizes), flat, np.ascontiguousarray(flat).view(np.int64)
+
+
+def kth_smallest_magnitude(df: DataFrame, key: str, values: str, rate: float) -> DataFrame:
+    """Exact k-th smallest magnitude of all values of a key, held in arrays, with k = int(count * rate).
+
+    Returns ``(key, kth_index, kth)`` with kth_index = k; ``kth`` is null when k = 0.  ``key`` is a text column, ``values`` has
+    arrays of doubles without nulls.  Arrays are not exploded: a magnitude's leading bits name its bucket, every task counts
+    its arrays into one histogram a key, and the histograms are summed.  Only values of the bucket that holds
+    the k-th one, under a hundredth of an octave wide, become rows.
+    """
+    cells = df.select(F.col(key).alias("_key"), F.col(values).cast("array<double>").alias("_v"))
+
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: pd.Series | None = None
+        for batch in batches:
+            row, _, bits = _magnitude_bits(batch)
+            codes, names = pd.factorize(batch.column(0).to_pandas())
+            found, n = np.unique(codes[row].astype(np.int64) << 20 | bits >> RADIX_SHIFT, return_counts=True)
+            index = pd.MultiIndex.from_arrays([np.asarray(names, dtype=object)[found >> 20], found & (1 << 20) - 1])
+            here = pd.Series(n, index=index)
+            total = here if total is None else total.add(here, fill_value=0)
+        if total is not None and len(total):
+            keys, buckets = (total.index.get_level_values(i) for i in (0, 1))
+            columns = [pa.array(keys, pa.string()), pa.array(buckets, pa.int32()), pa.array(total.to_numpy().astype("int64"))]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "_b", "_n"])
+
+    counted = cells.mapInArrow(histogram, "_key string, _b int, _n long").groupBy("_key", "_b").agg(F.sum("_n").alias("_n"))
+    # at most some thousand buckets per key
+    by_key = Window.partitionBy("_key")
+    upto = counted.select(
+        "*",
+        F.sum("_n").over(by_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
+        F.floor(F.sum("_n").over(by_key) * F.lit(float(rate))).cast("long").alias("_k"),
+    )
+    # the bucket of the k-th value; for k = 0 the first one, which gives the index alone
+    first = F.col("_upto") - F.col("_n")
+    chosen = upto.where((F.col("_upto") >= F.col("_k")) & (first < F.greatest("_k", F.lit(1)))).select(
+        "_key", "_b", "_k", first.alias("_below")
+    )
+    chosen = broadcast_if_small(chosen)
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, flat, bits = _magnitude_bits(batch)
+            hit = bits >> RADIX_SHIFT == batch.column(2).to_numpy()[row]
+            row = row[hit]
+            columns = [batch.column(0).take(pa.array(row)), pa.array(flat[hit])]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "_m"])
+
+    held = cells.join(chosen.where("_k > 0").select("_key", "_b"), "_key").select("_key", "_v", "_b")
+    rest = held.mapInArrow(inside, "_key string, _m double").groupBy("_key", "_m").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_sums(rest, ["_key"], ["_m"], {"_cum": "_n"}).join(chosen, "_key")
+    found = ranked.where(F.col("_below") + F.col("_cum") >= F.col("_k")).groupBy("_key").agg(F.min("_m").alias("kth"))
+    return chosen.select(F.col("_key"), F.col("_k").alias("kth_index")).join(found, "_key", "left").withColumnRenamed("_key", key)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from recquarry.functions import vectors as vx
 from recquarry.functions.arrays import let
 from recquarry.functions.draws import draw_unit
-from recquarry.operators.layout import broadcast_if_small, kth_smallest, materialize
+from recquarry.operators.layout import broadcast_if_small, kth_smallest_magnitude, materialize
 
 # First code token row and the tensors that carry token rows.
 CODE_ROW_START = 151669
@@ -197,8 +197,8 @@ def trim_thresholds(vectors: DataFrame, columns: Sequence[str], rate: float) ->
     """
     cells = vectors.select(
         F.explode(F.array(*(F.struct(F.lit(c).alias("which"), F.col(c).alias("v")) for c in columns))).alias("e")
-    ).select("e.which", F.explode("e.v").alias("v"))
-    found = kth_smallest(cells.select("which", F.abs("v").alias("mag")), ["which"], "mag", rate)
+    ).select("e.which", "e.v")
+    found = kth_smallest_magnitude(cells, "which", "v", rate)
     return {r["which"]: r["kth"] for r in found.select("which", "kth").collect()}
 
 
@@ -226,13 +226,18 @@ def ties_trimmed(
     """
     if len(models) != 2:
         raise ValueError("exactly two models can be merged by sign election")
-    weights = [1.0 - source_coeff, source_coeff]
-    a, b = (vx.scale(vx.subtract(of(m), of(base)), w) for m, w in zip(models, weights))
-    rows = materialize(
-        align(ckpt, [base, *models], exclude).select(*KEY, of(base).alias("base"), a.alias("a"), b.alias("b"))
-    )
-    limits = trim_thresholds(rows, ["a", "b"], rate)
-    return rows.select(*KEY, "base", *(trim(c, limits.get(c)).alias(c) for c in ("a", "b")))
+    named = [F.col("base"), *(F.col(f"_w{i}") for i in range(2))]
+    columns = [of(base), *(of(m) for m in models)]
+    rows = align(ckpt, [base, *models], exclude).select(*KEY, *(c.alias(n) for c, n in zip(columns, ("base", "_w0", "_w1"))))
+    return _trimmed(rows, *named, rate, source_coeff)
+
+
+def _trimmed(rows: DataFrame, base: Column, target: Column, source: Column, rate: float, source_coeff: float) -> DataFrame:
+    a = vx.scale(vx.subtract(target, base), 1.0 - source_coeff)
+    b = vx.scale(vx.subtract(source, base), source_coeff)
+    kept = materialize(rows.select(*KEY, base.alias("base"), a.alias("a"), b.alias("b")))
+    limits = trim_thresholds(kept, ["a", "b"], rate)
+    return kept.select(*KEY, "base", *(trim(c, limits.get(c)).alias(c) for c in ("a", "b")))
 
 
 def ties_merge(
@@ -242,7 +247,11 @@ def ties_merge(
     """Trim, elect signs, keep agreeing values (averaged where both agree), add to the base."""
     if not isinstance(scaling, float):
         raise TypeError("scaling must be a float")
-    signed = elect_signs(ties_trimmed(ckpt, base, models, rate, source_coeff, exclude))
+    return _elected(ties_trimmed(ckpt, base, models, rate, source_coeff, exclude), scaling)
+
+
+def _elected(trimmed: DataFrame, scaling: float) -> DataFrame:
+    signed = elect_signs(trimmed)
 
     def agreeing(c):
         return F.zip_with(F.col(c), F.col("sign"), lambda v, s: F.when(v * s > 0, v).otherwise(0.0))
@@ -259,20 +268,25 @@ def ties_merge(
 def mask_random(vector: DataFrame, rate: float, rescale: bool = True, seed: str = "0", chunk_size: int = 64) -> DataFrame:
     """Zero each value with probability ``rate``, drawn from its parameter name and index."""
     _check_rate(rate)
+    return _result(vector, _random_mask(F.col("values"), rate, rescale, seed, chunk_size))
+
+
+def _random_mask(values: Column, rate: float, rescale: bool, seed: str, chunk_size: int) -> Column:
     index = lambda i: F.col("chunk") * chunk_size + i
-    masked = F.transform("values", lambda v, i: F.when(draw_unit(seed, "param", index(i)) < rate, 0.0).otherwise(v))
-    return _result(vector, _rescaled(masked, rate, rescale))
+    masked = F.transform(values, lambda v, i: F.when(draw_unit(seed, "param", index(i)) < rate, 0.0).otherwise(v))
+    return _rescaled(masked, rate, rescale)
 
 
 def mask_magnitude(vector: DataFrame, rate: float, rescale: bool = True) -> DataFrame:
     """Per parameter, zero the values up to the k-th smallest magnitude; ties go too."""
     _check_rate(rate)
-    cells = vector.select("param", F.explode("values").alias("v")).select("param", F.abs("v").alias("mag"))
-    limits = broadcast_if_small(kth_smallest(cells, ["param"], "mag", rate).select("param", "kth"))
-    masked = F.transform(
-        "values", lambda v: F.when(F.col("kth").isNotNull() & (F.abs(v) <= F.col("kth")), 0.0).otherwise(v)
-    )
-    return _result(vector.join(limits, "param", "left"), _rescaled(masked, rate, rescale))
+    limits = broadcast_if_small(kth_smallest_magnitude(vector, "param", "values", rate).select("param", "kth"))
+    return _result(vector.join(limits, "param", "left"), _magnitude_mask(F.col("values"), F.col("kth"), rate, rescale))
+
+
+def _magnitude_mask(values: Column, kth: Column, rate: float, rescale: bool) -> Column:
+    masked = F.transform(values, lambda v: F.when(kth.isNotNull() & (F.abs(v) <= kth), 0.0).otherwise(v))
+    return _rescaled(masked, rate, rescale)
 
 
 def _check_rate(rate: float) -> None:
@@ -280,6 +294,13 @@ def _check_rate(rate: float) -> None:
         raise ValueError(f"mask rate {rate} is outside [0, 1]")
 
 
+def _check_mask(weight_format: str, strategy: str) -> None:
+    if weight_format not in ("delta_weight", "finetuned_weight"):
+        raise ValueError(f"unknown weight format {weight_format}")
+    if strategy not in ("random", "magnitude"):
+        raise ValueError(f"unknown mask strategy {strategy}")
+
+
 def _rescaled(values: Column, rate: float, rescale: bool) -> Column:
     return vx.scale(values, 1 / (1 - rate)) if rescale and rate != 1.0 else values
 
@@ -290,10 +311,7 @@ def mask_weights(
     exclude: Sequence[str] | None = None,
 ) -> DataFrame:
     """Masked parameters of one model, masking either its weights or its change from the base."""
-    if weight_format not in ("delta_weight", "finetuned_weight"):
-        raise ValueError(f"unknown weight format {weight_format}")
-    if strategy not in ("random", "magnitude"):
-        raise ValueError(f"unknown mask strategy {strategy}")
+    _check_mask(weight_format, strategy)
     delta = weight_format == "delta_weight"
     vector = task_vector(ckpt, base, tuned, exclude) if delta else exclude_params(model_rows(ckpt, tuned), exclude)
     if strategy == "random":
@@ -308,21 +326,62 @@ def mask_merge(
     weight_format: str = "delta_weight", strategy: str = "random", rescale: bool = True, seed: str = "0",
     chunk_size: int = 64, exclude: Sequence[str] | None = None, **kw,
 ) -> DataFrame:
-    """Mask every model, then merge the masked models with another method."""
+    """Mask every model, then merge the masked models with another method.
+
+    The models are aligned once; masking and merging are arithmetic in the aligned rows, with one threshold per
+    model and parameter for magnitudes.  Over a table bucketed by chunk (``files.store_checkpoints``) nothing of a whole
+    model is shuffled.
+    """
+    if method not in ("average_merging", "task_arithmetic", "ties_merging"):
+        raise ValueError(f"unknown method {method}")
+    if method == "ties_merging" and len(models) != 2:
+        raise ValueError("exactly two models can be merged by sign election")
+    _check_mask(weight_format, strategy)
     rates = list(rates) if rates else [0.1] * len(models)
-    masked = model_rows(ckpt, base).withColumn("model", F.lit(base))
-    for model, rate in zip(models, rates):
-        new = mask_weights(ckpt, base, model, rate, weight_format, strategy, rescale, seed, chunk_size, exclude)
-        masked = masked.unionByName(override(model_rows(ckpt, model), new).withColumn("model", F.lit(model)))
+    for rate in rates:
+        _check_rate(rate)
+    delta = weight_format == "delta_weight"
+    # excluded parameters are never masked; task arithmetic still merges them
+    plain = F.lit(False) if not exclude else reduce(lambda a, b: a | b, [F.col("param").rlike(f"^(?:{p})") for p in exclude])
+    rows = align(ckpt, [base, *models], exclude if method != "task_arithmetic" else None).withColumn("_plain", plain)
+    start = F.when(F.col("_plain"), F.try_element_at("m", F.lit(base))).otherwise(of(base)) if delta else F.try_element_at("m", F.lit(base))
+    own = [F.try_element_at("m", F.lit(m)) for m in models]
+    # masks of changes need the parameter in every model
+    vectors = [vx.subtract(of(m), F.col("base")) if delta else own[i] for i, m in enumerate(models)]
+    rows = rows.select(*KEY, "_plain", start.alias("base"), "m")
+    rows = rows.select(
+        *KEY, "_plain", "base",
+        *(o.alias(f"_o{i}") for i, o in enumerate(own)),
+        *(F.when(~F.col("_plain"), v).alias(f"_v{i}") for i, v in enumerate(vectors)),
+    )
+    if strategy == "magnitude":
+        rows = materialize(rows)
+        limits = _limits(rows, models, rates)
+        rows = rows.join(limits, "param", "left")
+        masks = [_magnitude_mask(F.col(f"_v{i}"), F.col(f"_kth{i}"), r, rescale) for i, r in enumerate(rates)]
+    else:
+        seeds = [f"{seed}#{m}" for m in models]
+        masks = [_random_mask(F.col(f"_v{i}"), r, rescale, s, chunk_size) for i, (r, s) in enumerate(zip(rates, seeds))]
+    masked = [vx.add("base", m) if delta else m for m in masks]
+    weights = [F.when(F.col("_plain"), F.col(f"_o{i}")).otherwise(w) for i, w in enumerate(masked)]
     if method == "average_merging":
-        return average_merge(masked, models, exclude)
+        known = F.filter(F.array(*weights), lambda w: w.isNotNull())
+        return _result(rows.withColumn("_w", known).where(F.size("_w") > 0), _mean(F.col("_w")))
+    rows = rows.select(*KEY, "base", *(w.alias(f"_w{i}") for i, w in enumerate(weights)))
     if method == "task_arithmetic":
-        return task_arithmetic_merge(masked, base, models, kw.get("scaling", 1.0))
-    if method == "ties_merging":
-        return ties_merge(
-            masked, base, models, kw.get("rate", 0.8), kw.get("scaling", 1.0), kw.get("source_coeff", 0.5), exclude
-        )
-    raise ValueError(f"unknown method {method}")
+        now, was = F.col("_w0"), F.col("_w1") if len(models) > 1 else F.col("base")
+        return _result(rows, vx.add(now, vx.scale(vx.subtract(now, was), kw.get("scaling", 1.0))))
+    trimmed = _trimmed(rows, F.col("base"), F.col("_w0"), F.col("_w1"), kw.get("rate", 0.8), kw.get("source_coeff", 0.5))
+    return _elected(trimmed, kw.get("scaling", 1.0))
+
+
+def _limits(rows: DataFrame, models: Sequence[str], rates: Sequence[float]) -> DataFrame:
+    """Mask threshold of every parameter, one column ``_kth<i>`` per model."""
+    out = rows.select("param").distinct()
+    for i, rate in enumerate(rates):
+        some = rows.where(F.col(f"_v{i}").isNotNull())
+        out = out.join(kth_smallest_magnitude(some, "param", f"_v{i}", rate).select("param", F.col("kth").alias(f"_kth{i}")), "param", "left")
+    return broadcast_if_small(out)
 
 
 METHODS = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from recquarry.operators import layout, merge as mg
@@ -198,6 +200,13 @@ def mask_merge(spark, sf):
     return long(mg.mask_merge(checkpoints(spark, sf), "base", MODELS))
 
 
+@R.add("mask_merge_stored", f"WITH {TIES.replace(P, MASKED).replace('0.6::DOUBLE', '0.5::DOUBLE').replace('0.4::DOUBLE', '0.5::DOUBLE')} SELECT param, chunk, pos, round(value, 6) AS value FROM ties")
+def mask_merge_stored(spark, sf):
+    """The same over a table bucketed by chunk, where the models need no shuffle."""
+    store = files.store_checkpoints(checkpoints(spark, sf), f"checkpoints_{uuid.uuid4().hex}", 8)
+    return long(mg.mask_merge(store, "base", MODELS))
+
+
 R.add("mask_merge_average", f"WITH {MASKED} {out_sql('(source + target) / 2')}")(
     lambda spark, sf: long(mg.mask_merge(checkpoints(spark, sf), "base", MODELS, method="average_merging"))
 )

@@ -114,3 +114,22 @@ def write_checkpoint(df: DataFrame, path: str) -> None:
 def read_checkpoints(spark: SparkSession, path: str, models: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.where(F.col("model").isin(models)) if models else df
+
+
+def store_checkpoints(df: DataFrame, name: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Parameter table of several models as table ``name``, bucketed and sorted by (param, chunk).
+
+    All models' values of a chunk lie in one bucket, so aligning, overriding and merging models of the table, or of
+    tables with as many buckets, needs no shuffle.  Rows are placed by one shuffle here; ``buckets`` should make files of
+    some hundred megabytes.  The files lie in ``path``, by default a new folder of the shared directory.
+    """
+    spark = df.sparkSession
+    (
+        df.select("model", "param", "chunk", "values")
+        .repartition(buckets, "param", "chunk")
+        .write.option("path", path or fresh_path(spark, name))
+        .bucketBy(buckets, "param", "chunk")
+        .sortBy("param", "chunk")
+        .saveAsTable(name)
+    )
+    return spark.table(name)
