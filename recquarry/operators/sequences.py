@@ -209,27 +209,89 @@ def encode_ids(df: DataFrame, dictionary: DataFrame, column: str, name: str) ->
 def negatives(n, item_num: int, reject, seed: str, *key) -> Column:
     """``n`` uniform ids from 1..item_num-1 that are not in the array ``reject``.
 
-    Each slot reads four draws from one hash and then walks on from the first draw, so
-    an allowed id is always found when one exists.  ``reject=None`` allows any id.
+    A slot draws a rank among the allowed ids and finds its id through the gaps of the sorted list, so every
+    allowed id is equally likely and no draw is refused: before a rejected id lie as many allowed ones as its
+    value less its place, and the rejected ids that lie before the drawn rank are counted by bisection.  Slots are null when
+    nothing is allowed.  ``reject=None`` allows any id.
     """
     n = F.lit(n) if isinstance(n, int) else n
     pool = item_num - 1
-    reject = F.col(reject) if isinstance(reject, str) else reject
-
-    def draws(j):
-        h = draw_hex(seed, *key, j)
-        return F.array(*(F.conv(F.substring(h, 1 + 8 * t, 8), 16, 10).cast("long") % pool + 1 for t in range(4)))
-
-    def pick(tries):
-        if reject is None:
-            return F.get(tries, F.lit(0))
-        allowed = lambda x: ~F.array_contains(reject, x)
-        walk = F.transform(F.sequence(F.lit(1), F.size(reject)), lambda t: (F.get(tries, F.lit(0)) - 1 + t) % pool + 1)
-        # the walk is only built when all four draws were rejected
-        return F.coalesce(F.get(F.filter(tries, allowed), F.lit(0)), F.get(F.filter(walk, allowed), F.lit(0)))
-
-    slots = F.transform(F.transform(F.sequence(F.lit(1), n), draws), pick)
-    return F.when(n > 0, slots).otherwise(F.array().cast("array<bigint>"))
+    draw = lambda j: F.conv(F.substring(draw_hex(seed, *key, j), 1, 15), 16, 10).cast("long")
+    slots = F.sequence(F.lit(1), n)
+    if reject is None:
+        made = F.transform(slots, lambda j: draw(j) % pool + 1)
+    else:
+        listed = F.filter(F.col(reject) if isinstance(reject, str) else reject, lambda x: (x >= 1) & (x <= pool))
+        gaps = F.transform(F.array_sort(F.array_distinct(listed)), lambda d, i: d.cast("long") - 1 - i)
+        made = let(gaps, lambda g: F.transform(slots, lambda j: _allowed(draw(j), g, pool)))
+    return F.when(n > 0, made).otherwise(F.array().cast("array<bigint>"))
+
+
+def _allowed(drawn: Column, gaps: Column, pool: int) -> Column:
+    """The allowed id of a drawn number; ``gaps`` ascends and tells how many allowed ids lie before each rejected one."""
+    free = F.lit(pool).cast("long") - F.size(gaps)
+    bits = F.floor(F.log2(F.greatest(F.size(gaps), F.lit(1)).cast("double"))).cast("int")
+
+    def before(rank: Column) -> Column:
+        steps = F.transform(F.sequence(bits, F.lit(0), F.lit(-1)), lambda b: F.pow(F.lit(2), b).cast("int"))
+        further = lambda at, step: F.when(
+            (at + step <= F.size(gaps)) & (F.get(gaps, at + step - 1) <= rank), at + step
+        ).otherwise(at)
+        return F.aggregate(steps, F.lit(0), further)
+
+    return F.when(free > 0, let(drawn % free, lambda rank: rank + 1 + before(rank)))
+
+
+def paged_sequences(
+    df: DataFrame, page: int = 10_000, user: str = "user_id", order=("ts", "item_id"), item: str = "item_id", limit=None
+) -> DataFrame:
+    """Histories kept whole: ``(user, page, n_pages, len, items, times)``, pages of at most ``page`` rows.
+
+    A history of any length is held in bounded rows; pages are numbered from the oldest one on, so a reader of the
+    last items asks for the last pages only.
+    """
+    b = number_rows(df, [user], order, limit)
+    at = F.floor((F.col("_pos") - 1) / F.lit(page)).cast("long")
+    pages = F.ceil(F.col("_len") / F.lit(page)).cast("long")
+    rows = F.sort_array(F.collect_list(F.struct("_pos", F.col(item).alias("item"), "ts")))
+    return (
+        b.groupBy(user, at.alias("page"))
+        .agg(F.first(pages).alias("n_pages"), F.first("_len").alias("len"), rows.alias("r"))
+        .select(user, "page", "n_pages", "len", F.col("r.item").alias("items"), F.col("r.ts").alias("times"))
+    )
+
+
+def sequence_tail(pages: DataFrame, length: int, page: int, user: str = "user_id") -> DataFrame:
+    """The last ``length`` items of paged histories: ``(user, items, times)``; older pages are not read."""
+    reach = -(-length // page) + 1
+    last = pages.where(F.col("page") >= F.col("n_pages") - reach)
+    parts = F.sort_array(F.collect_list(F.struct("page", "items", "times")))
+    joined = last.groupBy(user).agg(parts.alias("p"))
+    cut = lambda name: F.slice(F.flatten(F.col(f"p.{name}")), -F.least(F.size(F.flatten(F.col("p.items"))), F.lit(length)), length)
+    return joined.select(user, cut("items").alias("items"), cut("times").alias("times"))
+
+
+def whole_history_negatives(
+    df: DataFrame, n: int, item_num: int, seed: str, user: str = "user_id", item: str = "item_id", limit=None
+) -> DataFrame:
+    """``n`` uniform ids per user that its whole history, of any length, does not hold: ``(user, slot, item)``.
+
+    The same draw of a rank among the allowed ids as ``negatives``, as a running count per user over rejected ids and draws
+    in one order; a hot user is range-sorted over the cluster.  Users whose history holds everything have no rows.
+    """
+    pool = item_num - 1
+    held = df.select(user, F.col(item).cast("long").alias("item")).where(F.col("item").between(1, pool)).distinct()
+    placed = number_rows(held, [user], ["item"], limit)
+    gaps = placed.select(user, (F.col("item") - F.col("_pos")).alias("at"), F.lit(0).alias("slot"), F.lit(1).alias("one"))
+    # users without any id of the range have everything allowed
+    sizes = df.select(user).distinct().join(held.groupBy(user).agg(F.count(F.lit(1)).alias("m")), user, "left")
+    free = F.lit(pool) - F.coalesce("m", F.lit(0))
+    slots = sizes.withColumn("free", free).where("free > 0").select(user, "free", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("slot"))
+    drawn = F.conv(F.substring(draw_hex(seed, user, "slot"), 1, 15), 16, 10).cast("long") % F.col("free")
+    draws = slots.select(user, drawn.alias("at"), "slot", F.lit(0).alias("one"))
+    # at equal places rejected ids come first: slot 0
+    counted = running_sums(gaps.unionByName(draws), [user], ["at", "slot"], {"before": "one"}, limit)
+    return counted.where("slot > 0").select(user, "slot", (F.col("at") + 1 + F.col("before")).alias("item"))
 
 
 def item_groups(items: DataFrame, n: int = 5, seed: str = "0") -> DataFrame:

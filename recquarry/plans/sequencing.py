@@ -182,45 +182,108 @@ def encode_ids(spark, sf):
     return out.select("user_id", "item", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
 
 
-def neg_sql(seed, key, count, pool, reject):
-    h = f"md5('{seed}#' || {key} || '#' || j)"
-    tries = ", ".join(f"('0x' || substr({h}, {1 + 8 * t}, 8))::BIGINT % {pool} + 1" for t in range(4))
-    first = f"('0x' || substr({h}, 1, 8))::BIGINT % {pool}"
-    walk = f"[({first} + t) % {pool} + 1 FOR t IN range(1, len({reject}) + 1)]"
-    return f"[list_filter(list_concat([{tries}], {walk}), lambda x: NOT list_contains({reject}, x))[1] FOR j IN range(1, {count} + 1)]"
+# sequences of dense ids, where every number from 1 on is an item
+DENSE = f"""{CHUNKS}, {IDS.replace(INTER + ", ", "")}, pool AS (SELECT count(*) AS pool FROM ids),
+dense AS (SELECT user_id, (pos - 1 - dropped) // 26 AS chunk, list(id ORDER BY pos) AS item_seq FROM off JOIN ids ON token = CAST(item_id AS VARCHAR)
+  WHERE pos > dropped GROUP BY 1, 2)"""
+
+
+def gap_sql(name, source, reject):
+    """Adds the sorted rejected ids ``d`` and, for each, how many allowed ids lie before it."""
+    return f"""{name} AS (SELECT *, [d[i] - i FOR i IN range(1, len(d) + 1)] AS gaps FROM (
+  SELECT *, list_sort(list_distinct(list_filter({reject}, lambda x: x BETWEEN 1 AND pool))) AS d FROM {source}, pool))"""
+
+
+def neg_sql(seed, key, count):
+    r = f"(('0x' || substr(md5('{seed}#' || {key} || '#' || j), 1, 15))::BIGINT % (pool - len(d)))"
+    return f"[CASE WHEN pool > len(d) THEN {r} + 1 + len(list_filter(gaps, lambda g: g <= {r})) END FOR j IN range(1, {count} + 1)]"
+
+
+def dense_log(spark, sf):
+    """The log with dense item ids, and the number of ids with the padding item."""
+    log = interactions(spark, sf)
+    ids = layout.materialize(sq.dense_ids(log, "item_id"))
+    return sq.encode_ids(log, ids, "item_id", "item"), ids.count()
+
+
+def dense_chunks(spark, sf):
+    log, item_num = dense_log(spark, sf)
+    return sq.chunk_sequences(log, 25, item="item"), item_num
+
+
+CHUNK_KEY = "user_id || '#' || chunk"
 
 
 @R.add("negative_sample", f"""
-WITH {CHUNKS}, m AS (SELECT max(p_partkey) + 1 AS pool FROM part)
-SELECT user_id, chunk, array_to_string({neg_sql("n", "user_id || '#' || chunk", "(len(item_seq) - 1)", "pool", "item_seq")}, ',') AS negatives
-FROM chunks, m""")
+WITH {DENSE}, {gap_sql("g", "dense", "item_seq")}
+SELECT user_id, chunk, array_to_string({neg_sql("n", CHUNK_KEY, "(len(item_seq) - 1)")}, ',') AS negatives FROM g""")
 def negative_sample(spark, sf):
-    item_num = table(spark, sf, "part").agg(F.max("p_partkey")).first()[0] + 2
-    c = sq.chunk_sequences(interactions(spark, sf), 25)
+    c, item_num = dense_chunks(spark, sf)
     neg = sq.negatives(F.size("item_seq") - 1, item_num, "item_seq", "n", "user_id", "chunk")
     return c.select("user_id", "chunk", joined(neg).alias("negatives"))
 
 
 @R.add("negative_sample_free", f"""
-WITH {CHUNKS}, m AS (SELECT max(p_partkey) + 1 AS pool FROM part)
-SELECT user_id, chunk, array_to_string([('0x' || substr(md5('f#' || user_id || '#' || chunk || '#' || j), 1, 8))::BIGINT % pool + 1 FOR j IN range(1, 9)], ',') AS negatives
-FROM chunks, m""")
+WITH {DENSE}
+SELECT user_id, chunk, array_to_string([('0x' || substr(md5('f#' || user_id || '#' || chunk || '#' || j), 1, 15))::BIGINT % pool + 1 FOR j IN range(1, 9)], ',') AS negatives
+FROM dense, pool""")
 def negative_sample_free(spark, sf):
-    item_num = table(spark, sf, "part").agg(F.max("p_partkey")).first()[0] + 2
-    c = sq.chunk_sequences(interactions(spark, sf), 25)
+    c, item_num = dense_chunks(spark, sf)
     neg = sq.negatives(8, item_num, None, "f", "user_id", "chunk")
     return c.select("user_id", "chunk", joined(neg).alias("negatives"))
 
 
-@R.add("pad_with_negatives", f"""
-WITH {CHUNKS}, m AS (SELECT max(p_partkey) + 1 AS pool FROM part),
-n AS (SELECT user_id, chunk, item_seq, {neg_sql("p", "user_id || '#' || chunk", "26", "pool", "item_seq")} AS neg FROM chunks, m)
-SELECT user_id, chunk, array_to_string(list_concat(neg[len(item_seq) + 1:], item_seq), ',') AS item_seq FROM n""")
-def pad_with_negatives(spark, sf):
-    item_num = table(spark, sf, "part").agg(F.max("p_partkey")).first()[0] + 2
-    c = sq.chunk_sequences(interactions(spark, sf), 25)
+PADDED = f"""{DENSE}, {gap_sql("g", "dense", "item_seq")},
+padded AS (SELECT user_id, chunk, list_concat({neg_sql("p", CHUNK_KEY, "26")}[len(item_seq) + 1:], item_seq) AS item_seq FROM g)"""
+
+
+def padded_chunks(spark, sf):
+    c, item_num = dense_chunks(spark, sf)
     neg = sq.negatives(26, item_num, "item_seq", "p", "user_id", "chunk")
-    return c.select("user_id", "chunk", joined(sq.pad_left("item_seq", 26, neg)).alias("item_seq"))
+    return c.select("user_id", "chunk", sq.pad_left("item_seq", 26, neg).alias("item_seq")), item_num
+
+
+@R.add("pad_with_negatives", f"WITH {PADDED} SELECT user_id, chunk, array_to_string(item_seq, ',') AS item_seq FROM padded")
+def pad_with_negatives(spark, sf):
+    p, _ = padded_chunks(spark, sf)
+    return p.select("user_id", "chunk", joined("item_seq").alias("item_seq"))
+
+
+@R.add("negative_fixed_count", f"""
+WITH {PADDED}, {gap_sql("h", "padded", "item_seq")}
+SELECT user_id, chunk, array_to_string({neg_sql("k", CHUNK_KEY, "12")}, ',') AS negatives FROM h""")
+def negative_fixed_count(spark, sf):
+    """A fixed number of negatives that avoid the padded sequence."""
+    p, item_num = padded_chunks(spark, sf)
+    neg = sq.negatives(12, item_num, "item_seq", "k", "user_id", "chunk")
+    return p.select("user_id", "chunk", joined(neg).alias("negatives"))
+
+
+@R.add("whole_sequences", f"""
+WITH {SEQ} SELECT user_id, (pos - 1) // 10 AS page, any_value((len + 9) // 10) AS n_pages, any_value(len) AS len,
+  string_agg(item_id::VARCHAR, ',' ORDER BY pos) AS items FROM seq GROUP BY 1, 2""")
+def whole_sequences(spark, sf):
+    p = sq.paged_sequences(interactions(spark, sf), 10)
+    return p.select("user_id", "page", "n_pages", "len", joined("items").alias("items"))
+
+
+@R.add("whole_sequence_tail", f"""
+WITH {SEQ} SELECT user_id, string_agg(item_id::VARCHAR, ',' ORDER BY pos) FILTER (pos > len - 25) AS items,
+  string_agg(sec::VARCHAR, ',' ORDER BY pos) FILTER (pos > len - 25) AS times FROM seq GROUP BY 1""")
+def whole_sequence_tail(spark, sf):
+    t = sq.sequence_tail(sq.paged_sequences(interactions(spark, sf), 10), 25, 10)
+    times = F.transform("times", lambda t: F.unix_seconds(t.cast("timestamp")))
+    return t.select("user_id", joined("items").alias("items"), joined(times).alias("times"))
+
+
+@R.add("whole_history_negatives", f"""
+WITH {DENSE}, own AS (SELECT user_id, list(id) AS all_ids FROM inter JOIN ids ON token = CAST(item_id AS VARCHAR) GROUP BY 1),
+{gap_sql("g", "own", "all_ids")}, n AS (SELECT user_id, {neg_sql("w", "user_id", "8")} AS neg FROM g)
+SELECT user_id, unnest(range(1, 9)) AS slot, unnest(neg) AS item FROM n""")
+def whole_history_negatives(spark, sf):
+    log, item_num = dense_log(spark, sf)
+    w = sq.whole_history_negatives(log, 8, item_num, "w", item="item")
+    return w.select("user_id", F.col("slot").cast("long").alias("slot"), "item")
 
 
 @R.add("sample_n", f"""
