@@ -98,12 +98,18 @@ def embedding_prompt(title, description=None, instruction: str = EMBEDDING_INSTR
     return head if description is None else F.concat(head, F.lit("\nDescription: "), _c(description))
 
 
+def _nothing(key: str) -> Column:
+    """Values that say nothing: null, empty text, "nan", and zero or false where the column is no text."""
+    value = F.col(key).cast("string")
+    is_text = F.typeof(F.col(key)) == "string"
+    zero = value.rlike(r"^-?0+(\.0*)?([eE][+-]?\d+)?$|^(false|NaN)$")
+    return F.col(key).isNull() | value.isin("", "nan") | (~is_text & zero)
+
+
 def item_text(prompt: str, keys: list[str], known=None) -> Column:
-    """Prompt followed by ``key: value`` for every non-empty key; empty for unknown items."""
+    """Prompt followed by ``key: value`` for every key with a value; empty for unknown items."""
     parts = [
-        F.when(F.col(k).isNotNull() & (F.col(k).cast("string") != ""), F.concat(F.lit(f"{k}: "), F.col(k).cast("string")))
-        .otherwise(F.lit(""))
-        for k in keys
+        F.when(_nothing(k), F.lit("")).otherwise(F.concat(F.lit(f"{k}: "), F.col(k).cast("string"))) for k in keys
     ]
     text = F.concat(F.lit(prompt), *parts)
     return text if known is None else F.when(_c(known), text).otherwise(F.lit(""))
@@ -132,13 +138,17 @@ def truncate_description(title, description, max_tokens: int = 64) -> Column:
     truncated text takes the place of the description.
     """
     title, description = _c(title), _c(description)
+    return after_title(first_words(F.concat(title, description), max_tokens), title, description)
+
+
+def after_title(kept: Column, title: Column, description: Column) -> Column:
+    """What follows the title in a cut text, marked with "..." if it differs in length from the description."""
 
-    def after_title(kept):
-        at = F.instr(kept, title)
-        return F.when(at > 0, F.substr(kept, at + F.length(title))).otherwise(kept)
+    def rest(text):
+        at = F.instr(text, title)
+        return F.when(at > 0, F.substr(text, at + F.length(title))).otherwise(text)
 
-    rest = let(first_words(F.concat(title, description), max_tokens), after_title)
-    return let(rest, lambda r: F.when(F.length(r) != F.length(description), F.concat(r, F.lit("..."))).otherwise(description))
+    return let(let(kept, rest), lambda r: F.when(F.length(r) != F.length(description), F.concat(r, F.lit("..."))).otherwise(description))
 
 
 def pack_tokens(lists, max_len: int, emb_slots: int = 1) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recquarry.operators.layout import materialize
+from recquarry.operators.layout import lookup_join, materialize
 
 # Half-open phase windows.
 PHASE_WINDOWS = [
@@ -73,7 +73,7 @@ def user_last_ts(df: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFr
 def active_users(df: DataFrame, start, user: str = "user_id", ts: str = "ts") -> DataFrame:
     """Whole histories of users whose last row is at or after ``start``."""
     active = user_last_ts(df, user, ts).where(F.col("last_ts") >= start)
-    return df.join(active, user, "left_semi")
+    return lookup_join(df, active.select(user), user, "left_semi")
 
 
 def semi_join(df: DataFrame, other: DataFrame, key: str = "item_id") -> DataFrame:
@@ -87,13 +87,13 @@ def counts(df: DataFrame, key: str, name: str) -> DataFrame:
 def attach_counts(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Add ``item_count`` and ``user_count`` taken over ``counted`` (default: df itself).
 
-    Counts are combined map-side; the join keeps one row per key on the right, so a
-    hot item or user only widens the streamed side, which the adaptive skew join splits.
+    Counts are combined map-side and written, so that the adaptive skew join can split a
+    hot item or user on the streamed side.
     """
     base = df if counted is None else counted
     item_counts = counts(base, "item_id", "item_count")
     user_counts = counts(base, "user_id", "user_count")
-    return df.join(item_counts, "item_id", "left").join(user_counts, "user_id", "left")
+    return lookup_join(lookup_join(df, item_counts, "item_id"), user_counts, "user_id")
 
 
 def min_interactions(df: DataFrame, n: int = 5, min_date: str | None = None) -> DataFrame:
@@ -111,7 +111,8 @@ def min_interactions(df: DataFrame, n: int = 5, min_date: str | None = None) ->
         F.sum("n").alias("c"), F.sum(F.when(F.col("ok"), F.col("n_recent"))).alias("c_recent")
     )
     user_ok = left.where((F.col("c") >= n) & (F.col("c_recent") >= n))
-    return df.where(recent).join(item_ok, "item_id", "left_semi").join(user_ok, "user_id", "left_semi")
+    kept = lookup_join(df.where(recent), item_ok, "item_id", "left_semi")
+    return lookup_join(kept, user_ok.select("user_id"), "user_id", "left_semi")
 
 
 def profile(df: DataFrame, stage: str) -> DataFrame:
@@ -162,13 +163,13 @@ def dataset_stats(df: DataFrame) -> DataFrame:
 def normalized_adjacency(df: DataFrame, user_num: int, user: str = "user_id", item: str = "item_id") -> DataFrame:
     """Edges of the bipartite graph in both directions with weight deg^-1/2 * deg^-1/2.
 
-    Parallel edges stay separate rows.  Degrees are one row per node, so a hot node only
-    widens the streamed side of its join.
+    Parallel edges stay separate rows.  Degrees are one row per node and written, so that
+    the adaptive skew join can split a hot node.
     """
     edges = df.select(F.col(user).cast("long").alias("u"), (F.col(item).cast("long") + user_num).alias("i"))
     du = edges.groupBy("u").agg((1 / F.sqrt(F.count(F.lit(1)))).alias("wu"))
     di = edges.groupBy("i").agg((1 / F.sqrt(F.count(F.lit(1)))).alias("wi"))
-    weighted = edges.join(du, "u").join(di, "i").select("u", "i", (F.col("wu") * F.col("wi")).alias("weight"))
+    weighted = lookup_join(lookup_join(edges, du, "u", "inner"), di, "i", "inner").select("u", "i", (F.col("wu") * F.col("wi")).alias("weight"))
     both = F.explode(
         F.array(
             F.struct(F.col("u").alias("src"), F.col("i").alias("dst")),

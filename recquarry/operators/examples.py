@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from recquarry.functions import text as tx
 from recquarry.operators import sequences as sq
 from recquarry.operators.clean import before, phase_of
+from recquarry.operators.layout import lookup_join
 
 
 INFO = ["title", "description", "sem_id"]
@@ -141,11 +142,11 @@ def truncate_outputs(df: DataFrame, key: Sequence[str], beams: int, output: str
 def generation_turns(turns: DataFrame, mode: str, conversation: str = "conv_id", order: str = "turn") -> DataFrame:
     """Conversations as rows with the last turn replaced by the prefix the generator continues.
 
-    Works row by row after one combined maximum, so a conversation may be of any length.
+    Works row by row after one combined maximum, which is written, so that a conversation of any length can be split.
     """
     last = turns.groupBy(conversation).agg(F.max(order).alias("_last"))
     is_last = F.col(order) == F.col("_last")
-    return turns.join(last, conversation).select(
+    return lookup_join(turns, last, conversation, "inner").select(
         conversation,
         order,
         F.when(is_last, "assistant").otherwise(F.col("role")).alias("role"),

@@ -63,6 +63,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(written) if seen <= max_rows else written
 
 
+def lookup_join(df: DataFrame, looked_up: DataFrame, keys: Sequence[str] | str, how: str = "left") -> DataFrame:
+    """Join rows with an aggregate that has one row per key, such that a hot key can be split.
+
+    The adaptive skew join splits a partition only where both sides of the join are shuffles of their own.  An aggregate on
+    the join key is none: its shuffle is the join's.  Written first, it is shuffled, or broadcast if it proves small, as any table.
+    """
+    return df.join(materialize(looked_up), keys, how)
+
+
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Null-safe join on key columns; the right side's keys do not appear twice."""
     renamed = right.select(*(F.col(k).alias(f"_right_{k}") for k in keys), *(c for c in right.columns if c not in keys))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recquarry.functions import arrays as ax, text as tx
-from recquarry.operators import clean, examples as ex, layout, sequences as sq
+from recquarry.operators import clean, examples as ex, layout, sequences as sq, tokens as tk
 from recquarry.plans.bindings import INTER, ITEMS, HORIZON, PHASES, Registry, interactions, items, table
-from recquarry.plans.sequencing import CHUNKS, SEQ, joined, phase
+from recquarry.plans.sequencing import CHUNK_KEY, CHUNKS, DENSE, SEQ, gap_sql, joined, neg_sql, phase
 from recquarry.plans.vectoring import REPAIRED, repaired
 from recquarry.sources import files
 
@@ -223,11 +223,14 @@ def item_text_concat(spark, sf):
     return ids.join(known, "item_id", "left").select("item_id", text.alias("text"))
 
 
-@R.add("token_truncate", r"""
+TRUNCATED = r"""
 WITH d AS (SELECT doc_id, source AS title, text AS description, regexp_extract_all(source || text, '\s*\S+') AS w FROM documents),
 k AS (SELECT *, CASE WHEN len(w) <= 64 THEN title || description ELSE array_to_string(w[1:64], '') END AS kept FROM d),
 c AS (SELECT *, CASE WHEN position(title IN kept) > 0 THEN substr(kept, position(title IN kept) + length(title)) ELSE kept END AS rest FROM k)
-SELECT doc_id, CASE WHEN length(rest) <> length(description) THEN rest || '...' ELSE description END AS description FROM c""")
+SELECT doc_id, CASE WHEN length(rest) <> length(description) THEN rest || '...' ELSE description END AS description FROM c"""
+
+
+@R.add("token_truncate", TRUNCATED)
 def token_truncate(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", tx.truncate_description("source", "text", 64).alias("description"))
@@ -251,6 +254,65 @@ def packed_lengths(spark, sf):
     return c.select("user_id", "chunk", *(joined(F.col(f"p.{n}")).alias(n) for n in ("ids", "lengths", "positions")))
 
 
+MD5_ID = "('0x' || substr(md5(w), 1, 7))::BIGINT"
+WORDS = "list_filter(regexp_split_to_array({t}, '\\s+'), lambda x: x <> '')"
+
+
+@R.add("item_text_tokens", f"""
+WITH t AS (SELECT p_partkey AS item_id, CASE WHEN p_name IS NULL THEN '' ELSE 'Describe: ' || 'p_name: ' || p_name || CASE WHEN p_size % 4 = 0 THEN '' ELSE 'rest: ' || p_size % 4 END
+  || CASE WHEN p_brand = '' THEN '' ELSE 'p_brand: ' || p_brand END END AS x FROM part)
+SELECT item_id, array_to_string([{MD5_ID} FOR w IN {WORDS.format(t="x")}][1:6], ',') AS ids FROM t""")
+def item_text_tokens(spark, sf):
+    p = table(spark, sf, "part").withColumn("rest", F.col("p_size") % 4)
+    made = tk.encode_items(p, "Describe: ", ["p_name", "rest", "p_brand"], 6, F.col("p_name").isNotNull())
+    return made.select(F.col("p_partkey").alias("item_id"), joined("tokens").alias("ids"))
+
+
+@R.add("token_truncate_plugin", TRUNCATED)
+def token_truncate_plugin(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source", "text")
+    return tk.truncate_descriptions(d, 64, title="source", description="text").select("doc_id", F.col("text").alias("description"))
+
+
+BATCH_TOKENS, LIST_TOKENS = 4096, 8
+PACK_SQL = f"""{DENSE}, {gap_sql("g", "dense", "item_seq")}, {ITEMS},
+named AS (SELECT id, [{MD5_ID} FOR w IN {WORDS.format(t="title || ' ' || description")}][1:{LIST_TOKENS}] AS t FROM ids JOIN items ON CAST(item_id AS VARCHAR) = token),
+lists AS (SELECT user_id, chunk, item_seq AS pos, {neg_sql("b", CHUNK_KEY, "(len(item_seq) - 1)")} AS neg FROM g),
+entries AS (SELECT user_id, chunk, 'pos' AS kind, generate_subscripts(pos, 1) AS i, unnest(pos) AS id FROM lists
+  UNION ALL SELECT user_id, chunk, 'neg', generate_subscripts(neg, 1), unnest(neg) FROM lists),
+sizes AS (SELECT user_id, chunk, sum(len(t) + 1) AS n FROM entries JOIN named USING (id) GROUP BY 1, 2),
+placed AS (SELECT user_id, chunk, (sum(n) OVER (ORDER BY user_id, chunk) - 1) // ({BATCH_TOKENS} - max(n) OVER () + 1) AS batch FROM sizes)"""
+
+
+def pack_part(kind):
+    return f"""(SELECT batch, string_agg(array_to_string(list_append(t, 0), ','), ',' ORDER BY user_id, chunk, i) AS ids, string_agg((len(t) + 1)::VARCHAR, ',' ORDER BY user_id, chunk, i) AS lengths,
+  string_agg(array_to_string([p + {LIST_TOKENS} - len(t) FOR p IN range(0, len(t) + 1)], ','), ',' ORDER BY user_id, chunk, i) AS positions,
+  '0,' || string_agg(c::VARCHAR, ',' ORDER BY user_id, chunk, i) AS cumulative
+  FROM (SELECT *, sum(len(t) + 1) OVER (PARTITION BY batch ORDER BY user_id, chunk, i) AS c FROM entries JOIN named USING (id) JOIN placed USING (user_id, chunk) WHERE kind = '{kind}') GROUP BY 1)"""
+
+
+@R.add("packed_batches", f"""
+WITH {PACK_SQL}, b AS (SELECT batch::BIGINT AS batch, count(*) AS n_sequences FROM placed GROUP BY 1)
+SELECT batch, n_sequences, p.ids AS pos_ids, p.lengths AS pos_lengths, p.cumulative AS pos_cumulative, p.positions AS pos_positions,
+  coalesce(n.ids, '') AS neg_ids, coalesce(n.lengths, '') AS neg_lengths, coalesce(n.cumulative, '0') AS neg_cumulative, coalesce(n.positions, '') AS neg_positions
+FROM b JOIN {pack_part("pos")} p USING (batch) LEFT JOIN {pack_part("neg")} n USING (batch)""")
+def packed_batches(spark, sf):
+    log = interactions(spark, sf)
+    ids = layout.materialize(sq.dense_ids(log, "item_id"))
+    chunks = sq.chunk_sequences(sq.encode_ids(log, ids, "item_id", "item"), 25, item="item")
+    neg = sq.negatives(F.size("item_seq") - 1, ids.count(), "item_seq", "b", "user_id", "chunk")
+    # sequences are ids until they are complete; tokens are looked up for their entries
+    kinds = F.array(F.struct(F.lit("pos").alias("kind"), F.col("item_seq").alias("ids")), F.struct(F.lit("neg").alias("kind"), neg.alias("ids")))
+    lists = chunks.select("user_id", "chunk", F.explode(kinds).alias("l")).select("user_id", "chunk", "l.kind", F.posexplode("l.ids").alias("at", "id"))
+    text = F.concat_ws(" ", "title", "description")
+    named = ids.join(items(spark, sf).withColumn("token", F.col("item_id").cast("string")), "token")
+    named = named.select("id", tk.tokenize(text)["ids"].alias("tokens"))
+    entry = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "tokens"))))["tokens"].alias(kind)
+    sequences = lists.join(named, "id").groupBy("user_id", "chunk").agg(entry("pos"), entry("neg"))
+    b = tk.pack_batches(sequences, ["user_id", "chunk"], BATCH_TOKENS, LIST_TOKENS)
+    return b.select("batch", "n_sequences", *(joined(f"{k}_{p}").alias(f"{k}_{p}") for k in ("pos", "neg") for p in ("ids", "lengths", "cumulative", "positions")))
+
+
 @R.add("generation_prompt", """
 WITH m AS (SELECT *, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
 SELECT 'title' AS mode, conv_id, turn, CASE WHEN last THEN 'assistant' ELSE role END AS role, CASE WHEN last THEN 'Recommended Item Title:' ELSE text END AS content FROM m
