@@ -281,6 +281,21 @@ def prefix_table(codes: DataFrame, n_layers: int = 4) -> DataFrame:
     return nexts.groupBy("level", "prefix").agg(F.sort_array(F.collect_list("next")).alias("next_codes"))
 
 
+def code_vocabulary(
+    codes: DataFrame, start: int = cx.START_ID, n_layers: int = 4, layer_size: int = cx.CODES_PER_LAYER
+) -> DataFrame:
+    """Vocabulary rows of the code tokens, ``(id, content, items)``, with the number of items that use each.
+
+    All tokens of all layers are listed, used or not, in the order of their ids.
+    """
+    used = codes.select(F.posexplode("codes").alias("layer", "code")).groupBy("layer", "code").agg(F.count(F.lit(1)).alias("items"))
+    rows = codes.sparkSession.range(n_layers * layer_size)
+    layer, code = F.floor(F.col("id") / F.lit(layer_size)).cast("int"), (F.col("id") % layer_size).cast("int")
+    content = F.concat(F.lit("<"), F.char(layer + 97), F.lit("_"), code.cast("string"), F.lit(">"))
+    every = rows.select(cx.code_to_token(layer, code, start, layer_size).alias("id"), content.alias("content"), layer.alias("layer"), code.alias("code"))
+    return every.join(used, ["layer", "code"], "left").select("id", "content", F.coalesce("items", F.lit(0)).cast("long").alias("items"))
+
+
 class Trie(NamedTuple):
     """The catalogue's prefixes as one sorted array per level.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recquarry.functions import text as tx
-from recquarry.operators.layout import global_running_sums, index_rows, materialize, running_sums, top_k
+from recquarry.operators.layout import global_running_sums, index_rows, materialize, number_rows, running_sums, top_k
 
 # What each metric needs, whether small is good, and its kind.
 METRICS = {
@@ -85,6 +85,29 @@ def collect_mean_ranks(scores: DataFrame, user: str = "user_id", limit: int | No
     )
 
 
+def collect_all(scores: DataFrame, k: int, user: str = "user_id", item: str = "item_id", limit: int | None = None) -> DataFrame:
+    """What all ranking metrics need, from one ordering of each user's scores.
+
+    One row per user: ``(user, pos_rank_sum, user_len, pos_len, top)``; ``top`` holds the first ``k`` items as structs
+    ``(rank, item, hit)``.  Rows are numbered once; grouping by score and by user keeps that placement, so ties are averaged and lists are
+    cut without another shuffle.
+    """
+    placed = number_rows(scores.select(user, item, "score", "positive"), [user], [F.col("score").desc(), item], limit)
+    entry = F.struct(F.col("_pos").alias("rank"), F.col(item).alias("item"), F.col("positive").cast("long").alias("hit"))
+    ties = placed.groupBy(user, "score").agg(
+        F.avg("_pos").alias("mean_rank"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum("positive").cast("long").alias("pos"),
+        F.collect_list(F.when(F.col("_pos") <= k, entry)).alias("first"),
+    )
+    return ties.groupBy(user).agg(
+        F.sum(F.col("pos") * F.col("mean_rank")).alias("pos_rank_sum"),
+        F.sum("n").cast("long").alias("user_len"),
+        F.sum("pos").cast("long").alias("pos_len"),
+        F.flatten(F.collect_list(F.when(F.size("first") > 0, F.col("first")))).alias("top"),
+    )
+
+
 def generation_metrics(hits: DataFrame, ks: Sequence[int], run: Sequence[str] = (), user: str = "user_id") -> DataFrame:
     """NDCG, Recall and MRR of generated lists in percent: ``(run, metric, k, value)``.
 
@@ -263,21 +286,24 @@ def evaluate(
     """All chosen metrics as ``(metric, k, value)``.
 
     Ranking metrics read ``scores`` (user_id, item_id, score, positive), value metrics read
-    ``values`` (truth, score); each group of metrics shares one scan.
+    ``values`` (truth, score).  All ranking metrics come from one ordering of the scores (``collect_all``), written as
+    one row per user.
     """
     names = [n.lower() for n in names]
     needed_inputs(names)
     parts = []
     top = [n for n in names if n in TOP_METRICS]
     lists = [n for n in names if n in LIST_METRICS]
-    if top or lists:
-        ranks = materialize(collect_ranks(scores, max(ks)))
+    if top or lists or "gauc" in names:
+        users = materialize(collect_all(scores, max(ks)))
+        ranks = users.where("pos_len > 0").select("user_id", "pos_len", F.explode("top").alias("t"))
+        ranks = ranks.select("user_id", F.col("t.item").alias("item_id"), "t.rank", "t.hit", "pos_len")
         if top:
             parts.append(top_metrics(ranks, top, ks))
         if lists:
             parts.append(list_metrics(ranks, lists, ks, num_items, counts, tail))
-    if "gauc" in names:
-        parts.append(gauc(collect_mean_ranks(scores)))
+        if "gauc" in names:
+            parts.append(gauc(users))
     if "auc" in names:
         parts.append(auc(values))
     err = [n for n in names if n in ("mae", "rmse", "logloss")]

@@ -64,6 +64,16 @@ def cap_per_user(df: DataFrame, n: int | None, seed: str = "0", user: str = "use
     return top_k(df, [user], [draw_hex(seed, user, "pos"), "pos"], n, "_r").drop("_r")
 
 
+def drop_empty_examples(df: DataFrame, due: Column, user: str = "user_id", item: str = "item_id", page: int = 10_000) -> DataFrame:
+    """The items that are due, by way of each user's list of examples; users without any have no rows.
+
+    ``df`` has ``_pos``, the row's place in the user's history; a list holds the examples of one page of it.
+    """
+    at = F.floor((F.col("_pos") - 1) / F.lit(page))
+    lists = df.groupBy(user, at.alias("page")).agg(F.collect_list(F.when(due, F.col(item))).alias("examples"))
+    return lists.where(F.size("examples") > 0).select(user, F.explode("examples").alias(item))
+
+
 def sample_variant(df: DataFrame, keys: Sequence[str], tie: Sequence[str], seed: str = "0") -> DataFrame:
     """One random row per key."""
     return top_k(df, keys, [draw_hex(seed, *keys, *tie), *tie], 1, "_r").drop("_r")

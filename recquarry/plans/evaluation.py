@@ -150,6 +150,29 @@ def evaluate_all(spark, sf):
     return mt.evaluate(["recall", "map", "itemcoverage"], (10,), scores(spark, sf), num_items=n)
 
 
+RANKING = ["hit", "mrr", "map", "recall", "ndcg", "precision", "gauc", "itemcoverage", "averagepopularity", "shannonentropy", "giniindex", "tailpercentage"]
+VALUES = ["auc", "mae", "rmse", "logloss"]
+
+
+def together(*names):
+    """The twins of single metrics as one table."""
+    whole = {"h_gauc", "h_auc", "h_mae", "h_rmse", "h_logloss"}
+    k = lambda n: "NULL::BIGINT AS k" if n in whole else "k"
+    return " UNION ALL ".join(f"SELECT metric, {k(n)}, value FROM ({R.sql[n]})" for n in names)
+
+
+@R.add("evaluate_ranking", together(
+    "h_hit", "h_mrr", "h_map", "h_recall", "h_ndcg", "h_precision", "h_gauc", "h_item_coverage", "h_average_popularity", "h_shannon_entropy", "h_gini", "h_tail_percentage"))
+def evaluate_ranking(spark, sf):
+    n = table(spark, sf, "part").count()
+    return mt.evaluate(RANKING, KS, scores(spark, sf), num_items=n, counts=trained(spark, sf), decimals=6)
+
+
+@R.add("evaluate_values", together("h_auc", "h_mae", "h_rmse", "h_logloss"))
+def evaluate_values(spark, sf):
+    return mt.evaluate(VALUES, KS, values=labelled(spark, sf), decimals=6)
+
+
 def e_metrics_sql(source, ks=(5, 10, 20), run=""):
     by = f"{run}, " if run else ""
     grp = f" GROUP BY {run}" if run else ""

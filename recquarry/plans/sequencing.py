@@ -51,8 +51,9 @@ def train_targets(spark, sf):
 WITH {HIST} SELECT user_id, item_id, pos, history FROM hist
 WHERE pos = len AND ts >= TIMESTAMP '2001-01-01' AND ts < TIMESTAMP '2001-08-02'""")
 def test_targets(spark, sf):
-    h = sq.test_targets(sq.history_window(clean.before(interactions(spark, sf), HORIZON)), *phase("test"))
-    return h.select("user_id", "item_id", "pos", joined("history").alias("history"))
+    # histories are collected for last rows alone
+    h = sq.test_examples(clean.before(interactions(spark, sf), HORIZON), *phase("test"))
+    return h.select("user_id", F.col("target").alias("item_id"), F.col("len").alias("pos"), joined("history").alias("history"))
 
 
 @R.add("cap_per_user", f"""
@@ -68,12 +69,8 @@ def cap_per_user(spark, sf):
 WITH {SEQ}, per AS (SELECT user_id, list(item_id ORDER BY pos) FILTER (ts >= TIMESTAMP '2001-06-01' AND pos >= 5) AS ex FROM seq GROUP BY 1)
 SELECT user_id, unnest(ex) AS item_id FROM per""")
 def drop_empty_examples(spark, sf):
-    # per-user lists of the phase's targets, at most the history length that survives the window
     n = layout.number_rows(interactions(spark, sf), ["user_id"], ["ts", "item_id"])
-    due = F.when((F.col("ts") >= clean.ntz("2001-06-01")) & (F.col("_pos") >= 5), F.col("item_id"))
-    page = F.floor((F.col("_pos") - 1) / F.lit(10_000))
-    lists = n.groupBy("user_id", page.alias("page")).agg(F.collect_list(due).alias("examples"))
-    return lists.select("user_id", F.explode("examples").alias("item_id"))
+    return sq.drop_empty_examples(n, (F.col("ts") >= clean.ntz("2001-06-01")) & (F.col("_pos") >= 5))
 
 
 @R.add("user_sequences", f"""

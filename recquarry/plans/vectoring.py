@@ -223,6 +223,13 @@ def catalog_score(spark, sf):
     return ranked(vc.rank_catalog(layout.materialize(q), its, 20, "dot", seen))
 
 
+@R.add("catalog_score_pad", f"""WITH {USERVEC}, {ranked_sql('list_dot_product(q, v)', 'DESC', k=20, where='item_id <> 0 AND NOT EXISTS (SELECT 1 FROM uitems u WHERE u.user_id = s.query_id AND u.item_id = s.item_id)')}""")
+def catalog_score_pad(spark, sf):
+    """Full ranking by products where id 0 is the padding item."""
+    q, seen = user_vectors(spark, sf)
+    return ranked(vc.rank_catalog(layout.materialize(q), vectors(spark, sf), 20, "dot", seen, pad_id=0))
+
+
 @R.add("exclude_seen", f"""
 WITH {INTER} SELECT DISTINCT user_id, item_id FROM inter a WHERE ts >= TIMESTAMP '2000-01-01'
   AND NOT EXISTS (SELECT 1 FROM inter b WHERE b.user_id = a.user_id AND b.item_id = a.item_id AND b.ts < TIMESTAMP '2000-01-01')""")
@@ -437,6 +444,14 @@ def code_token_map(spark, sf):
     )
 
 
+@R.add("code_vocabulary", f"""
+WITH {CODES}, used AS (SELECT l, codes[l + 1] AS c, count(*) AS n FROM codes, range(0, 4) r(l) GROUP BY 1, 2)
+SELECT 151669 + l.l * 16 + c.c AS id, '<' || chr((97 + l.l)::INTEGER) || '_' || c.c || '>' AS content, coalesce(n, 0) AS items
+FROM range(0, 4) l(l) CROSS JOIN range(0, 16) c(c) LEFT JOIN used ON used.l = l.l AND used.c = c.c""")
+def code_vocabulary(spark, sf):
+    return cd.code_vocabulary(encoded(spark, sf), layer_size=N_CODES)
+
+
 # prompts: two text tokens, then the first codes of the item; every seventh is off the catalogue
 TOKENS = f"""{REPAIRED}, toks AS (SELECT item_idx, list_concat([11, 151000 + item_idx]::BIGINT[],
   [151669 + l * 16 + CASE WHEN item_idx % 7 = 0 AND l + 1 = item_idx % 5 THEN (codes[l + 1] + 5) % 16 ELSE codes[l + 1] END FOR l IN range(0, item_idx % 5)]) AS tokens FROM repaired)"""

@@ -1,6 +1,7 @@
 """Hand-worked cases."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -425,3 +426,17 @@ def test_count_filter_against_brute_force(spark):
     want = sorted(r for r in kept if left[r[0]] >= 10)
     got = clean.min_interactions(log, 10, "2022-01-01 00:00:30")
     assert want and sorted((r.user_id, r.item_id, r.s) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("limit", [None, 4])
+def test_one_ordering_gives_lists_and_mean_ranks(spark, limit):
+    r = random.Random(8)
+    data = [(u, i, r.randrange(4) / 4, int(r.random() < 0.3)) for u in range(6) for i in range(r.randrange(1, 15))]
+    scores = spark.createDataFrame(data, "user_id int, item_id int, score double, positive int")
+    users = mt.collect_all(scores, 5, limit=limit)
+    apart = lambda df, *c: rows(df, *c)
+    assert apart(users, "user_id", "pos_rank_sum", "user_len", "pos_len") == apart(
+        mt.collect_mean_ranks(scores).withColumn("pos_rank_sum", F.col("pos_rank_sum").cast("double")), "user_id", "pos_rank_sum", "user_len", "pos_len"
+    )
+    top = users.where("pos_len > 0").select("user_id", "pos_len", F.explode("top").alias("t")).select("user_id", "t.item", "t.rank", "t.hit", "pos_len")
+    assert apart(top) == apart(mt.collect_ranks(scores, 5).select("user_id", "item_id", "rank", "hit", "pos_len"))
