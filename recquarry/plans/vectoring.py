@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recquarry.functions import codes as cx, text as tx, vectors as vx
@@ -333,10 +332,10 @@ SELECT layer::BIGINT AS layer, (SELECT count(*) FROM cb WHERE cb.layer = per.lay
   sum(n)::BIGINT AS nearest, round(sum(d) / sum(n), 6) AS loss, sum(d) / sum(n) <= coalesce(lag(sum(d) / sum(n)) OVER (ORDER BY layer), 'Infinity'::DOUBLE) AS not_rising
 FROM per GROUP BY layer""")
 def fitted_code_report(spark, sf):
-    r = cd.codebook_report(coded_items(spark, sf), fitted_codebook(spark, sf))
-    # one row per layer
-    before = F.lag("loss").over(Window.orderBy("layer"))
-    return r.withColumn("not_rising", F.coalesce(F.col("loss") <= before, F.lit(True))).withColumn("loss", F.round("loss", 6))
+    r = layout.materialize(cd.codebook_report(coded_items(spark, sf), fitted_codebook(spark, sf)))
+    before = r.select((F.col("layer") + 1).alias("layer"), F.col("loss").alias("before"))
+    judged = r.join(before, "layer", "left").withColumn("not_rising", F.coalesce(F.col("loss") <= F.col("before"), F.lit(True)))
+    return judged.drop("before").withColumn("loss", F.round("loss", 6))
 
 
 @R.add("fitted_sem_id", f"WITH {FITTED_REPAIRED} SELECT item_idx, array_to_string(codes, ',') AS codes, sem_id FROM repaired")
