@@ -342,10 +342,10 @@ def kth_smallest_magnitude(df: DataFrame, key: str, values: str, rate: float) ->
             hit = bits >> RADIX_SHIFT == batch.column(2).to_numpy()[row]
             row = row[hit]
             columns = [batch.column(0).take(pa.array(row)), pa.array(flat[hit])]
-            yield pa.RecordBatch.from_arrays(columns, ["_key", "_m"])
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "_mag"])
 
     held = cells.join(chosen.where("_k > 0").select("_key", "_b"), "_key").select("_key", "_v", "_b")
-    rest = held.mapInArrow(inside, "_key string, _m double").groupBy("_key", "_m").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sums(rest, ["_key"], ["_m"], {"_cum": "_n"}).join(chosen, "_key")
-    found = ranked.where(F.col("_below") + F.col("_cum") >= F.col("_k")).groupBy("_key").agg(F.min("_m").alias("kth"))
+    rest = held.mapInArrow(inside, "_key string, _mag double").groupBy("_key", "_mag").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_sums(rest, ["_key"], ["_mag"], {"_cum": "_n"}).join(chosen, "_key")
+    found = ranked.where(F.col("_below") + F.col("_cum") >= F.col("_k")).groupBy("_key").agg(F.min("_mag").alias("kth"))
     return chosen.select(F.col("_key"), F.col("_k").alias("kth_index")).join(found, "_key", "left").withColumnRenamed("_key", key)

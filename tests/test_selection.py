@@ -19,6 +19,18 @@ VALUES = st.one_of(st.floats(-1e6, 1e6), st.sampled_from([0.0, -0.0, 1.0, -1.0,
 @given(st.dictionaries(st.sampled_from(["a", "b", "é"]), st.lists(st.lists(VALUES, max_size=6), min_size=1, max_size=8), min_size=1), st.sampled_from([0.0, 0.2, 0.5, 0.99, 1.0]))
 @few
 def test_kth_magnitude_is_exact(spark, chunks, rate):
+    check_kth(spark, chunks, rate)
+
+
+def test_kth_magnitude_in_a_hot_bucket(spark, monkeypatch):
+    """More different values of one bucket than a window may hold are ranked over the cluster."""
+    monkeypatch.setattr(layout, "HOT_ROWS", 5)
+    values = [1 + i / 1e6 for i in range(200)]
+    for rate in (0.1, 0.5, 0.999):
+        check_kth(spark, {"a": [values, values[:50]], "b": [[-v for v in values]], "c": [[3.0]]}, rate)
+
+
+def check_kth(spark, chunks, rate):
     rows = [(k, c) for k, cs in chunks.items() for c in cs]
     df = spark.createDataFrame(rows, "param string, values array<double>").repartition(3)
     got = {r["param"]: (r["kth_index"], r["kth"]) for r in layout.kth_smallest_magnitude(df, "param", "values", rate).collect()}
