@@ -18,7 +18,8 @@ are found as a whole, token by token with their values; an item of one word is f
 
 Defined cases: null and empty texts have no windows and are clean; items without tokens match
 nothing; an empty benchmark leaves all documents clean.  Rows repeated with the same id and
-text get the same result.  Repeated benchmark items count as one of them each.  Extra columns are left alone.
+text get the same result.  Repeated benchmark items count as one of them each.  A null id is a value
+like any other.  Extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recquarry.llm.common import broadcast_checked, held, stored, text_or_empty
+from recquarry.llm.common import broadcast_checked, free_names, held, stored, text_or_empty
 
 WINDOW = 6
 MIN_WORDS = 4
@@ -44,91 +45,111 @@ NUMBER, NAME, UNIT = "\u0001n", "\u0001p", "\u0001u"
 EITHER, FIRST = "\u0002", "\u0001q"
 
 
+# Tokens of a piece of text; windows that begin in it may reach into the next one.
+PIECE = 256
+# Largest number of distinct window hashes, of 8 bytes each, that is broadcast to the documents.
+HASH_ROWS = 1_000_000
+PLAIN_KIND, NUMBER_KIND, NAME_KIND, UNIT_KIND, EITHER_KIND = range(5)
+LITERAL = 1 << 9  # marks the code of a window that is read with its values
+
+
 def _mark(tokens: str) -> Column:
     """Slots as a placeholder followed by their value, words in lower case, sentence ends left out."""
 
+    # tokens that begin with an ASCII digit or letter are told apart by comparison, all others by patterns
+    def number(t):
+        return ((t >= "0") & (t < ":")) | ((t >= "{") & t.rlike(r"^\p{N}"))
+
     def mark(t, i):
-        before = F.get(tokens, i - 1)
-        number = t.rlike(r"^\p{N}")
+        before, low = F.get(tokens, i - 1), F.lower(t)
         begins = (i == 0) | before.isin(".", "!", "?", "\n")
         return (
             F.when(t.isin(".", "!", "?", "\n"), None)
-            .when(number, F.concat(F.lit(NUMBER), t))
-            .when(F.lower(t).isin(UNITS) & before.rlike(r"^\p{N}"), F.concat(F.lit(UNIT), F.lower(t)))
-            .when(t.rlike(r"^\p{Lu}\p{Ll}"), F.concat(F.when(begins, EITHER).otherwise(NAME), F.lower(t)))
-            .otherwise(F.lower(t))
+            .when(number(t), F.concat(F.lit(NUMBER), t))
+            .when(number(before) & low.isin(UNITS), F.concat(F.lit(UNIT), low))
+            .when(~((t >= "a") & (t < "{")) & t.rlike(r"^\p{Lu}\p{Ll}"), F.concat(F.when(begins, EITHER).otherwise(NAME), low))
+            .otherwise(low)
         )
 
     return F.array_compact(F.transform(tokens, mark))
 
 
 def templates(table: DataFrame, text: str, *columns: Column) -> DataFrame:
-    """``columns`` plus the arrays ``marked``, ``plain`` (slots without their values, sentence beginnings as words)."""
+    """``columns`` plus the array ``marked``."""
     cut = table.select(*columns, text_or_empty(text).alias("tokens"))
-    cut = held(cut, tokens=F.regexp_extract_all("tokens", F.lit(TOKEN), F.lit(0)), marked=_mark("tokens")).drop("tokens")
-    return held(cut, plain=F.transform("marked", lambda t: F.when(t.startswith("\u0001"), F.substring(t, 1, 2)).otherwise(F.ltrim(t, F.lit(EITHER)))))
+    return held(cut, tokens=F.regexp_extract_all("tokens", F.lit(TOKEN), F.lit(0)), marked=_mark("tokens")).drop("tokens")
 
 
-def windows(t: DataFrame, width: int, keep: list[str]) -> DataFrame:
-    """Rows (keep, pos, h, slots) of all windows of ``width`` tokens; ``slots`` are the filled placeholders in order.
+def _packed(t: Column) -> Column:
+    """Hash of the value of a marked token; the last three bits hold its kind."""
+    kind = F.when(t.startswith(NUMBER), NUMBER_KIND).when(t.startswith(NAME), NAME_KIND).when(t.startswith(UNIT), UNIT_KIND).otherwise(EITHER_KIND)
+    marked = F.xxhash64(_value(t)).bitwiseAND(F.lit(-8)).bitwiseOR(kind.cast("long"))
+    return F.when(t >= "\u0003", F.xxhash64(t).bitwiseAND(F.lit(-8))).otherwise(marked)
 
-    Windows with sentence beginnings have further rows, with one or more of them read as names.
-    """
-    names = max(width - MIN_WORDS + 1, 0)  # a name that may be a word leaves one plain word less
-
-    def window(i):
-        slots = F.filter(F.slice("marked", i + 1, width), lambda x: x.startswith("\u0001"))
-        return F.struct(
-            i.alias("pos"),
-            F.xxhash64(F.lit(width), F.slice("plain", i + 1, width)).alias("h"),
-            F.when(F.col("slotted"), slots).alias("slots"),
-        )
 
-    def named(i, chosen):
-        read = F.transform(
-            F.slice("marked", i + 1, width),
-            lambda x, j: F.when(F.array_contains(chosen, j), F.concat(F.lit(FIRST), F.substring(x, 2, 1 << 30))).otherwise(F.ltrim(x, F.lit(EITHER))),
-        )
-        plain = F.transform(read, lambda x: F.when(x.startswith(FIRST), NAME).when(x.startswith("\u0001"), F.substring(x, 1, 2)).otherwise(x))
-        return F.struct(
-            i.alias("pos"), F.xxhash64(F.lit(width), plain).alias("h"), F.filter(read, lambda x: x.startswith("\u0001")).alias("slots")
-        )
+def _readings(widths: list[int], literal: list[int]) -> Column:
+    """Codes of the windows that start at a token, by the places of sentence beginnings among the next ``WINDOW`` tokens.
 
-    def readings(k):
-        """All windows that hold the k-th sentence beginning as their first name, alone or with later ones."""
-        first = F.get("begins", k)
-        chosen = [F.array(F.array(first))]
-        ahead = F.filter(F.slice("begins", k + 2, width - 1), lambda j: j < first + width)
-        chosen.append(F.transform(ahead, lambda j: F.array(first, j)))
-        if names > 2:
-            pairs = F.transform(ahead, lambda j: F.transform(F.filter(ahead, lambda m: m > j), lambda m: F.array(first, j, m)))
-            chosen.append(F.flatten(pairs))
-
-        def around(c):
-            low, high = F.greatest(F.lit(0), F.element_at(c, -1) - width + 1), F.least(first, F.size("plain") - width)
-            starts = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: named(i, F.transform(c, lambda j: j - i)))
-
-        return F.flatten(F.transform(F.concat(*chosen[: max(names, 1)]), around))
-
-    t = t.where(F.size("plain") >= width)
-    t = held(t, slotted=F.exists("marked", lambda x: x.startswith("\u0001")))
-    each = F.transform(F.sequence(F.lit(0), F.size("plain") - width), window)
-    if names:
-        at = F.transform("marked", lambda x, j: F.when(x.startswith(EITHER), j))
-        t = held(t, begins=F.array_compact(at))
-        more = F.flatten(F.transform(F.transform("begins", lambda _, k: k), readings))
-        each = F.concat(each, more)
-    return t.select(*keep, F.explode_outer(each).alias("w")).select(*keep, "w.*")
-
-
-def literal_windows(t: DataFrame, width: int, keep: list[str]) -> DataFrame:
-    """Rows (keep, pos, h) of all windows of ``width`` tokens with their values."""
-    t = held(t.where(F.size("plain") >= width), raw=F.transform("marked", _value))
-    each = F.transform(
-        F.sequence(F.lit(0), F.size("raw") - width), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(width), F.slice("raw", i + 1, width)).alias("h"))
+    A code is 64 times the width plus the places that are read as names, and ``LITERAL`` for a window with its values.
+    A name that may be a word leaves one plain word less, so there are at most width - ``MIN_WORDS`` + 1 of them.
+    """
+    codes = []
+    for begins in range(1 << WINDOW):
+        named = [
+            width << WINDOW | places
+            for width in widths
+            for places in range(1 << width)
+            if places & begins == places and places.bit_count() <= width - MIN_WORDS + 1
+        ]
+        codes.append(named + [LITERAL | width << WINDOW for width in literal])
+    return F.expr("array(" + ", ".join(f"array({', '.join(map(str, c))})" for c in codes) + ")")
+
+
+def windows(t: DataFrame, keep: list[str], widths: list[int], literal: list[int] | None = None) -> DataFrame:
+    """Rows (keep, pos, code, h) of all windows of all widths in all readings; ``marked`` and ``at`` are for ``filled``.
+
+    Only the cut into pieces uses functions over arrays; windows are hashed from plain columns, in compiled code.
+    """
+    t = held(t.where(F.size("marked") > 0), v=F.transform("marked", _packed))
+    reach = PIECE + WINDOW - 1
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.size("v") - 1, F.lit(PIECE)),
+        lambda i: F.struct(i.alias("start"), F.slice("v", i + 1, reach).alias("v"), F.slice("marked", i + 1, reach).alias("marked")),
     )
-    return t.select(*keep, F.explode(each).alias("w")).select(*keep, "w.*")
+    t = t.select(*keep, F.inline(pieces))
+    shifted = F.arrays_zip(*(F.slice("v", j + 1, PIECE) for j in range(WINDOW)))
+    t = t.select(*keep, "start", "marked", F.size("v").alias("n"), F.posexplode(shifted).alias("at", "z"))
+    token = [F.col("z").getField(str(j)) for j in range(WINDOW)]
+    begins = F.lit(0)
+    for j in range(WINDOW):
+        begins = begins + F.when(token[j].bitwiseAND(F.lit(7)) == EITHER_KIND, 1 << j).otherwise(0)
+    t = t.select(*keep, "start", "marked", "n", "at", "z", F.explode(F.get(_readings(widths, literal or []), begins)).alias("code"))
+    width = _width(F.col("code"))
+    t = t.where(F.col("at") + width <= F.col("n"))
+    read = []
+    for j in range(WINDOW):
+        value, kind = token[j].bitwiseAND(F.lit(-8)), token[j].bitwiseAND(F.lit(7))
+        named = F.col("code").bitwiseAND(F.lit(1 << j)) != 0
+        template = F.when(named, F.lit(NAME_KIND).cast("long")).when(kind.isin(PLAIN_KIND, EITHER_KIND), value).otherwise(kind)
+        read.append(F.when(width > j, F.when(F.col("code") >= LITERAL, value).otherwise(template)))
+    h = F.xxhash64(F.col("code").bitwiseAND(F.lit(~((1 << WINDOW) - 1))), *read)
+    return t.select(*keep, (F.col("start") + F.col("at")).alias("pos"), "code", h.alias("h"), "marked", "at")
+
+
+def _width(code: Column) -> Column:
+    return F.shiftright(code.bitwiseAND(F.lit(LITERAL - 1)), WINDOW)
+
+
+def filled(found: DataFrame) -> DataFrame:
+    """Windows with ``slots``, their filled placeholders in order, in place of ``marked`` and ``at``."""
+    code = F.col("code")
+
+    def read(x, j):
+        named = F.call_function("shiftright", code, j).bitwiseAND(F.lit(1)) == 1
+        return F.when(named, F.concat(F.lit(FIRST), F.substring(x, 2, 1 << 30))).otherwise(F.ltrim(x, F.lit(EITHER)))
+
+    tokens = F.transform(F.slice("marked", F.col("at") + 1, _width(code)), read)
+    return found.withColumn("slots", F.filter(tokens, lambda x: x.startswith("\u0001"))).drop("marked", "at")
 
 
 def _value(t: Column) -> Column:
@@ -136,72 +157,62 @@ def _value(t: Column) -> Column:
     return F.when(t.startswith("\u0001"), F.substring(t, 3, 1 << 30)).otherwise(F.ltrim(t, F.lit(EITHER)))
 
 
-def _slots(name: str) -> Column:
-    return F.coalesce(F.col(name), F.array().cast("array<string>"))
-
-
 def item_templates(items: DataFrame, item_id: str, text: str) -> DataFrame:
     t = templates(items, text, F.col(item_id).alias("item"), F.xxhash64(text_or_empty(text)).alias("ik"))
     return stored(t.dropDuplicates(["item", "ik"]), "templates")
 
 
-def benchmark_windows(t: DataFrame) -> DataFrame:
-    """Windows of all items: (item, ik, pos, h, slots, width, n_windows); stored."""
-    # fewer than WINDOW lengths
-    short = sorted(r[0] for r in t.select(F.size("plain").alias("n")).where((F.col("n") < WINDOW) & (F.col("n") >= MIN_WORDS)).distinct().collect())
-    parts = []
-    for width in [*short, WINDOW]:
-        part = t.where(F.size("plain") == width) if width < WINDOW else t
-        found = windows(part, width, ["item", "ik"])
-        sure = F.filter(_slots("slots"), lambda x: ~x.startswith(FIRST))
-        found = found.where((F.size(sure) <= width - MIN_WORDS) & (F.size(_slots("slots")) <= width - MIN_WORDS + 1))
-        parts.append(found.withColumn("width", F.lit(width)))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    union = stored(union, "benchmark-windows")
-    size = union.groupBy("item", "ik").agg(F.count_distinct("pos").alias("n_windows"))
+def benchmark_windows(t: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Windows of all items: (item, ik, pos, h, slots, n_windows), stored; and their widths."""
+    t = t.withColumn("wide", F.least(F.size("marked"), F.lit(WINDOW))).where(F.col("wide") >= MIN_WORDS)
+    widths = sorted(r[0] for r in t.select("wide").distinct().collect())  # at most WINDOW numbers
+    found = windows(t, ["item", "ik", "wide"], widths or [WINDOW])
+    found = filled(found.where(_width(F.col("code")) == F.col("wide")))
+    sure = F.filter("slots", lambda x: ~x.startswith(FIRST))
+    found = found.where((F.size(sure) <= F.col("wide") - MIN_WORDS) & (F.size("slots") <= F.col("wide") - MIN_WORDS + 1))
+    found = stored(found.select("item", "ik", "pos", "h", "slots"), "benchmark-windows")
+    size = found.groupBy("item", "ik").agg(F.count_distinct("pos").alias("n_windows"))
     same = (F.col("a.item").eqNullSafe(F.col("b.item"))) & (F.col("a.ik") == F.col("b.ik"))
-    return stored(union.alias("a").join(size.alias("b"), same).select("a.*", "b.n_windows"), "benchmark-windows")
+    return stored(found.alias("a").join(size.alias("b"), same).select("a.*", "b.n_windows"), "benchmark-windows"), widths
 
 
-def whole_matches(t: DataFrame, items: DataFrame, bench: DataFrame) -> DataFrame | None:
-    """Rows (id, k, item, share) for items without windows that a document holds as a whole."""
+def literal_windows(items: DataFrame, bench: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Windows with values of the items that have no others: (item, ik, ipos, h, n_windows), stored; and their widths."""
     has = bench.select(F.col("item").alias("h_item"), F.col("ik").alias("h_ik")).distinct()
-    bare = items.where(F.size("plain") > 0).join(has, F.col("item").eqNullSafe(F.col("h_item")) & (F.col("ik") == F.col("h_ik")), "left_anti")
-    bare = stored(bare.withColumn("width", F.least(F.size("plain"), F.lit(WINDOW))), "whole-items")
-    found = None
-    for width in sorted(r[0] for r in bare.select("width").distinct().collect()):  # at most WINDOW numbers
-        part = bare.where(F.col("width") == width).withColumn("n_windows", F.size("plain") - width + 1)
-        side = stored(literal_windows(part, width, ["item", "ik", "n_windows"]).withColumnRenamed("pos", "ipos"), "literal-windows")
-        hits = literal_windows(t, width, ["id", "k"]).join(broadcast_checked(side), "h")
-        whole = hits.groupBy("id", "k", "item", "ik", "n_windows", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.count_distinct("ipos").alias("n"))
-        whole = whole.where("n = n_windows").select("id", "k", "item", F.lit(1.0).alias("share")).distinct()
-        found = whole if found is None else found.unionByName(whole)
-    return found
+    bare = items.where(F.size("marked") > 0).join(has, F.col("item").eqNullSafe(F.col("h_item")) & (F.col("ik") == F.col("h_ik")), "left_anti")
+    bare = stored(bare.withColumn("wide", F.least(F.size("marked"), F.lit(WINDOW))), "whole-items")
+    widths = sorted(r[0] for r in bare.select("wide").distinct().collect())  # at most WINDOW numbers
+    bare = bare.withColumn("n_windows", F.size("marked") - F.col("wide") + 1)
+    found = windows(bare, ["item", "ik", "wide", "n_windows"], [], widths or [WINDOW]).where(_width(F.col("code")) == F.col("wide"))
+    return stored(found.select("item", "ik", F.col("pos").alias("ipos"), "h", "n_windows"), "literal-windows"), widths
 
 
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows (id, k, item, share): share of an item's windows found in the document."""
     asked = item_templates(items, item_id, item_text)
-    bench = benchmark_windows(asked)
-    widths = sorted(r[0] for r in bench.select("width").distinct().collect())  # at most WINDOW numbers
+    bench, widths = benchmark_windows(asked)
+    exact, literal = literal_windows(asked, bench)
+    hashes = stored(bench.select("h").union(exact.select("h")).distinct(), "window-hashes")
     t = templates(docs, text, F.col(doc_id).alias("id"), F.xxhash64(text_or_empty(text)).alias("k"))
-    hits = None
-    for width in widths or [WINDOW]:
-        side = bench.where(F.col("width") == width).select("h", "item", "ik", "n_windows", F.col("pos").alias("ipos"), F.col("slots").alias("islots"))
-        part = windows(t, width, ["id", "k"]).join(broadcast_checked(side), "h")
-        hits = part if hits is None else hits.unionByName(part)
-    hits = hits.select("id", "k", "item", "ik", "n_windows", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), _slots("slots").alias("slots"), _slots("islots").alias("islots"))
-    hits = stored(hits, "matched-windows")
-    sound = consistent(hits)
+    every = windows(t, ["id", "k"], widths or [WINDOW], literal)
+    if hashes.limit(HASH_ROWS + 1).count() <= HASH_ROWS:
+        hits = filled(every.join(F.broadcast(hashes), "h"))
+    else:
+        hits = filled(every).join(hashes, "h")  # slots first, so that no pieces of texts are shuffled
+    hits = stored(hits.select("id", "k", "pos", "code", "h", "slots"), "hit-windows")
+
+    shift = (F.col("pos") - F.col("ipos")).alias("shift")
+    side = bench.select("h", "item", "ik", "n_windows", F.col("pos").alias("ipos"), F.col("slots").alias("islots"))
+    met = hits.where(F.col("code") < LITERAL).join(broadcast_checked(side), "h")
+    met = stored(met.select("id", "k", "item", "ik", "n_windows", "ipos", shift, "slots", "islots"), "matched-windows")
     # one row per window of the item first, then their number: at most n_windows rows for a document
-    once = sound.select("id", "k", "item", "ik", "n_windows", "ipos").distinct()
+    once = consistent(met).select("id", "k", "item", "ik", "n_windows", "ipos").distinct()
     found = once.groupBy("id", "k", "item", "ik", "n_windows").agg(F.count(F.lit(1)).alias("n")).select(
         "id", "k", "item", (F.col("n") / F.col("n_windows")).alias("share")
     )
-    whole = whole_matches(t, asked, bench)
-    return found if whole is None else found.unionByName(whole)
+    whole = hits.where(F.col("code") >= LITERAL).join(broadcast_checked(exact), "h")
+    whole = whole.groupBy("id", "k", "item", "ik", "n_windows", shift).agg(F.count_distinct("ipos").alias("n")).where("n = n_windows")
+    return found.unionByName(whole.select("id", "k", "item", F.lit(1.0).alias("share")).distinct())
 
 
 def consistent(hits: DataFrame) -> DataFrame:
@@ -252,8 +263,10 @@ def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
-    """The clean documents with all their columns."""
-    found = stored(contaminated(docs, items, doc_id=doc_id, text=text, **names).select(F.col("id").alias("_id"), F.col("k").alias("_k")), "contaminated")
-    tagged = docs.withColumn("_tk", F.xxhash64(text_or_empty(text)))
-    clean = tagged.join(broadcast_checked(found), (F.col("_tk") == F.col("_k")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left_anti")
-    return clean.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The clean documents with all their columns, whatever their names."""
+    found = contaminated(docs, items, doc_id=doc_id, text=text, **names)
+    hit_id, hit_key, key = free_names(docs, "hit_id", "hit_key", "key")
+    found = stored(found.select(F.col("id").alias(hit_id), F.col("k").alias(hit_key)), "contaminated")
+    tagged = docs.withColumn(key, F.xxhash64(text_or_empty(text)))
+    clean = tagged.join(broadcast_checked(found), (F.col(key) == F.col(hit_key)) & F.col(doc_id).eqNullSafe(F.col(hit_id)), "left_anti")
+    return clean.drop(key)
