@@ -12,7 +12,8 @@ independent 64-bit hash and the length in bytes all agree.
 
 Defined cases: a null text counts as empty; null ids sort before all others (an id of -2^63
 is read as null); of rows repeated with the same id and text, ``kept`` is true for all, and
-``deduplicate`` keeps one of them.  Extra columns are left alone.
+``deduplicate`` keeps one of them.  Extra columns are left alone,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recquarry.llm.common import broadcast_checked, stored, text_or_empty
+from recquarry.llm.common import broadcast_checked, free_names, stored, text_or_empty
 
 FAN_IN = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,16 +112,17 @@ def find_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns, whatever their names."""
     prints = stored(fingerprints(docs, doc_id, text), "fingerprints")
-    found = stored(keepers(prints, keep).select("d", F.col("keep_id").alias("_keep_id")), "keepers")
-    t = normalized(text)
-    tagged = docs.withColumn("_d", F.unhex(F.sha2(t.cast("binary"), 256))).withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
+    found = stored(keepers(prints, keep).select("d", "keep_id"), "keepers")
+    key = free_names(docs, "row_id", "digest")
+    digest = F.unhex(F.sha2(normalized(text).cast("binary"), 256))
+    tagged = docs.withColumns({key[0]: F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), key[1]: digest})
     # an id marks its row unless it is repeated; ids are small, so they, not texts, are counted
-    dropped = prints.join(found, "d", "left").where(F.col("id") != F.col("_keep_id")).select(F.col("id").alias("_id"), F.col("d").alias("_d"))
+    dropped = prints.join(found, "d", "left").where(F.col("id") != F.col("keep_id")).select(F.col("id").alias(key[0]), F.col("d").alias(key[1]))
     dropped = stored(dropped, "dropped")
-    out = tagged.join(broadcast_checked(dropped), ["_id", "_d"], "left_anti")
+    out = tagged.join(broadcast_checked(dropped), key, "left_anti")
     repeated = not prints.groupBy("id", "d").count().where("count > 1").isEmpty()
     if repeated:
-        out = out.dropDuplicates(["_id", "_d"])
+        out = out.dropDuplicates(key)
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

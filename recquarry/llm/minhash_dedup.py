@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recquarry.llm.common import broadcast_checked, chunks, code_points, stored
+from recquarry.llm.common import broadcast_checked, chunks, code_points, free_names, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -384,8 +384,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, one of each class, with all their columns."""
+    """The documents that stay, one of each class, with all their columns, whatever their names."""
     found = classes(docs, doc_id, text)
-    dropped = stored(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    out = docs.join(broadcast_checked(dropped), F.col(doc_id).cast("long") == F.col("_dropped"), "left_anti")
+    (gone,) = free_names(docs, "dropped")
+    dropped = stored(found.where("doc_id <> class_id").select(F.col("doc_id").alias(gone)).distinct(), "dropped")
+    out = docs.join(broadcast_checked(dropped), F.col(doc_id).cast("long") == F.col(gone), "left_anti")
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recquarry.llm.common import broadcast_checked, stored
+from recquarry.llm.common import broadcast_checked, free_names, stored
 from recquarry.llm.exact_dedup import LOWER, UPPER
 
 ORDER = 4  # characters in a counted string: three of context and the next one
@@ -89,10 +89,11 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     host, path = host_and_path(url)
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     parts = pages.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("verdict", verdict)
-    parts = parts.withColumn("_text", model_text(F.col("host"), F.col("path")))
+    key, found_value = free_names(parts, "url_text", "url_value")
+    parts = parts.withColumn(key, model_text(F.col("host"), F.col("path")))
     # one row per distinct text from here on; the weights count the decided pages
     decided = [(F.col("verdict") == v).cast("long") for v in ("allow", "block")]
-    texts = parts.select(F.col("_text").alias("text"), *(F.coalesce(d, F.lit(0)).alias(v) for d, v in zip(decided, ("allow", "block"))))
+    texts = parts.select(F.col(key).alias("text"), *(F.coalesce(d, F.lit(0)).alias(v) for d, v in zip(decided, ("allow", "block"))))
     texts = stored(texts.groupBy("text").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "urls")
     table = broadcast_checked(stored(ratios(texts), "ratios"))
     values = _grams(texts.select("text")).join(table, "gram").groupBy("text").agg(F.round(F.avg("ratio"), 9).alias("value"))
@@ -106,7 +107,7 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
         mean = {v: moments[f"{v}1"] / moments[f"{v}0"] for v in ("allow", "block")}
         spread = {v: max(moments[f"{v}2"] / moments[f"{v}0"] - mean[v] ** 2, 1e-12) ** 0.5 for v in mean}
         cut = (mean["allow"] * spread["block"] + mean["block"] * spread["allow"]) / (spread["allow"] + spread["block"])
-    judged = F.lit("allow") if cut is None else F.when(F.col("_value") < F.lit(round(cut, 9)), "block").otherwise("allow")
-    out = parts.join(values.withColumnRenamed("text", "_text").withColumnRenamed("value", "_value"), "_text", "left")
+    judged = F.lit("allow") if cut is None else F.when(F.col(found_value) < F.lit(round(cut, 9)), "block").otherwise("allow")
+    out = parts.join(values.select(F.col("text").alias(key), F.col("value").alias(found_value)), key, "left")
     out = out.withColumn("verdict", F.coalesce("verdict", judged))
-    return out.withColumn("value", F.col("_value")).drop("_text", "_value")
+    return out.withColumn("value", F.col(found_value)).drop(key, found_value)
