@@ -3,18 +3,20 @@
 1. *Character language model.*  Letter trigrams are counted over all documents, summed inside
    each task first; the table has 64 x 64 x 64 cells whatever the input and is interpolated
    with bigrams and unigrams.
-2. *Restoration.*  Spans that look disguised (letters mixed with digits or symbols, a letter
-   three times in a row, letters spaced out) are read as lattices: a symbol stands for the letters it
+2. *Restoration.*  Spans that look disguised are read as lattices: a symbol stands for the letters it
    resembles, a repeated letter or a separator may be dropped, each at a channel cost.  A
    Viterbi search over the last two letters finds the reading that the language model and
-   the channel like best.  Readings are added to the words as written.
+   the channel like best.  Readings are added to the words as written.  Spans are: words with
+   letters beside look-alikes, with a letter three times in a row, with several doubled letters or a doubled letter
+   that words seldom double, with punctuation between letters, or made of look-alikes only; and letters or look-alikes spaced
+   out by one to three spaces or symbols, two letters among them.  Plain numbers and prices are left as they are.
 3. *Score.*  Words and word beginnings are hashed; each has a shrunken share of toxic documents
    among four fifths of the training documents.  On the last fifth a logistic curve is fitted over
    the strongest word of a document and the sum of its words with more than even odds.
 
 The classifier learns from at most about ``MAX_TRAINING`` labelled rows, taken by a hash of the id
 so that a bounded table can be broadcast to the documents; the language model reads all
-documents.  Equal texts are learned from once.
+documents.  Equal texts are learned from once, as toxic if one of their labels is.
 
 Null and empty texts, and texts without letters, get the score of no evidence.  With no labels
 at all every score is 0.  Several labels of one id count as toxic if any is.  Null labels are
@@ -23,6 +25,8 @@ not learned from.  Repeated rows and extra columns change nothing.
 
 from __future__ import annotations
 
+import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -46,6 +50,13 @@ LEET = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "*": "aeiou", "#": "h",
 }
 SEPARATORS = ".-_*~ '"
+# Look-alikes that may stand for a spaced-out letter; the others serve as separators there.
+SPACED = "0123456789@$€£"
+# Letters that words of Latin script seldom double.
+SELDOM_DOUBLED = "hijkquvwxy"
+# Short words that may come right before a spaced-out word.
+ONE_LETTER_WORDS = "aieouy"
+HASHED_LETTERS = 40
 COST_SUBSTITUTE, COST_DOUBLE, COST_REPEAT, COST_SEPARATOR, COST_DROP = 1.0, 2.5, 0.3, 0.2, 8.0
 CACHE_SPANS = 100_000
 
@@ -144,47 +155,71 @@ class Decoder:
 
 
 @cache
-def _leet_table() -> np.ndarray:
-    table = np.zeros(0x110000, bool)
-    table[[ord(c) for c in LEET]] = True
-    return table
+def _flags() -> tuple[np.ndarray, ...]:
+    """Per code point: a look-alike, a look-alike of the spaced-out rule, a letter seldom doubled, punctuation that may split a word, white space."""
+    tables = []
+    for chars in (LEET, SPACED, SELDOM_DOUBLED):
+        table = np.zeros(0x110000, bool)
+        table[[ord(c) for c in chars]] = True
+        tables.append(table)
+    splits = np.fromiter((unicodedata.category(chr(i))[0] in "PS" for i in range(0x110000)), bool, 0x110000)
+    splits[[ord(c) for c in "'\u2019"]] = False  # contractions
+    white = np.zeros(0x110000, bool)
+    white[[9, 10, 13, 32]] = True
+    return *tables, splits & ~tables[0], white
 
 
 def disguised_spans(text: str, points: np.ndarray) -> list[str]:
-    """Spans of a lower-case text that may hide words; ``points`` are its code points."""
+    """Spans of a lower-case text that may hide words, each once; ``points`` are its code points."""
     n = len(points)
     if n < 3:
         return []
-    letter = _letter_table()[points] > 0
-    white = (points == 32) | (points == 10) | (points == 9) | (points == 13)
-    leet = _leet_table()[points]
-    spans = []
-    # letters next to look-alikes, and letters three times in a row: the whole token
-    mixed = np.flatnonzero((leet[1:] & letter[:-1]) | (leet[:-1] & letter[1:]))
-    same = points[1:] == points[:-1]
-    tripled = np.flatnonzero(same[1:] & same[:-1] & letter[2:])
+    is_leet, is_spaced, is_seldom, is_split, is_white = _flags()
+    letter, leet, white = _letter_table()[points] > 0, is_leet[points], is_white[points]
     gaps = np.concatenate(([-1], np.flatnonzero(white), [n]))
-    if len(mixed) or len(tripled):
-        for g in np.unique(np.searchsorted(gaps, np.concatenate((mixed, tripled)), "right")).tolist():
-            spans.append(text[gaps[g - 1] + 1 : gaps[g]].strip(".,;:?\"'()"))
-    # letters spaced out: single letters with one separator between them, at least three in a row
-    single = letter.copy()
-    single[1:] &= ~letter[:-1]
-    single[:-1] &= ~letter[1:]
+
+    def words_at(places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(gaps, places, "right")
+
+    # letters next to look-alikes, and letters three times in a row: the whole word
+    same = (points[1:] == points[:-1]) & letter[1:]
+    found = [
+        words_at(np.flatnonzero((leet[1:] & letter[:-1]) | (leet[:-1] & letter[1:]))),
+        words_at(np.flatnonzero(same[1:] & same[:-1])),
+        words_at(np.flatnonzero(same & is_seldom[points[1:]])),
+        # punctuation between letters
+        words_at(np.flatnonzero(letter[2:] & is_split[points[1:-1]] & letter[:-2])),
+    ]
+    doubled = words_at(np.flatnonzero(same))
+    found.append(doubled[1:][doubled[1:] == doubled[:-1]])
+    # words of look-alikes only: three or more, not all the same, and more than an amount
+    first, stop = gaps[:-1] + 1, gaps[1:]
+    count = np.concatenate(([0], np.cumsum(leet)))
+    symbols = np.concatenate(([0], np.cumsum(leet & ~((points >= 48) & (points <= 57)))))
+    only = (stop - first >= 3) & (count[stop] - count[first] == stop - first) & (symbols[stop] - symbols[np.minimum(first + 1, n)] > 0)
+    alike = [g for g in np.flatnonzero(only).tolist() if len(set(text[first[g] : stop[g]])) > 1]
+    spans = [text[gaps[g - 1] + 1 : gaps[g]].strip(".,;:?\"'()") for g in np.unique(np.concatenate(found)).tolist()]
+    spans += [text[first[g] : stop[g]] for g in alike]
+    # spaced out: single letters or look-alikes with one to three spaces or symbols of a line between them
+    unit = letter | is_spaced[points]
+    single = unit.copy()
+    single[1:] &= ~unit[:-1]
+    single[:-1] &= ~unit[1:]
     at = np.flatnonzero(single)
     if len(at) > 2:
-        near = np.flatnonzero(np.diff(at) == 2)
-        if len(near):
-            joins = [i for i in near.tolist() if text[at[i] + 1] in SEPARATORS]
-            run: list[int] = []
-            for i in joins + [-5]:
-                if run and i == run[-1] + 1:
-                    run.append(i)
-                    continue
-                if len(run) >= 2:
-                    spans.append(text[at[run[0]] : at[run[-1] + 1] + 1])
-                run = [i]
-    return spans
+        units, breaks = np.concatenate(([0], np.cumsum(unit))), np.concatenate(([0], np.cumsum(~(unit | leet | is_split[points] | white) | (points == 10))))
+        step = np.diff(at)
+        joined = (step <= 4) & (units[at[1:]] - units[at[:-1]] == 1) & (breaks[at[1:]] == breaks[at[:-1]])
+        edge = np.diff(np.concatenate(([0], joined.astype(np.int8), [0])))
+        letters = np.concatenate(([0], np.cumsum(letter[at])))
+        for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+            size, known = b - a + 1, int(letters[b + 1] - letters[a])
+            if size < 3 or known < 2 or (known < size and size < 4):
+                continue
+            spans.append(text[at[a] : at[b] + 1])
+            if size > 3 and text[at[a]] in ONE_LETTER_WORDS:
+                spans.append(text[at[a + 1] : at[b] + 1])
+    return list(dict.fromkeys(spans))
 
 
 def restore(text: str, decoder: Decoder, points: np.ndarray) -> list[str]:
@@ -208,7 +243,11 @@ def word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     alive = np.arange(len(begin))
     for k in range(int(length.max(initial=0))):
         alive = alive[length[alive] > k]
-        if k >= 40 or not len(alive):
+        if not len(alive):
+            break
+        if k == HASHED_LETTERS:  # the few long words: all their letters at once
+            rest = np.fromiter((zlib.crc32(points[begin[i] : end[i]].tobytes()) for i in alive.tolist()), np.uint64, len(alive))
+            h[alive] = (h[alive] ^ rest) * np.uint64(1099511628211)
             break
         h[alive] = (h[alive] ^ points[begin[alive] + k]) * np.uint64(1099511628211)
         if k + 1 in PREFIXES:
@@ -321,29 +360,28 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     share = min(1.0, MAX_TRAINING / max(known.count(), 1))
     sample = known.where(F.pmod(F.xxhash64(F.lit("toxicity"), "id"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
     fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(5))
-    rows = texts.join(F.broadcast(sample), "id").where(F.col("text").isNotNull()).select("text", "toxic", fold.alias("fold"))
+    rows = texts.join(F.broadcast(sample), "id").where(F.col("text").isNotNull())
+    # equal texts are one row, whatever tasks they are read by
+    rows = rows.groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = stored(rows.select("text", "toxic", fold.alias("fold")), "training")
 
     def count_features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder, total, docs, seen = Decoder(shared.value), np.zeros((2, 1 << FEATURE_BITS), np.int64), np.zeros(2, np.int64), set()
+        decoder, total, docs = Decoder(shared.value), np.zeros((2, 1 << FEATURE_BITS), np.int64), np.zeros(2, np.int64)
         for frame in frames:
-            fresh = []
-            for h in (hash(t) for t in frame["text"]):
-                fresh.append(h not in seen)
-                seen.add(h)
-            frame = frame[fresh]
             label = frame["toxic"].to_numpy(dtype=np.int64)
             total += document_counts(frame["text"].tolist(), label, decoder)
             docs += np.bincount(label, minlength=2)
-        for k in (0, 1):
-            yield sparse(total[k]).assign(toxic=k)
-            yield pd.DataFrame({"cell": np.array([-1], "int32"), "n": [docs[k]], "toxic": k})
-
-    sums = rows.where("fold > 0").mapInPandas(count_features, "cell int, n long, toxic int").groupBy("cell", "toxic").agg(F.sum("n").alias("n"))
-    sums = sums.where((F.col("n") > 1) | (F.col("cell") < 0)).toPandas()  # at most two rows for each hashed feature
-    cell, n, label = (sums[c].to_numpy(dtype=np.int64) for c in ("cell", "n", "toxic"))
-    docs = [int(n[(cell < 0) & (label == k)].sum()) for k in (0, 1)]
+        used = np.flatnonzero(total.any(axis=0))
+        yield pd.DataFrame({"cell": used.astype("int32"), "clean": total[0, used], "toxic": total[1, used]})
+        yield pd.DataFrame({"cell": np.array([-1], "int32"), "clean": docs[:1], "toxic": docs[1:]})
+
+    sums = rows.where("fold > 0").mapInPandas(count_features, "cell int, clean long, toxic long")
+    # at most one row for each hashed feature
+    sums = sums.groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+    cell, n = sums["cell"].to_numpy(dtype=np.int64), sums[["clean", "toxic"]].to_numpy(dtype=np.int64)
+    docs = n[cell < 0].sum(axis=0).tolist()
     features = np.zeros((2, 1 << FEATURE_BITS))
-    features[label[cell >= 0], cell[cell >= 0]] = n[cell >= 0]
+    features[:, cell[cell >= 0]] = n[cell >= 0].T
     values, base = evidence(features, *docs)
     if not sum(docs):
         return Model(trigrams, values, -np.inf, (0.0, 1.0, 0.0))

@@ -1,5 +1,6 @@
 """Toxicity, decontamination, URL filter and language identification."""
 
+import itertools
 import random
 
 import numpy as np
@@ -36,6 +37,86 @@ def test_spans(decoder):
     assert toxicity.prepared(["", "x", text], decoder)[:2] == ["", "x"]
 
 
+@pytest.mark.parametrize(
+    "text, plain",
+    [
+        ("you 1 d 1 0 t here", "idiot"), ("iidiioott", "idiot"), ("st.upid", "stupid"), ("id-iot", "idiot"), ("i  d  i  o  t", "idiot"),
+        ("i,d,i,o,t", "idiot"), ("i/d/i/o/t", "idiot"), ("m o r 0 n", "moron"), ("m-o-r-0-n", "moron"), ("a m o r o n", "moron"), ("s t u p ! d", "stupid"),
+    ],
+)
+def test_disguises_reach_the_decoder(decoder, text, plain):
+    points, _ = toxicity.code_points([text])
+    assert plain in toxicity.restore(text, decoder, points[:-1])
+
+
+def test_symbols_for_a_word():
+    for text, spans in (("an @$$ here", ["@$$"]), ("@@@ !!! $100 455 £3.50", [])):
+        points, _ = toxicity.code_points([text])
+        assert toxicity.disguised_spans(text, points[:-1]) == spans
+
+
+@pytest.mark.parametrize("text", ["$100 or 1,250 and 3.5, 1 2 3 4 5", "don't it's 12:30 2024-01-05", "1. x = 2; 4 5 6 7 8", "a b", "1 a 2", "हिन्दी में लिखा"])
+def test_plain_texts_are_not_disguised(text):
+    points, _ = toxicity.code_points([text])
+    assert toxicity.disguised_spans(text, points[:-1]) == []
+
+
+def slow_reading(span, trigrams):
+    """Cost of the best of all readings, one after the other."""
+    table, size = toxicity._letter_table(), toxicity.LETTERS
+    choices = []
+    run = 0
+    for i, c in enumerate(span):
+        run = run + 1 if i and c == span[i - 1] else 0
+        options = [(c, 0.0)] if table[ord(c)] else []
+        options += [(x, toxicity.COST_SUBSTITUTE) for x in toxicity.LEET.get(c, "")]
+        if c in toxicity.SEPARATORS:
+            options.append(("", toxicity.COST_SEPARATOR))
+        elif run:
+            options.append(("", toxicity.COST_DOUBLE if run == 1 else toxicity.COST_REPEAT))
+        elif not table[ord(c)]:
+            options.append(("", toxicity.COST_DROP))
+        choices.append(options)
+    best = {}
+    for path in itertools.product(*choices):
+        word = "".join(x for x, _ in path)
+        at = [0, 0, *(int(table[ord(x)]) for x in word), 0]
+        total = sum(float(trigrams[(a * size + b) * size + c]) for a, b, c in zip(at, at[1:], at[2:])) - sum(cost for _, cost in path)
+        best[word] = max(total, best.get(word, total))
+    return best
+
+
+def test_readings_are_the_best_of_all(decoder):
+    rnd = random.Random(4)
+    for _ in range(150):
+        span = "".join(rnd.choice("idot1100!@$*. -6aa") for _ in range(rnd.randrange(1, 8)))
+        best = slow_reading(span, decoder.trigrams)
+        assert best[decoder.viterbi(span)] == pytest.approx(max(best.values()), abs=1e-6), span
+
+
+def test_counts_are_the_slow_ones(decoder):
+    texts = ["an idiot", "x" * 41 + " " + "x" * 42, "idiot 1d10t", "", "été"]
+    counts = toxicity.document_counts(texts, np.array([1, 0, 0, 1, 0]), decoder)
+    for k, label in ((0, [1, 2, 4]), (1, [0, 3])):
+        want = np.zeros(1 << toxicity.FEATURE_BITS, np.int64)
+        for i in label:
+            want[list(set(toxicity.word_features(toxicity.prepared([texts[i]], decoder))[1].tolist()))] += 1
+        assert (counts[k] == want).all()
+    long = [toxicity.word_features(["x" * n])[1].tolist() for n in (40, 41, 42, 100_000)]
+    assert len({x[-1] for x in long}) == 4  # whole words
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = toxic_corpus(200)
+    rows += [(1000 + i, rows[i % 7][1], rows[i % 7][2]) for i in range(60)]
+    got = []
+    for parts in (1, 7):
+        docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(parts)
+        model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+        got.append({r.doc_id: r.s for r in docs.select("doc_id", toxicity.score(docs, model).alias("s")).collect()})
+    assert got[0] == pytest.approx(got[1])
+
+
 def toxic_corpus(n=600):
     rnd = random.Random(3)
     bad = ["idiot", "stupid", "moron", "loser"]
