@@ -40,6 +40,7 @@ from recquarry.llm.common import chunks, code_points, stored
 
 MAX_TRAINING = 50_000
 FEATURE_BITS = 20
+SLAB_BITS = 14  # hashed features whose evidence is worked out together
 PREFIXES = (4, 5)
 # A feature needs about this many training documents to outweigh the base rate.
 SHRINK = 8.0
@@ -366,23 +367,30 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     rows = stored(rows.select("text", "toxic", fold.alias("fold")), "training")
 
     def count_features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder, total, docs = Decoder(shared.value), np.zeros((2, 1 << FEATURE_BITS), np.int64), np.zeros(2, np.int64)
+        decoder, total = Decoder(shared.value), np.zeros((2, 1 << FEATURE_BITS), np.int64)
         for frame in frames:
-            label = frame["toxic"].to_numpy(dtype=np.int64)
-            total += document_counts(frame["text"].tolist(), label, decoder)
-            docs += np.bincount(label, minlength=2)
+            total += document_counts(frame["text"].tolist(), frame["toxic"].to_numpy(dtype=np.int64), decoder)
         used = np.flatnonzero(total.any(axis=0))
         yield pd.DataFrame({"cell": used.astype("int32"), "clean": total[0, used], "toxic": total[1, used]})
-        yield pd.DataFrame({"cell": np.array([-1], "int32"), "clean": docs[:1], "toxic": docs[1:]})
-
-    sums = rows.where("fold > 0").mapInPandas(count_features, "cell int, clean long, toxic long")
-    # at most one row for each hashed feature
-    sums = sums.groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
-    cell, n = sums["cell"].to_numpy(dtype=np.int64), sums[["clean", "toxic"]].to_numpy(dtype=np.int64)
-    docs = n[cell < 0].sum(axis=0).tolist()
-    features = np.zeros((2, 1 << FEATURE_BITS))
-    features[:, cell[cell >= 0]] = n[cell >= 0].T
-    values, base = evidence(features, *docs)
+
+    learned = rows.where("fold > 0")
+    docs = [0, 0]
+    for r in learned.groupBy("toxic").count().collect():  # two rows
+        docs[r["toxic"]] = r["count"]
+    _, base = evidence(np.zeros((2, 1)), *docs)
+
+    def weigh(frame: pd.DataFrame) -> pd.DataFrame:
+        slab, counts = int(frame["cell"].iloc[0]) >> SLAB_BITS, np.zeros((2, 1 << SLAB_BITS))
+        counts[:, frame["cell"].to_numpy() & ((1 << SLAB_BITS) - 1)] = frame[["clean", "toxic"]].to_numpy().T
+        return pd.DataFrame({"slab": [slab], "logits": [evidence(counts, *docs)[0].tobytes()]})
+
+    # the tasks turn counts into evidence, so the driver holds 4 bytes for each hashed feature
+    sums = learned.mapInPandas(count_features, "cell int, clean long, toxic long")
+    sums = sums.groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    slabs = sums.groupBy(F.shiftright("cell", SLAB_BITS)).applyInPandas(weigh, "slab int, logits binary")
+    values = np.full(1 << FEATURE_BITS, base, np.float32)
+    for r in slabs.collect():  # 2^(FEATURE_BITS - SLAB_BITS) rows
+        values[r["slab"] << SLAB_BITS : (r["slab"] + 1) << SLAB_BITS] = np.frombuffer(r["logits"], np.float32)
     if not sum(docs):
         return Model(trigrams, values, -np.inf, (0.0, 1.0, 0.0))
     known_values = spark.sparkContext.broadcast((values, base))
