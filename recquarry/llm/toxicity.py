@@ -59,7 +59,7 @@ SELDOM_DOUBLED = "hijkquvwxy"
 ONE_LETTER_WORDS = "aieouy"
 HASHED_LETTERS = 40
 COST_SUBSTITUTE, COST_DOUBLE, COST_REPEAT, COST_SEPARATOR, COST_DROP = 1.0, 2.5, 0.3, 0.2, 8.0
-CACHE_SPANS = 100_000
+CACHE_SPANS = 20_000
 
 
 class Model(NamedTuple):
@@ -113,7 +113,7 @@ class Decoder:
             found = self.viterbi(span)
             if len(self.cache) >= CACHE_SPANS:
                 self.cache.clear()
-            if len(span) <= 200:
+            if len(span) <= 64:
                 self.cache[span] = found
         return found
 
