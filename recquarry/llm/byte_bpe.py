@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from recquarry.llm.common import chunks, code_points
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 100_000
 LONG_PIECE = 100
 LETTER, NUMBER, SPACE, WHITE, QUOTE, OTHER = range(6)
 # Code points with the Unicode property White_Space, U+0020 apart.
@@ -239,17 +239,21 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Pieces(dict):
-    """Piece -> ids, worked out when missing; starts anew when full."""
+    """Piece -> ids, worked out when missing.  Pieces that were not asked for while the cache filled up once are forgotten."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.older: dict[str, list[int]] = {}
 
     def __missing__(self, piece: str) -> list[int]:
-        ids = merge_piece(piece.encode("utf-8"), self.ranks)
-        if len(self) >= CACHE_PIECES:
-            self.clear()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = merge_piece(piece.encode("utf-8"), self.ranks)
         if len(piece) <= 64:
+            if len(self) >= CACHE_PIECES:
+                self.older = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
