@@ -27,10 +27,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recquarry.llm.common import chunks, code_points
+from recquarry.llm.common import chunks, code_points, text_parts
 
 CACHE_PIECES = 100_000
 LONG_PIECE = 100
@@ -307,16 +308,18 @@ def encode(df: DataFrame, path: str, text: str = "text") -> Column:
 def digests(df: DataFrame, path: str, text: str = "text") -> Column:
     """Struct (n_tokens, ids_sha256, decoded_sha256): encoded, then decoded from the ids alone."""
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sha = hashlib.sha256
         names = [str(i) for i in range(len(read_ranks(path).by_id))]
         for batch in batches:
             n, id_sha, text_sha = [], [], []
-            for ids, _ in encode_batch([t or "" for t in batch], path):
-                n.append(len(ids))
-                id_sha.append(sha(",".join([names[i] for i in ids]).encode()).hexdigest())
-                text_sha.append(sha(decode(ids, path)).hexdigest())
-            yield pd.DataFrame({"n_tokens": np.array(n, "int64"), "ids_sha256": id_sha, "decoded_sha256": text_sha})
+            for _, _, texts in text_parts(batch):
+                for ids, _ in encode_batch(texts, path):
+                    n.append(len(ids))
+                    id_sha.append(sha(",".join([names[i] for i in ids]).encode()).hexdigest())
+                    text_sha.append(sha(decode(ids, path)).hexdigest())
+            columns = [pa.array(n, pa.int64()), pa.array(id_sha, pa.string()), pa.array(text_sha, pa.string())]
+            yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run(F.col(text).cast("string"))

@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,20 @@ def chunks(texts: list, size: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def text_parts(column: pa.Array, size: int = CHUNK_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of consecutive texts of an Arrow column with about ``size`` bytes, and their texts; null is empty.
+
+    A task so holds a batch of whole texts once, and only one part of it as Python strings.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield start, stop, [t or "" for t in column.slice(start, stop - start).to_pylist()]
+        start = stop
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, each followed by a line feed, and where each text starts."""
     joined = "\n".join(texts) + "\n"

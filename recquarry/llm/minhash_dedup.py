@@ -35,10 +35,11 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recquarry.llm.common import broadcast_checked, chunks, code_points, free_names, stored
+from recquarry.llm.common import CHUNK_CHARS, broadcast_checked, code_points, free_names, stored, text_parts
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -65,8 +66,18 @@ def _word_characters() -> np.ndarray:
     return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
 
 
-@cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; those for longer texts than a chunk are not kept."""
+    known = 1 << CHUNK_CHARS.bit_length()
+    return tuple(p[:n] for p in _known_powers(known)) if n <= known else _make_powers(n)
+
+
+@cache
+def _known_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _make_powers(n)
+
+
+def _make_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = np.uint64(0x5851F42D4C957F2D)
     inverse = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
     up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
@@ -80,10 +91,9 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = _word_characters()[points]
     edge = np.diff(word.astype(np.int8), prepend=np.int8(0))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    size = 1 << max(16, int(len(points)).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(len(points))
     sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(mix(points.astype(np.uint64) + _GOLD) * up[: len(points)], out=sums[1:])
+    np.cumsum(mix(points.astype(np.uint64) + _GOLD) * up, out=sums[1:])
     words = mix((sums[end] - sums[begin]) * down[begin])
     owner = np.searchsorted(starts, begin, "right") - 1
     n = len(words)
@@ -143,46 +153,46 @@ def band_hashes(registers: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, f1, f2, n, bands, marks): set fingerprint, number of shingles, band hashes, register bytes."""
 
-    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts, ids = [t or "" for t in frame["text"]], frame["id"].to_numpy()
-            for a, b in chunks(texts):
-                owner, value, _ = shingles(texts[a:b])
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in text_parts(batch.column("text")):
+                owner, value, _ = shingles(texts)
                 # repeated passages must not move the registers away from the similarity of the sets
                 registers = prob_min_hash(owner, value, np.ones(len(value)), b - a)
                 sums = np.zeros((2, b - a), np.uint64)
                 np.add.at(sums[0], owner, mix(value ^ np.uint64(0xA5A5)))
                 np.add.at(sums[1], owner, mix(value ^ np.uint64(0x5A5A5A)))
                 marks = registers.astype(np.uint8)
-                yield pd.DataFrame(
+                cuts = np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32)
+                yield pa.RecordBatch.from_pydict(
                     {
-                        "id": ids[a:b],
+                        "id": batch.column("id").slice(a, b - a),
                         "f1": sums[0].astype(np.int64),
                         "f2": sums[1].astype(np.int64),
-                        "n": np.bincount(owner, minlength=b - a),
-                        "bands": list(band_hashes(registers)),
-                        "marks": [m.tobytes() for m in marks],
+                        "n": np.bincount(owner, minlength=b - a).astype(np.int64),
+                        "bands": pa.ListArray.from_arrays(cuts, band_hashes(registers).ravel()),
+                        "marks": pa.array([m.tobytes() for m in marks], pa.binary()),
                     }
                 )
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(sign, "id long, f1 long, f2 long, n long, bands array<long>, marks binary")
+    return rows.mapInArrow(sign, "id long, f1 long, f2 long, n long, bands array<long>, marks binary")
 
 
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, shingles): distinct shingle hashes of 32 bits."""
 
-    def collect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts, ids = [t or "" for t in frame["text"]], frame["id"].to_numpy()
-            for a, b in chunks(texts):
-                owner, value, _ = shingles(texts[a:b])
-                cut = np.searchsorted(owner, np.arange(b - a + 1))
-                small = value.astype(np.uint32).view(np.int32)
-                yield pd.DataFrame({"id": ids[a:b], "shingles": [small[i:j] for i, j in zip(cut, cut[1:])]})
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in text_parts(batch.column("text")):
+                owner, value, _ = shingles(texts)
+                cuts = np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32)
+                small = pa.array(value.astype(np.uint32).view(np.int32))
+                sets = pa.ListArray.from_arrays(cuts, small)
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(a, b - a), "shingles": sets})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(collect, "id long, shingles array<int>")
+    return rows.mapInArrow(collect, "id long, shingles array<int>")
 
 
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:

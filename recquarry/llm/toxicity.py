@@ -33,10 +33,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recquarry.llm.common import chunks, code_points, stored
+from recquarry.llm.common import chunks, code_points, stored, text_parts
 
 MAX_TRAINING = 50_000
 FEATURE_BITS = 20
@@ -273,17 +274,17 @@ def prepared(texts: list[str], decoder: Decoder) -> list[str]:
     return out
 
 
-def document_counts(texts: list[str], toxic: np.ndarray, decoder: Decoder) -> np.ndarray:
-    """Rows of clean and toxic documents that hold each feature."""
+def document_counts(texts: list[str], toxic: np.ndarray, decoder: Decoder, counts: np.ndarray | None = None) -> np.ndarray:
+    """Rows of clean and toxic documents that hold each feature, added to ``counts`` if given."""
     width = 1 << FEATURE_BITS
-    counts = np.zeros((2, width), np.int64)
+    counts = np.zeros((2, width), np.int64) if counts is None else counts
     for a, b in chunks(texts):
         owner, feature, _ = word_features(prepared(texts[a:b], decoder))
         pairs = np.unique((owner << FEATURE_BITS) | feature)
         label = toxic[a:b][pairs >> FEATURE_BITS]
         feature = pairs & (width - 1)
         for k in (0, 1):
-            counts[k] += np.bincount(feature[label == k], minlength=width)
+            np.add.at(counts[k], feature[label == k], 1)
     return counts
 
 
@@ -340,17 +341,15 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     spark = documents.sparkSession
     texts = documents.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
 
-    def sparse(total: np.ndarray) -> pd.DataFrame:
-        used = np.flatnonzero(total)
-        return pd.DataFrame({"cell": used.astype("int32"), "n": total[used]})
-
-    def count_letters(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LETTERS**3, np.int64)
-        for frame in frames:
-            total += trigram_counts([t for t in frame["text"] if t])
-        yield sparse(total)
+        for batch in batches:
+            for _, _, part in text_parts(batch.column("text")):
+                total += trigram_counts([t for t in part if t])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"cell": used.astype(np.int32), "n": total[used]})
 
-    cells = texts.select("text").mapInPandas(count_letters, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = texts.select("text").mapInArrow(count_letters, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(LETTERS**3)
     counts[cells["cell"].to_numpy(dtype=int)] = cells["n"].to_numpy()
     trigrams = trigram_model(counts)
@@ -366,12 +365,14 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     rows = rows.groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = stored(rows.select("text", "toxic", fold.alias("fold")), "training")
 
-    def count_features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, total = Decoder(shared.value), np.zeros((2, 1 << FEATURE_BITS), np.int64)
-        for frame in frames:
-            total += document_counts(frame["text"].tolist(), frame["toxic"].to_numpy(dtype=np.int64), decoder)
+        for batch in batches:
+            toxic = batch.column("toxic").to_numpy()
+            for a, b, part in text_parts(batch.column("text")):
+                document_counts(part, toxic[a:b], decoder, total)
         used = np.flatnonzero(total.any(axis=0))
-        yield pd.DataFrame({"cell": used.astype("int32"), "clean": total[0, used], "toxic": total[1, used]})
+        yield pa.RecordBatch.from_pydict({"cell": used.astype(np.int32), "clean": total[0, used], "toxic": total[1, used]})
 
     learned = rows.where("fold > 0")
     docs = [0, 0]
@@ -385,7 +386,7 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
         return pd.DataFrame({"slab": [slab], "logits": [evidence(counts, *docs)[0].tobytes()]})
 
     # the tasks turn counts into evidence, so the driver holds 4 bytes for each hashed feature
-    sums = learned.mapInPandas(count_features, "cell int, clean long, toxic long")
+    sums = learned.mapInArrow(count_features, "cell int, clean long, toxic long")
     sums = sums.groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     slabs = sums.groupBy(F.shiftright("cell", SLAB_BITS)).applyInPandas(weigh, "slab int, logits binary")
     values = np.full(1 << FEATURE_BITS, base, np.float32)
@@ -395,14 +396,16 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
         return Model(trigrams, values, -np.inf, (0.0, 1.0, 0.0))
     known_values = spark.sparkContext.broadcast((values, base))
 
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
-        for frame in frames:
-            x = strengths(frame["text"].tolist(), *known_values.value, decoder)
-            yield pd.DataFrame({"top": x[:, 0], "above": x[:, 1], "toxic": frame["toxic"].to_numpy(dtype=np.int64)})
+        for batch in batches:
+            for a, b, part in text_parts(batch.column("text")):
+                x = strengths(part, *known_values.value, decoder)
+                toxic = batch.column("toxic").slice(a, b - a)
+                yield pa.RecordBatch.from_pydict({"top": x[:, 0].copy(), "above": x[:, 1].copy(), "toxic": toxic})
 
     # a fifth of the bounded sample
-    held = rows.where("fold = 0").mapInPandas(measure, "top double, above double, toxic int").toPandas()
+    held = rows.where("fold = 0").mapInArrow(measure, "top double, above double, toxic int").toPandas()
     held = held.sort_values(["top", "above", "toxic"])
     curve = fit_curve(held[["top", "above"]].to_numpy(dtype=float), held["toxic"].to_numpy(dtype=float))
     return Model(trigrams, values, base, curve)
@@ -412,10 +415,11 @@ def score(df: DataFrame, model: Model, text: str = "text") -> Column:
     """Probability-like score of a text column."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, decoder = shared.value, Decoder(shared.value.trigrams)
         for batch in batches:
-            yield pd.Series(score_texts([t or "" for t in batch], known, decoder))
+            scores = [score_texts(part, known, decoder) for _, _, part in text_parts(batch)]
+            yield pa.array(np.concatenate([np.zeros(0), *scores]))
 
     return run(F.col(text).cast("string"))
