@@ -159,3 +159,29 @@ def test_counts_of_odd_rows(spark):
 def test_pieces_over_spaces_are_refused():
     with pytest.raises(ValueError):
         token_counts.make_vocabulary({"a" + token_counts.MARK: -1.0}, False)
+
+
+def test_full_piece_cache_keeps_results(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE_PIECES", 3)
+    ranks, rnd = byte_bpe.read_ranks(BPE).by_bytes, random.Random(2)
+    pieces = byte_bpe.Pieces(ranks)
+    for _ in range(400):
+        piece = "".join(rnd.choices("abé世 ", k=rnd.randint(1, 4)))
+        assert pieces[piece] == byte_bpe.merge_piece(piece.encode(), ranks)
+        assert len(pieces) <= 3 and len(pieces.older) <= 3
+    long = "ab" * 40
+    assert pieces[long] == byte_bpe.merge_piece(long.encode(), ranks) and long not in pieces
+
+
+@pytest.mark.parametrize("size", [1, 5, 1000])
+def test_text_parts_cover_a_column(size):
+    import pyarrow as pa
+
+    from recquarry.llm.common import text_parts
+
+    texts = ["", None, "abc", "世界", "x" * 50, None, "a", "", "b"]
+    for column in (pa.array(texts), pa.array(["zz", *texts])[1:], pa.array([], pa.string()), pa.array([None, None], pa.string())):
+        parts = list(text_parts(column, size))
+        assert [t for _, _, part in parts for t in part] == [t or "" for t in column.to_pylist()]
+        assert [a for a, _, _ in parts] == [0, *(b for _, b, _ in parts)][: len(parts)]
+        assert all(b - a == len(part) and (b - a == 1 or sum(len(t.encode()) for t in part) <= size) for a, b, part in parts)
