@@ -18,6 +18,11 @@ from recquarry.functions import text as tx
 from recquarry.functions.arrays import let
 from recquarry.operators.layout import global_running_sums
 
+# Characters a tokenizer gets at once, whatever an Arrow batch holds; a longer text comes alone.
+PART_CHARS = 1_000_000
+# Words whose ids a worker remembers.
+KNOWN_WORDS = 100_000
+
 Tokenize = Callable[[list[str]], tuple[list[list[int]], list[list[int]]]]
 
 
@@ -30,26 +35,46 @@ def whitespace_tokens() -> Tokenize:
 
     def number(word: str) -> int:
         if word not in known:
-            if len(known) >= 1_000_000:
+            if len(known) >= KNOWN_WORDS:
                 known.clear()
             known[word] = int(hashlib.md5(word.encode()).hexdigest()[:7], 16)
         return known[word]
 
     def tokenize(texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        found = [list(re.finditer(r"\S+", t)) for t in texts]
-        return [[number(m.group()) for m in ms] for ms in found], [[m.end() for m in ms] for ms in found]
+        ids, ends = [], []
+        for t in texts:
+            # no match outlives its token
+            found = [(number(m.group()), m.end()) for m in re.finditer(r"\S+", t)]
+            ids.append([i for i, _ in found])
+            ends.append([e for _, e in found])
+        return ids, ends
 
     return tokenize
 
 
+def parts(batches: Iterator[pd.Series], most: int | None = None) -> Iterator[list[str]]:
+    """The texts of each batch in lists of at most ``most`` characters, or of one text."""
+    most = PART_CHARS if most is None else most
+    for batch in batches:
+        part, held = [], 0
+        for t in batch:
+            t = t or ""
+            if part and held + len(t) > most:
+                yield part
+                part, held = [], 0
+            part.append(t)
+            held += len(t)
+        yield part
+
+
 def tokenize(text: str | Column, make_tokenize: Callable[[], Tokenize] = whitespace_tokens) -> Column:
-    """Struct (ids, ends) of a text column, in Arrow batches; null texts have no tokens."""
+    """Struct (ids, ends) of a text column, in parts of Arrow batches; null texts have no tokens."""
 
     @F.pandas_udf("ids array<bigint>, ends array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encode = make_tokenize()
-        for batch in batches:
-            ids, ends = encode([t or "" for t in batch])
+        for part in parts(batches):
+            ids, ends = encode(part)
             yield pd.DataFrame(
                 {
                     "ids": pd.Series([np.asarray(i, "int64") for i in ids], dtype=object),
@@ -95,11 +120,12 @@ def assign_batches(df: DataFrame, length: str, order: Sequence, budget: int) ->
     shorter than the budget by what the longest row can reach back, so windows need not know each other.  Numbers ascend
     but may have gaps.  A row longer than the budget is an error.
     """
-    longest = df.agg(F.max(length)).first()[0] or 0
+    # the sums write the sorted rows, so the longest is read off there and the rows are made once
+    summed = global_running_sums(df.withColumn("_len", F.col(length).cast("long")), order, {"_upto": "_len"})
+    longest = summed.agg(F.max("_len")).first()[0] or 0
     if longest > budget:
         raise ValueError(f"a row of {longest} tokens does not fit into a batch of {budget}")
     window = budget - max(longest, 1) + 1
-    summed = global_running_sums(df.withColumn("_len", F.col(length).cast("long")), order, {"_upto": "_len"})
     at = F.greatest(F.col("_upto") - 1, F.lit(0))
     return summed.withColumn("batch", F.floor(at / F.lit(window)).cast("long")).drop("_len", "_upto")
 
@@ -117,18 +143,24 @@ def pack_batches(
     packed = sequences.select(*order, *(tx.pack_tokens(c, max_len, emb_slots).alias(k) for k, c in kinds.items()))
     packed = packed.withColumn("_n", F.size("pos.ids") + F.size("neg.ids"))
     placed = assign_batches(packed, "_n", list(order), budget)
-    rows = F.sort_array(F.collect_list(F.struct(*order, *kinds)))
+    # running sums within a sequence, to which a batch adds what lies before the sequence
+    sums = {f"{k}_sums": F.slice(running(F.col(k)["lengths"]), F.lit(2), F.size(F.col(k)["lengths"])) for k in kinds}
+    placed = placed.withColumns(sums)
+    rows = F.sort_array(F.collect_list(F.struct(*order, *kinds, *sums)))
     joined = placed.groupBy("batch").agg(F.count(F.lit(1)).alias("n_sequences"), rows.alias("r"))
     # a field of an array of structs is the array of that field
     out = [F.flatten(F.col(f"r.{k}")[part]).alias(f"{k}_{part}") for k in kinds for part in ("ids", "lengths", "positions")]
-    flat = joined.select("batch", "n_sequences", *out)
-    for k in kinds:
-        sums = let(F.col(f"{k}_lengths"), running)
-        flat = flat.withColumn(f"{k}_cumulative", sums)
-    return flat
+    return joined.select("batch", "n_sequences", *out, *(cumulative(F.col(f"r.{s}")).alias(f"{k}_cumulative") for k, s in zip(kinds, sums)))
 
 
 def running(values: Column) -> Column:
-    """Running sums of a bounded list, from 0 on."""
+    """Running sums of a short list, from 0 on."""
     start = F.array(F.lit(0).cast("long"))
     return F.aggregate(values, start, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def cumulative(parts: Column) -> Column:
+    """Running sums over all lists, from 0 on, out of those of each list; work grows with their lengths, not their squares."""
+    totals = F.transform(parts, lambda p: F.coalesce(F.get(p, F.size(p) - 1), F.lit(0).cast("long")))
+    moved = let(running(totals), lambda starts: F.transform(parts, lambda p, i: let(F.get(starts, i), lambda s: F.transform(p, lambda x: x + s))))
+    return F.concat(F.array(F.lit(0).cast("long")), F.flatten(moved))
